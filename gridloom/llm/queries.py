@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, line_dedup, media, mixing, secret_scan, sharding, topk
+from gridloom.llm import bpe, chat, line_dedup, media, mixing, ngram_join, secret_scan, sharding, topk
 from gridloom.llm.shared import documents
 
 
@@ -15,6 +15,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), 4, 85, 100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -48,7 +53,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_shard_documents, op5_line_dedup, op6_top_k, op7_bpe_round_trip, op8_secret_scan, op9_media_columns, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op4_shard_documents, op5_line_dedup, op6_top_k, op7_bpe_round_trip, op8_secret_scan, op9_media_columns, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, line_dedup, media, mixing, ngram_join, secret_scan, sharding, topk
+from gridloom.llm import bpe, chat, line_dedup, media, mixing, ngram_join, quality, secret_scan, sharding, topk
 from gridloom.llm.shared import documents
 
 
@@ -20,6 +20,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are sources, paths are languages within a source."""
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -53,7 +58,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op4_shard_documents, op5_line_dedup, op6_top_k, op7_bpe_round_trip, op8_secret_scan, op9_media_columns, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op3_quality_classifier, op4_shard_documents, op5_line_dedup, op6_top_k, op7_bpe_round_trip, op8_secret_scan, op9_media_columns, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import checked_broadcast, removed, text_key, written
+from gridloom.llm.shared import checked_broadcast, removed, text_key, whole_texts, written
 
 #: Ratio of the size classes; spaces tried before sets with many empty segments share one signature.
 CLASS_RATIO, SPACES = 1.5, 4
@@ -54,7 +54,7 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words = pc.ascii_split_whitespace(pc.ascii_lower(whole_texts(texts)))
     lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
     coded = words.flatten().dictionary_encode()
     vocabulary = np.array([xxhash.xxh64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()], U)

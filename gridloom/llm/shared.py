@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +71,9 @@ def text_key(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def whole_texts(texts: pa.Array) -> pa.Array:
+    """Texts as an array of its own, null as empty: Arrow's string kernels misread the offsets of cast slices."""
+    own = texts.take(pa.array(np.arange(len(texts)))) if texts.offset else texts
+    return pc.fill_null(own.cast(pa.large_string()), "")

@@ -111,3 +111,9 @@ def test_keep_one(docs):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "group"]
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 7, 8, 9, None]
     assert nj.keep_one(docs([])).count() == 0
+
+
+def test_slices_of_a_batch_read_as_whole_texts():
+    texts = pa.array([f"É ü Wort{i} zwei drei" for i in range(700)])
+    for a, b in zip(nj.gram_sets(texts.slice(512), 2), nj.gram_sets(pa.array(texts.to_pylist()[512:]), 2), strict=True):
+        assert (a == b).all()

@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.shared import checked_broadcast, text_key, written
+from gridloom.llm.shared import checked_broadcast, whole_texts, written
 
 #: Most labelled documents that the models are fitted on, most bytes of one of them, and the hash space of words.
-FIT_DOCS, FIT_BYTES, SPACE = 10_000, 20_000, 1 << 20
+FIT_DOCS, FIT_BYTES, SPACE = 6_000, 20_000, 1 << 20
 BEGINNINGS = (4, 5, 6, 7)
 #: Pseudo-documents behind the log-odds of a word; log-odds that count as high; steps and ridge of the regression.
 PSEUDO, LEVELS, NEWTON, RIDGE = 2.0, (0.7, 1.2, 1.8, 2.5), 15, 1.0
@@ -47,12 +47,12 @@ def word_slots(word: str) -> list[int]:
 
 def encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(slots of each distinct word, word of each token, first token of each text and the end, surface ratios)."""
-    raw = pc.fill_null(texts.cast(pa.large_string()), "")
+    raw = whole_texts(texts)
     words = pc.ascii_split_whitespace(pc.utf8_lower(raw))
     bounds = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))])
     coded = words.flatten().dictionary_encode()
     tokens = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    slots = np.array([word_slots(w) for w in coded.dictionary.to_pylist()], np.int64).reshape(-1, len(BEGINNINGS) + 2)
+    slots = np.array([word_slots(w) for w in coded.dictionary.to_pylist()], np.int32).reshape(-1, len(BEGINNINGS) + 2)
     n = np.maximum(1, np.diff(bounds)).astype(float)
     chars = np.maximum(1, pc.utf8_length(raw).to_numpy(zero_copy_only=False)).astype(float)
 
@@ -109,16 +109,18 @@ def fit(texts: list[str], targets: np.ndarray) -> Model:
     Log-odds that the second step sees leave the own document out, as they will for texts that were not in the sample.
     """
     slots, tokens, bounds, surface = encoded(pa.array(texts, pa.large_string()))
-    docs = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    held = np.unique((docs[:, None] * SPACE + slots[tokens]).ravel())  # features of each document, once
-    held_docs, held_slots = held // SPACE, held % SPACE
+    docs = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(bounds))
+    held = np.zeros((targets.shape[1], 2, SPACE))  # documents without and with each target that hold a feature
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        own = np.unique(slots[tokens[a:b]])
+        for k, y in enumerate(targets[docs[a]].astype(int) if b > a else ()):
+            held[k, y, own] += 1
     model = Model([], [], [])
     for k in range(targets.shape[1]):
         y = targets[:, k]
         n1 = max(1.0, y.sum())
         ratio = n1 / max(1.0, len(y) - y.sum())
-        with1 = np.bincount(held_slots, y[held_docs], SPACE)
-        with0 = np.bincount(held_slots, 1 - y[held_docs], SPACE)
+        with0, with1 = held[k]
         with1[0] = with0[0] = 0  # slot 0 stands for no feature
         odds = np.log((with1 + PSEUDO) / (with0 * ratio + PSEUDO)).astype(np.float32)
         without = np.empty(len(tokens), np.float32)

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 #: The pattern of words of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a text that are split into words at a time; words kept in the table of a worker; rows of an output batch.
-SLICE, TABLE, ROWS = 1 << 16, 400_000, 256
+SLICE, TABLE, ROWS = 1 << 16, 250_000, 256
 #: The vocabulary file that is used unless a path is given.
 DEFAULT_FILE = "byte_bpe_50k.json"
 
@@ -94,7 +94,7 @@ class Merges:
         #: Trained lists build every token once, from tokens built before it; then ranks are the times of merges.
         self.proper = len(self.made) == len(self.rank) and all(max(order(a), order(b)) < r for r, a, b in self.made.values())
         self.ends, self.starts = (Bounded(functools.partial(self._edge, side), 1 << 17) for side in (2, 1))
-        self.stays = Bounded(self._stays, 1 << 19)
+        self.stays = Bounded(self._stays, 1 << 18)
         self.alone = Bounded(lambda token: self.merged(token) == [token], 1 << 17)
 
     def _edge(self, side: int, token: bytes) -> list[tuple[bytes, float]]:

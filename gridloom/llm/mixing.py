@@ -5,7 +5,7 @@ The budget is `share` times all sizes. Every source asks for its weight's part;
 asks for too much. Each document is then taken floor(target / source size) times, and the fraction that remains is
 taken from a seeded prefix of the source: documents in the order of a 64-bit hash up to an exact cut.
 
-The cut is found without moving rows between tasks by source: size sums by (source, 15 bits of hash), summed before
+The cut is found without moving rows between tasks by source: size sums by (source, 12 bits of hash), summed before
 the shuffle, show the slice of the hash range where the wanted amount falls; the next level looks only into that
 slice. A hot source costs no task more than another.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.shared import WORD, checked_broadcast, written
 
 #: Bits of the hash that one level of the search for a cut resolves, and the levels: 60 of 60 bits.
-LEVEL_BITS, LEVELS = 15, 4
+LEVEL_BITS, LEVELS = 12, 5
 
 
 def word_count(text: Column) -> Column:
@@ -75,7 +75,7 @@ def fraction_cuts(sized: DataFrame, sources: DataFrame) -> DataFrame:
         shift = LEVEL_BITS * (LEVELS - 1 - level)
         inside = sized.join(checked_broadcast(plan.select(F.col("source").alias("_s"), "_base")), F.col("source").eqNullSafe(F.col("_s"))).filter(F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("_base", shift + LEVEL_BITS)) if level else sized
         sums = inside.groupBy("source", F.shiftright("h", shift).alias("_slice")).agg(F.sum("size").alias("_sum"))
-        running = F.sum("_sum").over(Window.partitionBy("source").orderBy("_slice"))  # at most 32768 rows a source
+        running = F.sum("_sum").over(Window.partitionBy("source").orderBy("_slice"))  # at most 4096 rows a source
         sums = sums.withColumn("_upto", running).join(checked_broadcast(plan.select(F.col("source").alias("_s"), "_left")), F.col("source").eqNullSafe(F.col("_s")))
         # The first slice whose running sum passes what is left holds the cut.
         found = sums.filter(F.col("_upto") > F.col("_left")).groupBy("source").agg(F.min(F.struct("_slice", "_upto", "_sum")).alias("_at"))

@@ -5,9 +5,10 @@ that are equal become one node. What is left is done in three steps:
 
 1. Blocks that lose no link. Two linked sets differ in at most D n-grams (D follows from the threshold and the sizes),
    so of more than D segments of the hash space at least one is the same in both. Each node sends one signature for
-   every segment that isn't empty; sets with so many empty segments that this could fail send those of a differently
-   hashed space too. Nodes with a common signature are tied to the smallest of them, which is linear in the nodes of a
-   signature, and ties give blocks by connected components.
+   every segment of at least two n-grams; sets with too few of those for a sure match send single n-grams as well, and
+   sets with too many empty segments send those of a differently hashed space too. Segments of two and more rarely
+   meet by a passage alone. Nodes with a common signature are tied to the smallest of them, first within a batch of documents
+   and then across, which is linear in the nodes of a signature; ties give blocks by connected components.
 2. Tries. A block's sets go into a trie in the global order. A probe walks it once, sharing the overlap of common
    prefixes, and leaves a subtree when the n-grams that remain on either side can't reach the threshold, or when all
    sets below it are already connected with the probe.
@@ -37,19 +38,23 @@ from pyspark.sql import functions as F
 from gridloom.llm.shared import checked_broadcast, removed, text_key, whole_texts, written
 
 #: Ratio of the size classes; spaces tried before sets with many empty segments share one signature.
-CLASS_RATIO, SPACES = 1.5, 4
+CLASS_RATIO, SPACES = 1.3, 4
 #: N-grams of the sets of a block that one task may hold, and of the probes of one round.
-TASK_GRAMS, ROUND_GRAMS, FIRST_PROBES = 4_000_000, 4_000_000, 64
+TASK_GRAMS, ROUND_GRAMS, FIRST_PROBES = 6_000_000, 1_000_000, 64
+#: Documents whose sets are held at once, and whose signatures meet before the shuffle; signatures of a bucket after it.
+SLICE, PACKED_DOCS, BUCKET_SIGNATURES = 512, 1024, 1_000_000
 U = np.uint64
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser: xor-shifts and odd multipliers."""
-    with np.errstate(over="ignore"):
-        x = x + U((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
+    x = x + U((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
+    x ^= x >> U(30)
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -57,18 +62,18 @@ def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     words = pc.ascii_split_whitespace(pc.ascii_lower(whole_texts(texts)))
     lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
     coded = words.flatten().dictionary_encode()
-    vocabulary = np.array([xxhash.xxh64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()], U)
-    blank = np.array([not w for w in coded.dictionary.to_pylist()], bool)
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+    vocabulary = pd.util.hash_array(distinct, categorize=False) if len(distinct) else np.zeros(0, U)
+    blank = distinct == ""
     index = coded.indices.to_numpy(zero_copy_only=False)
     real = ~blank[index] if len(index) else np.zeros(0, bool)
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     kept = np.concatenate([[0], np.cumsum(real)])[bounds]  # words of each text without the empty pieces at its ends
     hashes = vocabulary[index[real]]
-    with np.errstate(over="ignore"):
-        grams = hashes.copy()
-        for i in range(1, n):
-            grams[: len(hashes) - i] = mixed(grams[: len(hashes) - i]) + hashes[i:]
-        grams = mixed(grams)
+    grams = hashes.copy()
+    for i in range(1, n):
+        grams[: len(hashes) - i] = mixed(grams[: len(hashes) - i]) + hashes[i:]
+    grams = mixed(grams)
     out = []
     for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True):
         if b - a >= n:
@@ -85,7 +90,7 @@ class Threshold:
     """Jaccard of at least num/den, in integers; size classes and their segments."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+        self.num, self.den, self.known = num, den, {}
         self.tops = [1]
         while self.tops[-1] < 1 << 40:
             self.tops.append(max(self.tops[-1] + 1, int(self.tops[-1] * CLASS_RATIO)))
@@ -104,36 +109,55 @@ class Threshold:
         b = self.largest(top)
         return int(Fraction((top + b) * (self.den - self.num), self.den + self.num))
 
-    def classes(self, size: int) -> Iterator[tuple[int, int, int]]:
-        """(class, segments, most empty segments with which one signature is sure to be shared) for a set."""
-        own = int(np.searchsorted(self.tops_, size))
-        for c in range(own, -1, -1):
-            if c < own and size > self.largest(self.tops[c]):
-                break
-            d = self.differ(self.tops[c])
-            segments = d + 1 if self.tops[c] <= 3 else int(d * 1.15) + 3
-            yield c, segments, segments - d - 1
+    def classes(self, size: int) -> list[tuple[int, int, int]]:
+        """(class, segments, most segments that may be left out with one shared signature still sure) for a set."""
+        if size not in self.known:
+            own, out = int(np.searchsorted(self.tops_, size)), []
+            for c in range(own, -1, -1):
+                if c < own and size > self.largest(self.tops[c]):
+                    break
+                d = self.differ(self.tops[c])
+                segments = d + 1 if self.tops[c] <= 3 else int(d * 1.2) + 3
+                out.append((c, segments, segments - d - 1))
+            self.known[size] = out
+        return self.known[size]
+
+
+def signatures_of(sets: list[np.ndarray], t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, the place of the set that each belongs to) of some sets."""
+    flat = np.concatenate([np.zeros(0, U), *sets])
+    ends = np.cumsum([len(s) for s in sets])
+    strong, first = mixed(flat, 101), mixed(flat)
+    # Sums of 32-bit halves are exact in doubles.
+    low, high = (strong & U(0xFFFFFFFF)).astype(np.float64), (strong >> U(32)).astype(np.float64)
+    sums, names, places, owners = [], [], [], []
+    for i, grams in enumerate(sets):
+        own = slice(ends[i] - len(grams), ends[i])
+        for c, segments, spare in t.classes(len(grams)) if len(grams) else ():
+            for space in range(SPACES):
+                place = ((mixed(grams, space) if space else first[own]) % U(segments)).astype(np.int64)
+                count = np.bincount(place, minlength=segments)
+                heavy = np.flatnonzero(count > 1)
+                used = heavy if segments - len(heavy) <= spare else np.flatnonzero(count)
+                total = np.bincount(place, low[own], segments)[used].astype(U) + (np.bincount(place, high[own], segments)[used].astype(U) << U(32))
+                sums.append(total)
+                places.append(used.astype(U))
+                names.append(np.full(len(used), c * 64 + space, U))
+                owners.append(np.full(len(used), i, np.int64))
+                if segments - len(used) <= spare:
+                    break
+            else:  # practically never: all such sets of the class meet
+                for part, value in ((sums, 977), (places, 0), (names, c * 64 + SPACES)):
+                    part.append(np.array([value], U))
+                owners.append(np.array([i], np.int64))
+    if not sums:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    return mixed(mixed(np.concatenate(sums) + np.concatenate(names) * U(0x9E3779B97F4A7C15), 7) + np.concatenate(places), 11), np.concatenate(owners)
 
 
 def signatures(grams: np.ndarray, t: Threshold) -> np.ndarray:
     """The signatures of one set."""
-    out = []
-    strong = mixed(grams, 101)
-    low, high = (strong & U(0xFFFFFFFF)).astype(np.float64), (strong >> U(32)).astype(np.float64)
-    for c, segments, spare in t.classes(len(grams)):
-        for space in range(SPACES + 1):
-            if space == SPACES:  # practically never: all such sets of the class meet
-                out.append(mixed(np.array([c], U), 977))
-                break
-            place = (mixed(grams, space) % U(segments)).astype(np.int64)
-            count = np.bincount(place, minlength=segments)
-            # Sums of 32-bit halves are exact in doubles.
-            sums = np.bincount(place, low, segments).astype(U) + (np.bincount(place, high, segments).astype(U) << U(32))
-            used = np.flatnonzero(count)
-            out.append(mixed(mixed(sums[used] + U(c * 64 + space), 7) + used.astype(U), 11))
-            if segments - len(used) <= spare:
-                break
-    return np.concatenate(out) if out else np.zeros(0, U)
+    return signatures_of([grams], t)[0]
 
 
 class Node:
@@ -146,10 +170,42 @@ class Node:
 
 
 class Trie:
-    """Ordered sets with shared prefixes. `label` of a node: a member whose component holds all members below, or -2."""
+    """Ordered sets with shared prefixes. `label` of a node: a member whose component holds all members below, or -2.
+
+    `index` lists the early n-grams of all members, so that a walk leaves out branches of the root that can't hold a
+    link: linked sets agree on at least half of their early n-grams that may differ.
+    """
 
     def __init__(self, t: Threshold):
         self.t, self.root, self.size, self.parent = t, Node(np.zeros(0, U)), [], []
+        self.first, self.early, self.index = [], [], None
+
+    def early_grams(self, grams: np.ndarray) -> tuple[np.ndarray, int]:
+        """The n-grams up to `extra` places beyond where a link must have agreed once, and `extra`."""
+        size = len(grams)
+        least = -(-self.t.num * size // self.t.den)  # the overlap with the smallest set that can be linked
+        extra = max(1, size - least)
+        return grams[: size - least + extra], extra
+
+    def branches(self, grams: np.ndarray) -> set[int] | None:
+        """First n-grams of the members that agree with a set on enough early n-grams."""
+        if self.index is None:
+            return None
+        own, extra = self.early_grams(grams)
+        tokens, owners, extras = self.index
+        low, high = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
+        hits = np.concatenate([owners[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a] or [owners[:0]])
+        count = np.bincount(hits, minlength=len(extras))
+        return {self.first[i] for i in np.flatnonzero((count >= np.minimum(extra, extras)) & (count > 0)).tolist()}
+
+    def sealed(self) -> Trie:
+        """Builds the index; no set is inserted afterwards."""
+        owners = np.repeat(np.arange(len(self.early), dtype=np.int32), [len(g) for g, _ in self.early])
+        tokens = np.concatenate([g for g, _ in self.early] or [np.zeros(0, U)])
+        order = np.argsort(tokens, kind="stable")
+        self.index = tokens[order], owners[order], np.array([e for _, e in self.early], np.int64)
+        self.early = []
+        return self
 
     def find(self, x: int) -> int:
         while self.parent[x] != x:
@@ -165,6 +221,8 @@ class Trie:
         me, size = len(self.size), len(grams)
         self.size.append(size)
         self.parent.append(me)
+        self.first.append(int(grams[0]) if size else -1)
+        self.early.append(self.early_grams(grams))
         node, at = self.root, 0
         while True:
             node.shortest, node.longest = min(node.shortest, size), max(node.longest, size)
@@ -189,8 +247,8 @@ class Trie:
 
     def links(self, grams: np.ndarray, me: int | None = None) -> Iterator[int]:
         """Members linked with a set; with `me`, members of its component may be left out, and links join components."""
-        size, t = len(grams), self.t
-        stack = [(self.root, 0, 0, 0, False)]
+        size, t, branches = len(grams), self.t, self.branches(grams)
+        stack = [(self.root, 0, 0, 0, False)] if branches is None else [(self.root.children[b], 0, 0, 0, False) for b in branches]
         while stack:
             node, depth, shared, place, done = stack.pop()
             if done:  # all children have been met: are they one component now?
@@ -224,7 +282,9 @@ def components_of(sets: list[np.ndarray], t: Threshold) -> list[int]:
     trie = Trie(t)
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     for i in order:
-        me = trie.insert(sets[i])
+        trie.insert(sets[i])
+    trie.sealed()
+    for me, i in enumerate(order):
         for _ in trie.links(sets[i], me):
             pass
     out = [0] * len(sets)
@@ -237,51 +297,63 @@ def slim_sets(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, text_key, n_shingles, s1, s2 (128 bits of the set's hash) of every document."""
     def run(batches):
         for batch in batches:
-            sets = gram_sets(batch.column("text"), n)
-            whole = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            halves = [np.array([(h >> s) & (2**64 - 1) for h in whole], U).view(np.int64) for s in (0, 64)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, halves)], names=["doc_id", "text_key", "n_shingles", "s1", "s2"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sets = gram_sets(part.column("text"), n)
+                whole = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+                halves = [np.array([(h >> s) & (2**64 - 1) for h in whole], U).view(np.int64) for s in (0, 64)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, halves)], names=["doc_id", "text_key", "n_shingles", "s1", "s2"])
 
     return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, s1 long, s2 long")
 
 
-def signature_rows(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """sig, node: one row for each signature of each document's set; node is a set's s1."""
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows, nodes = [], []
-                for s in gram_sets(batch.column("text").slice(at, 512), n):
-                    if len(s):
-                        rows.append(signatures(s, t))
-                        node = xxhash.xxh3_128_intdigest(s.tobytes()) & (2**64 - 1)
-                        nodes.append(np.full(len(rows[-1]), node, U))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (rows, nodes)], names=["sig", "node"])
+def first_of_runs(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, the smallest node of each, and ties of that node with the others: a, b)."""
+    order = np.lexsort((nodes, sigs))
+    sigs, nodes = sigs[order], nodes[order]
+    starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, np.int64)
+    heads = np.repeat(nodes[starts], np.diff(np.concatenate([starts, [len(sigs)]])))
+    apart = heads != nodes
+    pairs = np.unique(np.stack([heads[apart], nodes[apart]]), axis=1)
+    return sigs[starts], nodes[starts], pairs[0], pairs[1]
 
-    return docs.select("text").mapInArrow(run, "sig long, node long")
 
+def packed_signatures(docs: DataFrame, n: int, t: Threshold, buckets: int) -> DataFrame:
+    """bucket, x, y (8-byte integers): signatures and nodes by bucket of the signature, and ties in bucket -1.
 
-def ties(signed: DataFrame) -> DataFrame:
-    """a, b: each node of a signature tied to the smallest one; rows are sorted by signature and streamed."""
+    Before the shuffle, a batch of documents keeps one node of a signature and ties the others to it, so a signature
+    that a third of all documents share costs one entry a batch.
+    """
     def run(batches):
-        sig = first = None
         for batch in batches:
-            sigs, nodes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "node"))
-            if not len(sigs):
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
-            heads = nodes[starts].copy()
-            if sigs[0] == sig:
-                heads[0] = first
-            head = np.repeat(heads, np.diff(np.concatenate([starts, [len(sigs)]])))
-            sig, first = sigs[-1], head[-1]
-            apart = head != nodes
-            if apart.any():
-                pairs = np.unique(np.stack([head[apart], nodes[apart]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            for at in range(0, batch.num_rows, PACKED_DOCS):
+                sets = {xxhash.xxh3_128_intdigest(s.tobytes()) & (2**64 - 1): s for s in gram_sets(batch.column("text").slice(at, PACKED_DOCS), n)}
+                sigs, owners = signatures_of([*sets.values()], t)
+                sigs, nodes, a, b = first_of_runs(sigs, np.array([*sets], U).view(np.int64)[owners])
+                place = (sigs % U(buckets)).astype(np.int64)
+                order = np.argsort(place, kind="stable")
+                cuts = np.searchsorted(place[order], np.arange(buckets + 1))
+                rows = [(-1, a.tobytes(), b.tobytes())] if len(a) else []
+                rows += [(i, sigs[order[x:y]].tobytes(), nodes[order[x:y]].tobytes()) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "x", "y"])
+
+    return docs.select("text").mapInArrow(run, "bucket int, x binary, y binary")
+
+
+def ties(packed: DataFrame) -> DataFrame:
+    """a, b: each node of a signature tied to the smallest one."""
+    def meet(table: pa.Table) -> pa.Table:
+        x, y = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("x", U), ("y", np.int64)))
+        _, _, a, b = first_of_runs(x, y)
+        return pa.table({"a": a, "b": b})
+
+    def unpack(batches):
+        for batch in batches:
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v, np.int64)) for v in (x, y)], names=["a", "b"])
 
-    return signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "a long, b long").distinct()
+    met = packed.filter(F.col("bucket") >= 0).groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return met.union(packed.filter(F.col("bucket") < 0).select("x", "y").mapInArrow(unpack, "a long, b long")).distinct()
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:
@@ -316,10 +388,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """block, node, grams (sorted, 8 bytes each) of the documents in `wanted` (_id, node, block); rows repeat if documents do."""
     def run(batches):
         for batch in batches:
-            sets = gram_sets(batch.column("text"), n)
-            same = [np.uint64(xxhash.xxh3_128_intdigest(s.tobytes()) & (2**64 - 1)).view(np.int64) == node for s, node in zip(sets, batch.column("node").to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_arrays([batch.column("block"), batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["block", "node", "grams"])
-            yield out.filter(pa.array(same))  # another text may have the same id
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sets = gram_sets(part.column("text"), n)
+                same = [np.uint64(xxhash.xxh3_128_intdigest(s.tobytes()) & (2**64 - 1)).view(np.int64) == node for s, node in zip(sets, part.column("node").to_pylist(), strict=True)]
+                out = pa.RecordBatch.from_arrays([part.column("block"), part.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["block", "node", "grams"])
+                yield out.filter(pa.array(same, pa.bool_()))  # another text may have the same id
 
     rows = docs.select("doc_id", "text").join(checked_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("_id")))
     return rows.select("text", "node", "block").mapInArrow(run, "block long, node long, grams binary")
@@ -366,6 +440,8 @@ def probed(sets: DataFrame, t: Threshold, name: str, round_grams: int = ROUND_GR
                 trie, names = tries.setdefault(block, (Trie(t), []))
                 trie.insert(np.frombuffer(grams, U))
                 names.append(node)
+            for trie, _ in tries.values():
+                trie.sealed()
             for batch in batches:
                 pairs = []
                 for block, node, grams in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "grams")), strict=True):
@@ -391,7 +467,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, tas
     """
     t = Threshold(num, den)
     slim = written(slim_sets(docs, n), "grams-slim")
-    tied = connected(ties(signature_rows(docs, n, t)), "grams-ties")
+    grams = slim.agg(F.sum("n_shingles")).first()[0] or 0
+    packed = written(packed_signatures(docs, n, t, max(8, grams * 2 // 5 // BUCKET_SIGNATURES)), "grams-packed")
+    tied = connected(ties(packed), "grams-ties")
+    removed(packed)
     nodes = slim.filter(F.col("n_shingles") > 0).groupBy("s1", "s2").agg(F.min("doc_id").alias("_id"), F.max("n_shingles").alias("_n"))
     wanted = written(tied.join(nodes, F.col("node") == F.col("s1")).select("_id", "node", F.col("component").alias("block"), "_n"), "grams-wanted")
     sizes = wanted.groupBy("block").agg(F.sum("_n").alias("_grams"))

@@ -30,6 +30,8 @@ from gridloom.llm.shared import checked_broadcast, whole_texts, written
 
 #: Most labelled documents that the models are fitted on, most bytes of one of them, and the hash space of words.
 FIT_DOCS, FIT_BYTES, SPACE = 6_000, 20_000, 1 << 20
+#: Words whose log-odds a worker keeps, and texts that it scores at once.
+TABLE, SLICE = 200_000, 512
 BEGINNINGS = (4, 5, 6, 7)
 #: Pseudo-documents behind the log-odds of a word; log-odds that count as high; steps and ridge of the regression.
 PSEUDO, LEVELS, NEWTON, RIDGE = 2.0, (0.7, 1.2, 1.8, 2.5), 15, 1.0
@@ -45,14 +47,13 @@ def word_slots(word: str) -> list[int]:
     return [xxhash.xxh64_intdigest(p.encode(), seed=i) % (SPACE - 1) + 1 if p else 0 for i, p in enumerate(parts)]
 
 
-def encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(slots of each distinct word, word of each token, first token of each text and the end, surface ratios)."""
+def encoded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, word of each token, first token of each text and the end, surface ratios)."""
     raw = whole_texts(texts)
     words = pc.ascii_split_whitespace(pc.utf8_lower(raw))
     bounds = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))])
     coded = words.flatten().dictionary_encode()
     tokens = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    slots = np.array([word_slots(w) for w in coded.dictionary.to_pylist()], np.int32).reshape(-1, len(BEGINNINGS) + 2)
     n = np.maximum(1, np.diff(bounds)).astype(float)
     chars = np.maximum(1, pc.utf8_length(raw).to_numpy(zero_copy_only=False)).astype(float)
 
@@ -62,7 +63,7 @@ def encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     again = np.concatenate([[False], tokens[1:] == tokens[:-1]]).astype(float) if len(tokens) else np.zeros(0)
     distinct = np.array([len(np.unique(tokens[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], float)
     surface = np.stack([np.log1p(n) / 5, share(r"[#$%&*|!<>=_]") * 5, share(r"\p{Lu}"), share(r"[0-9]") * 5, sums(again, bounds) / n, distinct / n], 1)
-    return slots, tokens, bounds, surface
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), tokens, bounds, surface
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -88,12 +89,27 @@ class Model:
     def __init__(self, odds: list[np.ndarray], scale: list[tuple[np.ndarray, np.ndarray]], heads: list[np.ndarray]):
         self.odds, self.scale, self.heads = odds, scale, heads
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    def word_odds(self, words: list[str]) -> np.ndarray:
+        """Log-odds of each word for each target, by a table of bounded size that a worker keeps."""
+        if "table" not in self.__dict__:
+            self.table: dict[str, tuple[float, ...]] = {}
+        table = self.table
+        if len(table) > TABLE:
+            table.clear()
+        new = [w for w in words if w not in table]
+        if new:
+            slots = np.array([word_slots(w) for w in new], np.int32)
+            table.update(zip(new, zip(*(odds[slots].max(1).tolist() for odds in self.odds), strict=True), strict=True))
+        return np.array([table[w] for w in words], np.float32).reshape(-1, len(self.odds))
+
     def logits(self, texts: pa.Array) -> np.ndarray:
-        slots, tokens, bounds, surface = encoded(texts)
-        out = []
-        for odds, (mean, spread), head in zip(self.odds, self.scale, self.heads, strict=True):
-            word = odds[slots].max(1) if len(slots) else np.zeros(0)
-            facts = (word_facts(word[tokens], bounds, surface) - mean) / spread
+        words, tokens, bounds, surface = encoded(texts)
+        by_word, out = self.word_odds(words), []
+        for k, ((mean, spread), head) in enumerate(zip(self.scale, self.heads, strict=True)):
+            facts = (word_facts(by_word[:, k][tokens], bounds, surface) - mean) / spread
             out.append(facts @ head[:-1] + head[-1])
         return np.stack(out, 1)
 
@@ -108,7 +124,9 @@ def fit(texts: list[str], targets: np.ndarray) -> Model:
 
     Log-odds that the second step sees leave the own document out, as they will for texts that were not in the sample.
     """
-    slots, tokens, bounds, surface = encoded(pa.array(texts, pa.large_string()))
+    words, tokens, bounds, surface = encoded(pa.array(texts, pa.large_string()))
+    slots = np.array([word_slots(w) for w in words], np.int32).reshape(-1, len(BEGINNINGS) + 2)
+    del words
     docs = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(bounds))
     held = np.zeros((targets.shape[1], 2, SPACE))  # documents without and with each target that hold a feature
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -166,8 +184,8 @@ def with_evidence(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.evidence(part.column("text")))], names=[*names, "evidence"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("evidence", T.DoubleType())]))

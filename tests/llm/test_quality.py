@@ -52,5 +52,5 @@ def test_edges(spark, docs):
 def test_surface_and_words():
     import pyarrow as pa
 
-    slots, tokens, bounds, surface = quality.encoded(pa.array([None, "a a b", "###"]))
-    assert bounds.tolist()[0] == 0 and surface.shape[0] == 3 and np.isfinite(surface).all() and slots.shape[1] == 6 and len(tokens) == bounds[-1]
+    words, tokens, bounds, surface = quality.encoded(pa.array([None, "a a b", "###"]))
+    assert bounds.tolist()[0] == 0 and surface.shape[0] == 3 and np.isfinite(surface).all() and len(quality.word_slots(words[-1])) == 6 and len(tokens) == bounds[-1]

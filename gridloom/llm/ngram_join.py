@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by prefix tries, down to connected components.
 
-A document's set is its distinct word n-grams, as sorted 64-bit hashes; the order of hashes is the global order. Sets
-that are equal become one node. What is left is done in three steps:
+A document's set is its distinct word n-grams, as sorted 64-bit hashes; the order of hashes is the global order
+outside of blocks. Sets that are equal become one node. What is left is done in three steps:
 
 1. Blocks that lose no link. Two linked sets differ in at most D n-grams (D follows from the threshold and the sizes),
    so of more than D segments of the hash space at least one is the same in both. Each node sends one signature for
@@ -9,9 +9,9 @@ that are equal become one node. What is left is done in three steps:
    sets with too many empty segments send those of a differently hashed space too. Segments of two and more rarely
    meet by a passage alone. Nodes with a common signature are tied to the smallest of them, first within a batch of documents
    and then across, which is linear in the nodes of a signature; ties give blocks by connected components.
-2. Tries. A block's sets go into a trie in the global order. A probe walks it once, sharing the overlap of common
-   prefixes, and leaves a subtree when the n-grams that remain on either side can't reach the threshold, or when all
-   sets below it are already connected with the probe.
+2. Tries. A block's sets go into a trie in the order of their n-grams' frequency in the block, the rarest first. A
+   probe walks it once, sharing the overlap of common prefixes, and leaves a subtree when the n-grams that remain on
+   either side can't reach the threshold, or when all sets below it are already connected with the probe.
 3. Blocks too large for one task are probed in rounds: a bounded set of probes, broadcast as a trie, meets all sets of
    its block, wherever they are. The first round takes a few; later ones take the sets outside of the largest
    component, until every set outside has met all others. Links inside the largest component aren't needed.
@@ -41,6 +41,8 @@ from gridloom.llm.shared import checked_broadcast, removed, text_key, whole_text
 CLASS_RATIO, SPACES = 1.3, 4
 #: N-grams of the sets of a block that one task may hold, and of the probes of one round.
 TASK_GRAMS, ROUND_GRAMS, FIRST_PROBES = 6_000_000, 1_000_000, 64
+#: Index entries that are counted in the time in which a walk meets one branch.
+BRANCH_ENTRIES = 2_000
 #: Documents whose sets are held at once, and whose signatures meet before the shuffle; signatures of a bucket after it.
 SLICE, PACKED_DOCS, BUCKET_SIGNATURES = 512, 1024, 1_000_000
 U = np.uint64
@@ -169,16 +171,32 @@ class Node:
         self.run, self.children, self.ends, self.shortest, self.longest, self.label = run, {}, [], 1 << 60, 0, -1
 
 
+class Postings:
+    """The sets that hold each n-gram."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        tokens = np.concatenate([np.zeros(0, U), *sets])
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[order]
+
+    def spans(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(self.tokens, grams), np.searchsorted(self.tokens, grams, "right")
+
+    def owners(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.owner[:0], *(self.owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a)])
+
+
 class Trie:
     """Ordered sets with shared prefixes. `label` of a node: a member whose component holds all members below, or -2.
 
     `index` lists the early n-grams of all members, so that a walk leaves out branches of the root that can't hold a
-    link: linked sets agree on at least half of their early n-grams that may differ.
+    link: linked sets agree on at least half of their early n-grams that may differ. Where more branches are left than
+    it costs to count, as among copies just below the threshold, `index` of all n-grams counts whole overlaps first.
     """
 
     def __init__(self, t: Threshold):
         self.t, self.root, self.size, self.parent = t, Node(np.zeros(0, U)), [], []
-        self.first, self.early, self.index = [], [], None
+        self.first, self.sets, self.index = [], [], None
 
     def early_grams(self, grams: np.ndarray) -> tuple[np.ndarray, int]:
         """The n-grams up to `extra` places beyond where a link must have agreed once, and `extra`."""
@@ -188,23 +206,24 @@ class Trie:
         return grams[: size - least + extra], extra
 
     def branches(self, grams: np.ndarray) -> set[int] | None:
-        """First n-grams of the members that agree with a set on enough early n-grams."""
+        """First n-grams of the members that agree with a set on enough n-grams."""
         if self.index is None:
             return None
         own, extra = self.early_grams(grams)
-        tokens, owners, extras = self.index
-        low, high = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
-        hits = np.concatenate([owners[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a] or [owners[:0]])
-        count = np.bincount(hits, minlength=len(extras))
-        return {self.first[i] for i in np.flatnonzero((count >= np.minimum(extra, extras)) & (count > 0)).tolist()}
+        early, every, extras, sizes = self.index
+        count = np.bincount(early.owners(*early.spans(own)), minlength=len(extras))
+        left = np.flatnonzero((count >= np.minimum(extra, extras)) & (count > 0))
+        low, high = every.spans(grams)
+        if len(left) * BRANCH_ENTRIES > int((high - low).sum()):
+            shared = np.bincount(every.owners(low, high), minlength=len(extras))[left]
+            left = left[shared * (self.t.num + self.t.den) >= self.t.num * (len(grams) + sizes[left])]
+        return {self.first[i] for i in left.tolist()}
 
     def sealed(self) -> Trie:
         """Builds the index; no set is inserted afterwards."""
-        owners = np.repeat(np.arange(len(self.early), dtype=np.int32), [len(g) for g, _ in self.early])
-        tokens = np.concatenate([g for g, _ in self.early] or [np.zeros(0, U)])
-        order = np.argsort(tokens, kind="stable")
-        self.index = tokens[order], owners[order], np.array([e for _, e in self.early], np.int64)
-        self.early = []
+        early = [self.early_grams(grams) for grams in self.sets]
+        self.index = Postings([g for g, _ in early]), Postings(self.sets), np.array([e for _, e in early], np.int64), np.array(self.size, np.int64)
+        self.sets = []
         return self
 
     def find(self, x: int) -> int:
@@ -222,7 +241,7 @@ class Trie:
         self.size.append(size)
         self.parent.append(me)
         self.first.append(int(grams[0]) if size else -1)
-        self.early.append(self.early_grams(grams))
+        self.sets.append(grams)
         node, at = self.root, 0
         while True:
             node.shortest, node.longest = min(node.shortest, size), max(node.longest, size)
@@ -277,9 +296,17 @@ class Trie:
                 stack += [(c, depth, shared, place, False) for c in node.children.values()]
 
 
+def by_rarity(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets as sorted ranks of their n-grams, those in the fewest of these sets first, then by hash."""
+    grams, place, count = np.unique(np.concatenate([np.zeros(0, U), *sets]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(grams), U)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(grams), dtype=U)
+    return [np.sort(part) for part in np.split(rank[place], np.cumsum([len(s) for s in sets])[:-1])]
+
+
 def components_of(sets: list[np.ndarray], t: Threshold) -> list[int]:
     """The component of each set, as the place of one of its members, by a trie join."""
-    trie = Trie(t)
+    trie, sets = Trie(t), by_rarity(sets)
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     for i in order:
         trie.insert(sets[i])

@@ -226,10 +226,12 @@ class Codec:
                 whole = at + width >= len(part)
                 words = self.words.findall(part[at : at + width])
                 if not whole:
-                    if len(words) == 1:  # one word fills the slice
+                    words.pop()  # it may go on
+                    if words and words[-1][-1] == "'":  # with what follows, it may be a contraction
+                        words.pop()
+                    if not words:  # nothing in the slice is sure
                         width *= 2
                         continue
-                    words.pop()  # it may go on
                 at, width = at + (width if whole else sum(map(len, words))), SLICE
                 yield list(chain.from_iterable(map(self.table.__getitem__, words)))
 

@@ -38,6 +38,17 @@ def test_words_longer_than_any_slice():
         same("=" * n + " " * n + "x")
 
 
+def test_contractions_at_every_slice_border(monkeypatch):
+    same("a " * 32766 + "we'll stay ")
+    texts = ["we'll", "we're so", "we've 'll", "'l 'r 'v 've", "it's I'm I'd !'ll ''re 'lla", "x  'll\n\n'v 'v\n y", "'", "''", "'r"]
+    for width in range(1, 9):
+        monkeypatch.setattr(bpe, "SLICE", width)
+        for text in texts:
+            for shift in range(width):
+                same("b" * shift + text)
+                same(" " * shift + text + " z")
+
+
 def test_transducer_holds_little_and_fits_any_split():
     rng, word = random.Random(1), bytes(random.Random(2).choice(b"etaoinshr") for _ in range(3_000))
     t, out, at, most = bpe.Transducer(OWN.m), [], 0, 0

@@ -60,6 +60,15 @@ def test_carry_drops_late_hours(spark, tmp_path):
     assert [(r.hour_idx, r.filled, r.source) for r in rows] == [(h, 3.0, 1) for h in range(3, 9)] + [(9, -99.0, 2), (10, -99.0, 2), (11, 4.0, 0)]
 
 
+def test_hourly_stream_of_unordered_files(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.station, r.variable, r.hour_idx): (r.n, r.total) for r in QUERIES["stream_hourly"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {r[:3]: r[3:] for r in con.execute(SQL["stream_hourly"]).fetchall()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-4) for k in want)
+
+
 def test_entry_without_the_llm_subpackage():
     import __spark_entry__ as entry
 

@@ -69,6 +69,11 @@ def test_hourly_stream_of_unordered_files(spark, tmp_path):
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-4) for k in want)
 
 
+def test_category_counts_take_every_order(spark):
+    rows = QUERIES["category_counts_all"](spark, SF).collect()
+    assert sum(r.rows for r in rows) == spark.read.parquet(f"{SF}/orders.parquet").count() and sum(r.pct for r in rows) == pytest.approx(100, abs=1e-4)
+
+
 def test_entry_without_the_llm_subpackage():
     import __spark_entry__ as entry
 

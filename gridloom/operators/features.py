@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from gridloom.functions import scalars
+
 LAGS, SPANS, MASK_SPANS = (0, 1, 2, 3, 6, 12, 24, 47), (3, 6, 12, 24, 48), (6, 24, 48)
 
 
@@ -52,20 +54,45 @@ def neighbour_context(panel: DataFrame, columns: list[str], hours: int = 48) ->
     return pairs.groupBy("station", "hour_idx").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_station", "_steps")))).alias("neighbours"))
 
 
-#: Information regimes: which channels a model may see, each holding those before it.
-REGIMES = {"R0": ["calendar"], "R1": ["calendar", "target"], "R2": ["calendar", "target", "others"], "R3": ["calendar", "target", "others", "neighbours"]}
+#: Information regimes: which channels a model may see, each holding those before it. Neighbours come as contexts, by `neighbour_context`.
+REGIMES = {"R0": ["calendar"], "R1": ["calendar", "target"], "R2": ["calendar", "target", "others"]}
+CYCLES = ["hour_sin", "hour_cos", "doy_sin", "doy_cos", "month_sin", "month_cos"]
+
+
+def channels(regime: str, target: str, others: list[str]) -> list[str]:
+    return ([target] if "target" in REGIMES[regime] else []) + (others if "others" in REGIMES[regime] else [])
 
 
 def feature_names(regime: str, target: str, others: list[str]) -> list[str]:
     """Columns of the wide feature matrix of a regime, in order."""
-    names = ["hour_sin", "hour_cos", "doy_sin", "doy_cos", "month_sin", "month_cos"]
-    for x in ([target] if "target" in REGIMES[regime] else []) + (others if "others" in REGIMES[regime] else []):
+    names = [*CYCLES]
+    for x in channels(regime, target, others):
         names += [f"{x}_lag{k}" for k in LAGS] + [f"{x}_{s}{n}" for n in SPANS for s in ("mean", "std", "min", "max")]
     return names
 
 
 def feature_matrix(wide: DataFrame, regime: str, target: str, others: list[str], calendar: list[Column]) -> DataFrame:
     """station, hour_idx and the columns of `feature_names`, in one projection over one window."""
-    channels = ([target] if "target" in REGIMES[regime] else []) + (others if "others" in REGIMES[regime] else [])
-    made = [c for x in channels for c in (*lags(x), *trailing(x))]
+    made = [c for x in channels(regime, target, others) for c in (*lags(x), *trailing(x))]
     return wide.select("station", "hour_idx", *calendar, *made).select("station", "hour_idx", *[F.col(f"`{c}`") for c in feature_names(regime, target, others)])
+
+
+def sample_names(regime: str, target: str, others: list[str], stations: int, codes: int) -> list[str]:
+    """Columns of the matrix of samples: values, masks, gap ages, one-hots of code and station, calendar of origin and target."""
+    own = channels(regime, target, others)
+    names = feature_names(regime, target, others)[len(CYCLES) :]
+    names += [n for x in own for n in (f"{x}_observed_lag0", *[f"{x}_observed_share{k}" for k in MASK_SPANS])] + [f"{x}_gap_age" for x in own]
+    return names + [f"code_{k}" for k in range(codes)] + [f"station_{s}" for s in range(stations)] + [f"{at}_{c}" for at in ("origin", "target") for c in CYCLES]
+
+
+def sample_matrix(wide: DataFrame, samples: DataFrame, regime: str, target: str, others: list[str], stations: int, codes: int, start: str) -> DataFrame:
+    """station, horizon, target_idx, origin_idx and the columns of `sample_names` as they stand at each sample's origin.
+
+    wide: station, hour_idx, code, and for each channel x its filled x, x_observed and x_gap_age.
+    """
+    own = channels(regime, target, others)
+    made = [c for x in own for c in (*lags(x), *trailing(x), F.col(f"{x}_observed").cast("int").alias(f"{x}_observed_lag0"), *mask_fractions(f"{x}_observed"), F.col(f"{x}_gap_age"))]
+    at_origin = wide.select("station", F.col("hour_idx").alias("origin_idx"), *scalars.one_hot(F.col("code"), list(range(codes)), "code"), *made)
+    stamps = [c.alias(f"{at}_{n}") for at in ("origin", "target") for n, c in zip(CYCLES, scalars.calendar(scalars.hour_timestamp(f"{at}_idx", start)), strict=False)]
+    rows = samples.select("station", "horizon", "target_idx", "origin_idx", *scalars.one_hot(F.col("station"), list(range(stations)), "station"), *stamps)
+    return rows.join(at_origin, ["station", "origin_idx"]).select("station", "horizon", "target_idx", "origin_idx", *sample_names(regime, target, others, stations, codes))

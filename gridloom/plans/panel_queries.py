@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalars
 from gridloom.operators import features, panel, samples
 from gridloom.plans.base import (
-    FILLED, GRID, PREDICTED, SAMPLES, STATIONS, TARGET, TIME, candidates, climatology_table, filled_panel, filled_target, full_panel, predictions, query, rounded, target_panel,
+    FILLED, GRID, PREDICTED, SAMPLES, STATIONS, TARGET, TIME, VARIABLES, candidates, climatology_table, filled_panel, filled_target, full_panel, predictions, query, rounded, target_panel,
 )
 from gridloom.sources.tables import table
 
@@ -239,7 +239,12 @@ def leave_one_out(spark, sf):
 
 @query()
 def feature_matrix_b3(spark, sf):
-    """The wide matrix of regime R1 over the filled target."""
-    wide = filled_target(spark, sf).select("station", "hour_idx", F.col("filled").alias("target"))
-    stamp = F.expr(f"timestampadd(HOUR, hour_idx, timestamp_ntz'{TIME.start}')")
-    return rounded(features.feature_matrix(wide, "R1", "target", [], scalars.calendar(stamp)[:6]))
+    """The matrices of regimes R0 to R2 over all eligible samples; columns that a regime lacks are null. Codes are those of `categorical_fill`."""
+    cells = panel.gap_age(filled_panel(spark, sf))
+    found = cells.groupBy("station", "hour_idx").pivot("variable", VARIABLES).agg(F.first("filled").alias("value"), F.first("observed").alias("observed"), F.first("gap_age").alias("gap_age"))
+    named = found.select("station", "hour_idx", *[c for x in VARIABLES for c in (F.col(f"{x}_value").alias(x), F.col(f"{x}_observed"), F.col(f"{x}_gap_age"))])
+    coded = panel.categorical_fill(target_panel(spark, sf).withColumn("code", F.floor("value").cast("int") % 16), "code")
+    wide = named.join(coded.select("station", "hour_idx", F.col("filled_code").alias("code")), ["station", "hour_idx"])
+    others, chosen = [x for x in VARIABLES if x != TARGET], samples.eligible(candidates(spark, sf))
+    made = [features.sample_matrix(wide, chosen, r, TARGET, others, STATIONS, scalars.MISSING_CODE + 1, TIME.start).withColumn("regime", F.lit(r)) for r in ("R2", "R1", "R0")]
+    return rounded(made[0].unionByName(made[1], True).unionByName(made[2], True))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import features, models
+from gridloom.operators import features, models, samples
 from gridloom.plans.base import STATIONS, TARGET, TIME, filled_target, predictions, query, rounded, target_panel
 from gridloom.streaming import panel as streaming
 
@@ -47,14 +49,18 @@ def stream_carry(spark, sf):
 
 @query()
 def gbt_fit(spark, sf):
-    """Boosted trees with absolute loss on lags and trailing statistics of the target; MAE by partition."""
+    """Boosted trees with absolute loss on lags and trailing statistics of the target, fitted by horizon; MAE by horizon and partition."""
     wide = filled_target(spark, sf).select("station", "hour_idx", "filled")
     made = wide.select("station", "hour_idx", *features.lags("filled", (0, 1, 2, 3, 6, 12, 24)), *features.trailing("filled", (6, 24))).na.drop()
-    rows = predictions(spark, sf).filter(F.col("horizon") == 6).select("station", "target_idx", "partition", "actual", F.col("origin_idx").alias("hour_idx"))
+    rows = predictions(spark, sf).select("station", "horizon", "target_idx", "partition", "actual", F.col("origin_idx").alias("hour_idx"))
     data = rows.join(made, ["station", "hour_idx"])
     names = [c for c in made.columns if c not in ("station", "hour_idx")]
-    scored = models.boosted_trees(data.filter(F.col("partition") == "train"), data, names, "actual")
-    return scored.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("actual") - F.col("prediction"))).alias("mae"))
+    scored = []
+    for horizon in samples.HORIZONS:
+        own = data.filter(F.col("horizon") == horizon)
+        scored.append(models.boosted_trees(own.filter(F.col("partition") == "train"), own, names, "actual"))
+    found = reduce(DataFrame.unionByName, scored)
+    return found.groupBy("horizon", "partition").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("actual") - F.col("prediction"))).alias("mae"))
 
 
 @query()

@@ -190,7 +190,7 @@ class Trie:
     """Ordered sets with shared prefixes. `label` of a node: a member whose component holds all members below, or -2.
 
     `index` lists the early n-grams of all members, so that a walk leaves out branches of the root that can't hold a
-    link: linked sets agree on at least half of their early n-grams that may differ. Where more branches are left than
+    link: linked sets agree on at least half of their early n-grams that may differ, or on all that they must share. Where more branches are left than
     it costs to count, as among copies just below the threshold, `index` of all n-grams counts whole overlaps first.
     """
 
@@ -212,7 +212,8 @@ class Trie:
         own, extra = self.early_grams(grams)
         early, every, extras, sizes = self.index
         count = np.bincount(early.owners(*early.spans(own)), minlength=len(extras))
-        left = np.flatnonzero((count >= np.minimum(extra, extras)) & (count > 0))
+        needed = -(-self.t.num * (len(grams) + sizes) // (self.t.num + self.t.den))  # less than the extras at low thresholds
+        left = np.flatnonzero((count >= np.minimum(np.minimum(extra, extras), needed)) & (count > 0))
         low, high = every.spans(grams)
         if len(left) * BRANCH_ENTRIES > int((high - low).sum()):
             shared = np.bincount(every.owners(low, high), minlength=len(extras))[left]

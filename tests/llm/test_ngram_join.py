@@ -99,6 +99,24 @@ def test_trie_finds_all_links():
         assert {j for j in trie.links(s) if j != i} == want
 
 
+@pytest.mark.parametrize(("num", "den"), [(1, 10), (3, 10), (2, 5), (1, 2), (4, 5), (85, 100)])
+def test_sealed_tries_find_links_at_exactly_the_threshold(num, den):
+    rng, t = np.random.default_rng(7), nj.Threshold(num, den)
+    for _ in range(600):
+        a = int(rng.integers(1, 60))
+        b = int(rng.integers(a, t.largest(a) + 1))
+        both = t.needed(a, b)
+        if both > a:
+            continue
+        pool = rng.permutation(10_000)[: a + b].astype(np.uint64)
+        x, y = np.sort(pool[:a]), np.sort(np.concatenate([pool[:both], pool[a : a + b - both]]))
+        for own, other in ((x, y), (y, x)):
+            trie = nj.Trie(t)
+            trie.insert(own)
+            trie.insert(np.arange(20_000, 20_010, dtype=np.uint64))
+            assert 0 in set(trie.sealed().links(other))
+
+
 def test_words_are_split_by_ascii_space_only():
     texts = ["  a\x0bb\x0c c\r\n", "a b c d", "\x1ca \x85b", None, "x" * 100_000 + " y"]
     for text, got in zip(texts, nj.gram_sets(pa.array(texts), 1), strict=True):

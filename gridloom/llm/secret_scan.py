@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Three patterns find candidates in each text. The hash of every candidate's value is then counted over the corpus by
-distinct owners and repositories: a value that several owners hold is a copied example, a value that one owner holds
-looks live. Each candidate gets one span more, of kind `shared` or `live`, over its value.
+distinct owners and repositories: a value that several owners or many repositories hold is a copied example, one that
+few repositories of one owner hold looks live. Each candidate gets one span more, of kind `shared` or `live`, over its value.
 
 Positions come without Python: the pieces between matches (split) and the matches (regexp_extract_all) of the same
 pattern alternate, so running sums of their lengths are the starts and ends, in code points.
@@ -66,11 +66,12 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("v1", "v2").agg(F.count(F.lit(1)).alias("owners"), F.sum("_repos").alias("repos"))
 
 
-def scan(docs: DataFrame, owner: Column | None = None, repo: Column | None = None, shared_owners: int = 2) -> DataFrame:
-    """doc_id, base and spans of every row: arrays of (start, kind, end); spans hold the base ones and the added ones.
+def scan(docs: DataFrame, owner: Column | None = None, repo: Column | None = None, shared_owners: int = 2, shared_repos: int = 4) -> DataFrame:
+    """doc_id, base, spans and counts of every row: arrays of (start, kind, end); spans hold the base ones and the added ones.
+    counts holds (start, end, owners, repos) of each value.
 
-    owner and repo default to `source` and to `source` with `lang`. A value with at least `shared_owners` owners is
-    `shared`.
+    owner and repo default to `source` and to `source` with `lang`. A value with at least `shared_owners` owners or
+    `shared_repos` repositories is `shared`.
     """
     owner, repo = owner if owner is not None else F.col("source"), repo if repo is not None else F.concat_ws("/", "source", "lang")
     rows = docs.select("doc_id", text_key(F.col("text")).alias("_text"), "text", owner.alias("owner"), repo.alias("repo"))
@@ -79,12 +80,15 @@ def scan(docs: DataFrame, owner: Column | None = None, repo: Column | None = Non
     hashed = hashed.select("*", F.xxhash64("m.value").alias("v1"), F.xxhash64(F.lit(1), "m.value").alias("v2"))
     owned = ownership(hashed).select(F.col("v1").alias("_v1"), F.col("v2").alias("_v2"), "owners", "repos")
     judged = hashed.join(owned, (F.col("v1") == F.col("_v1")) & (F.col("v2") == F.col("_v2")))
-    kind = F.when(F.col("owners") >= shared_owners, KINDS.index("shared")).otherwise(KINDS.index("live"))
-    added = judged.groupBy("doc_id", "_text").agg(F.collect_set(F.struct(F.col("m.value_start").alias("start"), kind.alias("kind"), F.col("m.end").alias("end"))).alias("added"))
+    kind = F.when((F.col("owners") >= shared_owners) | (F.col("repos") >= shared_repos), KINDS.index("shared")).otherwise(KINDS.index("live"))
+    added = judged.groupBy("doc_id", "_text").agg(F.collect_set(F.struct(F.col("m.value_start").alias("start"), kind.alias("kind"), F.col("m.end").alias("end"), "owners", "repos")).alias("added"))
     added = added.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key"), "added")
     base = F.transform("found", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
+    more = F.transform("added", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
+    counts = F.array_sort(F.transform("added", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["owners"].alias("owners"), m["repos"].alias("repos"))))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,owners:bigint,repos:bigint>>)")
     out = rows.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left")
-    return out.select("doc_id", base.alias("base"), F.when(F.col("added").isNull(), base).otherwise(F.array_sort(F.concat(base, F.col("added")))).alias("spans"))
+    return out.select("doc_id", base.alias("base"), F.when(F.col("added").isNull(), base).otherwise(F.array_sort(F.concat(base, more))).alias("spans"), F.coalesce(counts, none).alias("counts"))
 
 
 def spelled(spans: Column) -> Column:

@@ -38,3 +38,13 @@ def test_ownership_separates_copies_from_own(docs):
     got = {r.doc_id: r.spans for r in secret_scan.scan_digest(docs(rows)).collect()}
     assert got[0] == "assign:0:21,shared:6:21" and got[9] == got[10] == "assign:0:22,live:6:22" and got[11] == ""
     assert secret_scan.scan_digest(docs([])).count() == 0
+
+
+def test_copies_over_many_repositories_of_one_owner_are_shared(docs):
+    copied, own = "token=EXAMPLEEXAMPLE1", "token=liveliveliveLIVE"
+    rows = [*[(i, copied, "s0") for i in range(6)], *[(10 + i, own, "s0") for i in range(3)], (20, "plain", "s0")]
+    repo = F.concat_ws("/", "source", "doc_id")
+    got = {r.doc_id: r for r in secret_scan.scan(docs(rows), repo=repo).collect()}
+    assert [tuple(x) for x in got[0].spans] == [(0, 0, 21), (6, secret_scan.KINDS.index("shared"), 21)]
+    assert [tuple(x) for x in got[10].spans] == [(0, 0, 22), (6, secret_scan.KINDS.index("live"), 22)]
+    assert [tuple(x) for x in got[0].counts] == [(6, 21, 1, 6)] and [tuple(x) for x in got[10].counts] == [(6, 22, 1, 3)] and got[20].counts == []

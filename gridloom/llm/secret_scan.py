@@ -26,22 +26,42 @@ HEX = r"[0-9a-f]{16,}"
 #: Least characters of the value of an assignment; those of the other kinds stand in their patterns, which is the same
 #: for runs of one class.
 ASSIGN_LEAST = 12
+#: Matches whose lengths are summed at a time.
+BLOCK = 256
 KINDS = ("assign", "access", "hex", "live", "shared")
 
 
+def running(lengths: Column) -> Column:
+    """Starts and ends from lengths of gaps and matches.
+
+    Arrays that grow by one are copied at each step, so sums run in blocks of `BLOCK`, and over the blocks' totals.
+    """
+    blocks = F.when(F.size(lengths) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array())
+    total = lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + x["gap"] + x["n"])
+    bases = lambda parts: F.aggregate(parts, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + total(x))))
+
+    def spans(block: Column, base: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            return F.struct((start + x["n"]).alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), (start + x["n"]).alias("end")))).alias("spans"))
+
+        return F.aggregate(block, F.struct(base.alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans")), add)["spans"]
+
+    return F.element_at(F.transform(F.array(blocks), lambda parts: F.flatten(F.zip_with(parts, F.slice(bases(parts), F.lit(1), F.size(parts)), spans))), 1)
+
+
+def of_kind(spans: str, kind: int) -> Column:
+    """How many spans are of a kind. The lambda takes the span alone: a second parameter would be its index."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def matches(text: Column, kind: int, pattern: str, group: int = 0) -> Column:
     """Array of (start, kind, end, value_start, value): all matches of `pattern`, in order."""
     whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
     lengths = F.zip_with(F.transform(F.slice(gaps, 1, F.size(whole)), F.length), F.transform(whole, F.length), lambda gap, n: F.struct(gap.alias("gap"), n.alias("n")))
-    ends = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end")))).alias("spans"),
-        ),
-    )["spans"]
+    # Bound to a lambda's variable, so that the matches are found once and not in each turn of the loops below.
+    ends = F.element_at(F.transform(F.array(lengths), running), 1)
     # A value ends where its match ends.
     return F.zip_with(ends, value, lambda s, v: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), (s["end"] - F.length(v)).alias("value_start"), v.alias("value")))
 
@@ -73,7 +93,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repo: Column | None = Non
     owner and repo default to `source` and to `source` with `lang`. A value with at least `shared_owners` owners or
     `shared_repos` repositories is `shared`.
     """
-    owner, repo = owner if owner is not None else F.col("source"), repo if repo is not None else F.concat_ws("/", "source", "lang")
+    owner, repo = owner if owner is not None else F.col("source"), repo if repo is not None else F.struct("source", "lang")
     rows = docs.select("doc_id", text_key(F.col("text")).alias("_text"), "text", owner.alias("owner"), repo.alias("repo"))
     rows = written(base_spans(rows).drop("text"), "secret-spans")
     hashed = rows.filter(F.size("found") > 0).select("doc_id", "_text", "owner", "repo", F.explode("found").alias("m"))
@@ -100,5 +120,5 @@ def spelled(spans: Column) -> Column:
 def scan_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
     out = scan(docs)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    counts = [of_kind("base", k).alias(f"n_{KINDS[k]}") for k in range(3)]
     return out.select("doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))

@@ -1,8 +1,11 @@
+import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from gridloom.llm import secret_scan
+from gridloom.llm.queries import queries
 
 BASE = (
     ("assign", re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
@@ -48,3 +51,41 @@ def test_copies_over_many_repositories_of_one_owner_are_shared(docs):
     assert [tuple(x) for x in got[0].spans] == [(0, 0, 21), (6, secret_scan.KINDS.index("shared"), 21)]
     assert [tuple(x) for x in got[10].spans] == [(0, 0, 22), (6, secret_scan.KINDS.index("live"), 22)]
     assert [tuple(x) for x in got[0].counts] == [(6, 21, 1, 6)] and [tuple(x) for x in got[10].counts] == [(6, 22, 1, 3)] and got[20].counts == []
+
+
+def spelled(spans):
+    return ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def test_every_column_of_the_query_over_the_whole_table(spark):
+    """Base spans, their counts, and the added spans by owners and repositories, against plain Python."""
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet").collect()
+    owners, repos = {}, {}
+    for d in docs:
+        for *_, value in brute(d.text):
+            owners.setdefault(value, set()).add(d.source)
+            repos.setdefault(value, set()).add((d.source, d.lang))
+    want = set()
+    for d in docs:
+        found = brute(d.text)
+        base = [(s, k, e) for s, k, e, _, _ in found]
+        more = {(v, 4 if len(owners[x]) >= 2 or len(repos[x]) >= 4 else 3, e) for _, _, e, v, x in found}
+        counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
+        want.add((d.doc_id, *counts, hashlib.sha256(spelled(base).encode()).hexdigest(), spelled(sorted([*base, *more]))))
+    got = {tuple(r) for r in queries()["op8_secret_scan"](spark, path).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()}
+    assert got == want and sum(r[3] for r in want) and sum(r[1] for r in want)
+
+
+def test_many_matches_in_one_text(docs):
+    text = " ".join(f"token={i:016d}" for i in range(100_000))
+    began = time.time()
+    row = secret_scan.scan_digest(docs([(1, text)])).first()
+    assert row.n_assign == 100_000 and row.n_hex == 100_000 and time.time() - began < 60
+    assert row.base_sha256 == hashlib.sha256(spelled([(s, k, e) for s, k, e, _, _ in brute(text)]).encode()).hexdigest()
+
+
+def test_null_owners_and_repositories_stay_apart(spark):
+    rows = [(i, "token=abcdefabcdefXYZ", lang, source, 0) for i, (source, lang) in enumerate([(None, "en"), ("en", None), (None, None), (None, "de")])]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert {tuple(r.counts[0]) for r in got} == {(6, 21, 2, 4)}

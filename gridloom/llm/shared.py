@@ -58,6 +58,14 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; `lower` does that on pure ASCII and is much faster there."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

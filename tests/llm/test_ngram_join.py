@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -63,58 +64,88 @@ def test_components_against_all_pairs(docs, n, num, den):
     assert sorted(map(tuple, got), key=str) == brute(rows, n, num, den)
 
 
-def test_large_blocks_are_probed_in_rounds(docs, monkeypatch):
-    rows = corpus(11)
-    monkeypatch.setattr(nj.probed, "__defaults__", (3000, 4))
-    got = nj.near_duplicates(docs(rows), 4, 85, 100, task_grams=300).select("doc_id", "n_shingles", "component_id").collect()
-    assert sorted(map(tuple, got), key=str) == brute(rows, 4, 85, 100)
+@pytest.mark.parametrize(("num", "den"), [(1, 10), (3, 10), (1, 2), (7, 10), (1, 1)])
+def test_all_thresholds_against_all_pairs(docs, num, den):
+    rows = corpus(num + den, 12)
+    got = nj.near_duplicates(docs(rows), 2, num, den).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 2, num, den)
 
 
-def test_every_linked_pair_shares_a_signature():
-    rng = np.random.default_rng(3)
-    for num, den in ((85, 100), (4, 5)):
-        t = nj.Threshold(num, den)
-        for _ in range(1500):
-            a = int(rng.choice([4, 5, 6, 7, 9, 12, 20, 45, 100, 400]))
-            b = int(rng.integers(a, t.largest(a) + 1))
-            both = t.needed(a, b)
-            if both > a:
-                continue
-            pool = rng.integers(0, 2**63, a + b, dtype=np.uint64)
-            x, y = np.sort(pool[:a]), np.sort(np.concatenate([pool[:both], pool[a : a + b - both]]))
-            assert set(nj.signatures(x, t).tolist()) & set(nj.signatures(y, t).tolist())
+@pytest.mark.parametrize(("task_grams", "task_sets", "num"), [(300, 3, 85), (100_000, 5, 85), (300, 3, 40)])
+def test_large_blocks_are_dealt_over_tasks(docs, task_grams, task_sets, num):
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(80)]
+    hot = [" ".join(base[:a] + [f"x{rng.randrange(20)}"] + base[a + rng.choice([0, 1, 6, 12]) :]) for a in (rng.randrange(70) for _ in range(90))]
+    rows = [*corpus(11, 15), *enumerate(hot, 5000)]
+    got = nj.near_duplicates(docs(rows), 4, num, 100, task_grams, task_sets).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 4, num, 100)
 
 
-def test_trie_finds_all_links():
-    rng, t = np.random.default_rng(5), nj.Threshold(4, 5)
-    sets = []
-    for _ in range(20):
-        base = rng.integers(0, 300, 30).astype(np.uint64)
-        sets += [np.unique(np.concatenate([base[rng.random(30) < 0.93], rng.integers(0, 300, 1).astype(np.uint64)])) for _ in range(8)]
-    trie = nj.Trie(t)
-    for s in sets:
-        trie.insert(s)
-    for i, s in enumerate(sets):
-        want = {j for j, o in enumerate(sets) if j != i and 5 * len(np.intersect1d(s, o)) >= 4 * len(np.union1d(s, o))}
-        assert {j for j in trie.links(s) if j != i} == want
+@pytest.mark.parametrize(("n", "num", "den"), [(4, 85, 100), (5, 4, 5)])
+def test_whole_table_against_an_inverted_index(spark, n, num, den):
+    """All documents of sf0.01 against plain Python, which counts overlaps by an inverted index."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    sets, holders, root = [grams(t, n) for _, t in rows], {}, list(range(len(rows)))
 
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, own in enumerate(sets):
+        for g in own:
+            holders.setdefault(g, []).append(i)
+    for i, own in enumerate(sets):
+        for j, both in Counter(j for g in own for j in holders[g] if j < i).items():
+            if den * both >= num * (len(own) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    first = {}
+    for i, (doc, _) in enumerate(rows):
+        first[find(i)] = min(first.get(find(i), doc), doc)
+    want = sorted((doc, len(sets[i]), first[find(i)]) for i, (doc, _) in enumerate(rows))
+    assert sorted(map(tuple, nj.near_duplicates(docs, n, num, den).select("doc_id", "n_shingles", "component_id").collect())) == want
+    assert len({w[2] for w in want}) < len(want)
 
-@pytest.mark.parametrize(("num", "den"), [(1, 10), (3, 10), (2, 5), (1, 2), (4, 5), (85, 100)])
-def test_sealed_tries_find_links_at_exactly_the_threshold(num, den):
+
+@pytest.mark.parametrize(("num", "den"), [(1, 10), (3, 10), (2, 5), (1, 2), (4, 5), (85, 100), (1, 1)])
+def test_tries_find_links_at_exactly_the_threshold(num, den):
     rng, t = np.random.default_rng(7), nj.Threshold(num, den)
     for _ in range(600):
         a = int(rng.integers(1, 60))
-        b = int(rng.integers(a, t.largest(a) + 1))
+        b = int(rng.integers(a, a * den // num + 1))
         both = t.needed(a, b)
         if both > a:
             continue
         pool = rng.permutation(10_000)[: a + b].astype(np.uint64)
         x, y = np.sort(pool[:a]), np.sort(np.concatenate([pool[:both], pool[a : a + b - both]]))
-        for own, other in ((x, y), (y, x)):
-            trie = nj.Trie(t)
-            trie.insert(own)
-            trie.insert(np.arange(20_000, 20_010, dtype=np.uint64))
-            assert 0 in set(trie.sealed().links(other))
+        label = nj.components_of(t, [x, np.arange(20_000, 20_010, dtype=np.uint64), y], np.array([a, 10, b]))
+        assert label[0] == label[2] != label[1]
+
+
+@pytest.mark.parametrize(("num", "den"), [(1, 5), (1, 2), (4, 5)])
+def test_tries_find_all_links(num, den):
+    rng, t = np.random.default_rng(5), nj.Threshold(num, den)
+    sets = []
+    for _ in range(20):
+        base = rng.integers(0, 300, 30).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[rng.random(30) < 0.93], rng.integers(0, 300, 1).astype(np.uint64)])) for _ in range(8)]
+    trie = nj.Trie(t, sets, np.array([len(s) for s in sets]))
+    sets = [sets[i] for i in trie.order]
+    for i, s in enumerate(sets):
+        want = {j for j, o in enumerate(sets) if j != i and den * len(np.intersect1d(s, o)) >= num * len(np.union1d(s, o))}
+        assert set(trie.links(i, np.arange(len(sets)) != i).tolist()) == want
+
+
+def test_thresholds_are_fractions():
+    for num, den in ((0, 1), (3, 2), (-1, 2)):
+        with pytest.raises(ValueError, match="threshold"):
+            nj.Threshold(num, den)
+
+
+def test_classes_keep_the_order_of_frequencies():
+    got = nj.frequency_class(np.array([1, 2, 3, 32, 33, 64, 65, 10**6, 10**12]))
+    assert got[0] == 0 and got[1] == 1 and (np.diff(got.astype(int)) >= 0).all() and got.max() <= 63
 
 
 def test_words_are_split_by_ascii_space_only():
@@ -125,8 +156,9 @@ def test_words_are_split_by_ascii_space_only():
 
 def test_keep_one(docs):
     rows = [(4, "a b c d e f g h"), (2, "A b c d e f g h"), (9, "quite another text of its own here"), (7, None), (8, ""), (9, "quite another text of its own here"), (None, "the only text that has no id at all")]
-    kept = nj.keep_one(docs(rows).withColumn("group", F.lit("mine")))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "group"]
+    own = ["group", "_id", "_Key", "_copies", "_text", "key", "text_key", "copies", "s1", "node", "_n"]
+    kept = nj.keep_one(docs(rows).withColumns({c: F.lit("mine") for c in own}))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", *own]
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 7, 8, 9, None]
     assert nj.keep_one(docs([])).count() == 0
 

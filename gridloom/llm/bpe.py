@@ -6,8 +6,10 @@ shorter prefixes. And what follows byte n can only change tokens that reach beyo
 last `lookahead` bytes, where lookahead is the length of the longest token the merge list can build, less one. Tokens
 that all live prefixes share are stable and leave at once; the rest is the transducer's whole memory.
 
-A text is read in slices; words of a slice go through a table of bounded size, and through the transducer where they
-are not in it. Decoding maps ids to bytes and bytes to text with an incremental UTF-8 decoder.
+Every word goes through the transducer. A text is read in slices; words that end inside a slice are remembered in a
+table of bounded size, and a word that is longer than a slice is fed to the transducer as its slices come, so that
+neither the word nor its tokens are ever held. Decoding maps ids to bytes and bytes to text with an incremental UTF-8
+decoder.
 
 Defined cases: null texts are empty and have no tokens; texts and words may be of any length; strings of special
 tokens become their ids unless `specials` is False, and then they are ordinary text; bytes that are not UTF-8 decode
@@ -31,8 +33,12 @@ from pyspark.sql import types as T
 
 #: The pattern of words of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The runs of characters that such words are made of.
+RUNS = (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")
+#: Characters that what follows a place can't reach back over: a contraction has three.
+CONTEXT = 4
 #: Characters of a text that are split into words at a time; words kept in the table of a worker; rows of an output batch.
-SLICE, TABLE, ROWS = 1 << 16, 250_000, 256
+SLICE, TABLE, ROWS = 1 << 16, 400_000, 256
 #: The vocabulary file that is used unless a path is given.
 DEFAULT_FILE = "byte_bpe_50k.json"
 
@@ -50,17 +56,27 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+NOTHING: dict = {}
+
+
 class Bounded(dict):
-    """A table that computes what it lacks, starts anew when it is full and keeps no key longer than `longest`."""
+    """A table that computes what it lacks and keeps no string longer than `longest`.
+
+    When it is full it becomes the old generation, in place of the last one, and starts anew; what is asked for again
+    comes back from there. So it holds 2 * most entries at most, and those that are used stay.
+    """
 
     def __init__(self, compute, most: int, longest: int = 256):
         super().__init__()
-        self.compute, self.most, self.longest = compute, most, longest
+        self.compute, self.most, self.longest, self.old = compute, most, longest, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
-        if len(key) <= self.longest:
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if isinstance(key, int) or len(key) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -94,8 +110,21 @@ class Merges:
         #: Trained lists build every token once, from tokens built before it; then ranks are the times of merges.
         self.proper = len(self.made) == len(self.rank) and all(max(order(a), order(b)) < r for r, a, b in self.made.values())
         self.ends, self.starts = (Bounded(functools.partial(self._edge, side), 1 << 17) for side in (2, 1))
+        #: Whether two tokens stay two, by first id * size + second id; whether a token's bytes become this token.
+        self.size = size
         self.stays = Bounded(self._stays, 1 << 18)
-        self.alone = Bounded(lambda token: self.merged(token) == [token], 1 << 17)
+        self.alone = Bounded(lambda i: self.merged(self.bytes[i]) == [self.bytes[i]], 1 << 17)
+        #: All tokens in a tree by byte: (id or -1, what may follow).
+        self.tree: dict[int, tuple[int, dict]] = {}
+        for token, i in vocab.items():
+            at = self.tree
+            for byte in token[:-1]:
+                known, below = at.get(byte, (-1, None))
+                if not below:  # leaves share one empty dict
+                    at[byte] = known, (below := {})
+                at = below
+            if token:
+                at[token[-1]] = i, at.get(token[-1], (-1, NOTHING))[1]
 
     def _edge(self, side: int, token: bytes) -> list[tuple[bytes, float]]:
         """The tokens at one edge of a token while it is built, each with the rank of the merge that takes it away."""
@@ -106,12 +135,13 @@ class Merges:
             out.append((token, rank))
         return out
 
-    def _stays(self, pair: tuple[bytes, bytes]) -> bool:
+    def _stays(self, pair: int) -> bool:
         """Whether two tokens stay two when their bytes are merged alone: no merge across comes before those inside."""
+        left, right = self.bytes[pair // self.size], self.bytes[pair % self.size]
         if not self.proper:
-            return self.merged(pair[0] + pair[1]) == [*pair]
-        for a, a_goes in self.ends[pair[0]]:
-            for b, b_goes in self.starts[pair[1]]:
+            return self.merged(left + right) == [left, right]
+        for a, a_goes in self.ends[left]:
+            for b, b_goes in self.starts[right]:
                 rank = self.rank.get((a, b))
                 if rank is not None and rank < a_goes and rank <= b_goes:
                     return False
@@ -129,55 +159,75 @@ class Merges:
 
 
 class Transducer:
-    """Tokens of one word, fed in pieces of bytes. Holds the bytes and prefix states since the last stable token."""
+    """Tokens of one word, fed in pieces of bytes, then `finish`, which makes it ready for the next word.
+
+    `last` holds the last token of each prefix since the last stable token, -1 where it isn't known yet; tokens that
+    begin before byte `done` have been tried. Once tokens have left, `last[0]` is the last of them, else nothing.
+    """
 
     def __init__(self, merges: Merges):
-        self.m, self.data, self.last, self.check = merges, bytearray(), [b""], 8 * merges.longest
+        self.m, self.room = merges, 4 * merges.longest
+        self.reset()
+
+    def reset(self) -> None:
+        self.data, self.last, self.done, self.check, self.begun = bytearray(), [0], 0, self.room, False
 
     def feed(self, piece: bytes) -> Iterator[int]:
-        m = self.m
-        for at in range(0, len(piece), m.longest):
-            self.data += piece[at : at + m.longest]
-            self._extend()
-            if len(self.data) >= self.check:
+        for at in range(0, len(piece), self.room):
+            self.data += piece[at : at + self.room]
+            self._extend(len(self.data) - self.m.longest)
+            if self.done >= self.check:
                 yield from self._stable()
 
     def finish(self) -> list[int]:
-        out, at = [], len(self.data)
+        self._extend(len(self.data))
+        out = self._back(len(self.data))
+        self.reset()
+        return out
+
+    def _extend(self, to: int) -> None:
+        """Tries all tokens that begin before `to`. The first that fits is the longest that ends at its place."""
+        m, data, last, n = self.m, self.data, self.last, len(self.data)
+        last += [-1] * (n + 1 - len(last))
+        tree, stays, alone, size, begun = m.tree, m.stays, m.alone, m.size, self.begun
+        for start in range(self.done, to):
+            at, before = tree, last[start] * size
+            for end in range(start, n):
+                found = at.get(data[end])
+                if found is None:
+                    break
+                token, at = found
+                if token >= 0 and last[end + 1] < 0 and (stays[before + token] if start or begun else alone[token]):
+                    last[end + 1] = token
+        self.done = max(self.done, to)
+
+    def _back(self, at: int) -> list[int]:
+        """The tokens of a prefix."""
+        out, size = [], self.m.bytes
         while at:
-            out.append(self.m.ids[self.last[at]])
-            at -= len(self.last[at])
-        self.data, self.last = bytearray(), [b""]
+            out.append(self.last[at])
+            at -= len(size[self.last[at]])
         return out[::-1]
 
-    def _extend(self) -> None:
-        m, data, last = self.m, bytes(self.data), self.last
-        ids, stays, alone = m.ids, m.stays, m.alone
-        for end in range(len(last), len(data) + 1):
-            for start in range(max(0, end - m.longest), end):
-                token = data[start:end]
-                if token in ids and (stays[last[start], token] if start else alone[token]):
-                    last.append(token)
+    def _stable(self) -> list[int]:
+        """Takes out the tokens up to the last boundary that all live prefixes share, the root of their common path."""
+        live = range(max(1, self.done - self.m.lookahead), self.done + 1)
+        marked, left, cut = bytearray(self.done + 1), len(live), 0
+        for at in live:
+            marked[at] = 1
+        for at in range(self.done, 0, -1):
+            if marked[at]:
+                if left == 1:
+                    cut = at
                     break
-
-    def _stable(self) -> Iterator[int]:
-        """Emits the tokens up to the last boundary that all live prefixes share."""
-        end = len(self.data)
-        shared: set[int] | None = None
-        for live in range(max(1, end - self.m.lookahead), end + 1):
-            own, at = set(), live
-            while at:
-                own.add(at)
-                at -= len(self.last[at])
-            shared = own if shared is None else shared & own
-        cut = max(shared or {0})
-        out, at = [], cut
-        while at:
-            out.append(self.m.ids[self.last[at]])
-            at -= len(self.last[at])
-        self.data, self.last = self.data[cut:], [b"", *self.last[cut + 1 :]]
-        self.check = max(8 * self.m.longest, 2 * len(self.data))
-        yield from reversed(out)
+                before = at - len(self.m.bytes[self.last[at]])
+                left += (not marked[before]) - 1
+                marked[before] = 1
+        out = self._back(cut)
+        if cut:
+            self.data, self.last, self.done, self.begun = self.data[cut:], self.last[cut:], self.done - cut, True
+        self.check = max(self.room, 2 * self.done)
+        return out
 
 
 class Codec:
@@ -185,34 +235,35 @@ class Codec:
 
     def __init__(self, path: str, specials: bool = True):
         self.m = Merges(path)
-        self.words = regex.compile(WORDS)
+        self.words, self.runs = regex.compile(WORDS), [regex.compile(r) for r in RUNS]
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.m.specials, key=len, reverse=True))) + ")") if specials and self.m.specials else None
-        self.table, self.prefixes = Bounded(self._word, TABLE), {}
+        self.table, self.transducer = Bounded(self._word, TABLE), Transducer(self.m)
 
     def _word(self, word: str) -> tuple[int, ...]:
-        """A word's tokens. Short words share the states of their prefixes, long ones are streamed."""
-        data = word.encode()
-        if len(data) > 64:
-            t = Transducer(self.m)
-            return (*t.feed(data), *t.finish())
-        ids, stays, alone, last = self.m.ids, self.m.stays, self.m.alone, self.prefixes
-        if len(last) > TABLE:
-            last.clear()
-        known = len(data)
-        while known and data[:known] not in last:
-            known -= 1
-        for end in range(known + 1, len(data) + 1):
-            for start in range(end):
-                token = data[start:end]
-                if token in ids and (stays[last[data[:start]], token] if start else alone[token]):
-                    last[data[:end]] = token
-                    break
-        out, at = [], len(data)
-        while at:
-            token = last[data[:at]]
-            out.append(ids[token])
-            at -= len(token)
-        return tuple(out[::-1])
+        """A word's tokens."""
+        t = self.transducer
+        return (*t.feed(word.encode()), *t.finish())
+
+    def _long(self, part: str, at: int, width: int) -> Iterator[list[int] | int]:
+        """The tokens of the word at a place that goes on beyond `width` characters, a list a slice; then where it ends.
+
+        The last character of white space may belong to the next word, so it waits for what follows.
+        """
+        t, end = self.transducer, self.words.match(part, at, at + width).end()
+        run = next(r for r in self.runs if r.match(part, end - 1, end))
+        held = 1 if run is self.runs[-1] else 0
+        yield list(t.feed(part[at : end - held].encode()))
+        while end < len(part):
+            more = run.match(part, end, end + SLICE)
+            if more is None:
+                break
+            yield list(t.feed(part[end - held : more.end() - held].encode()))
+            end = more.end()
+        if held and end == len(part):
+            yield list(t.feed(part[end - 1 :].encode()))
+            held = 0
+        yield t.finish()
+        yield end - held
 
     def pieces(self, text: str) -> Iterator[list[int]]:
         """Token ids of a text, a list for each slice."""
@@ -230,8 +281,20 @@ class Codec:
                     if words and words[-1][-1] == "'":  # with what follows, it may be a contraction
                         words.pop()
                     if not words:  # nothing in the slice is sure
-                        width *= 2
-                        continue
+                        if width < 4 * CONTEXT:
+                            width *= 2
+                            continue
+                        first = self.words.match(part, at, at + width).end()
+                        if first <= at + width - CONTEXT:
+                            words = [part[at:first]]
+                        else:
+                            for out in self._long(part, at, width):
+                                if isinstance(out, int):
+                                    at = out
+                                elif out:
+                                    yield out
+                            width = SLICE
+                            continue
                 at, width = at + (width if whole else sum(map(len, words))), SLICE
                 yield list(chain.from_iterable(map(self.table.__getitem__, words)))
 

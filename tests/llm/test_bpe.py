@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import bpe
+from gridloom.llm.queries import queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIB, OWN = Tokenizer.from_file(PATH), bpe.Codec(PATH)
@@ -60,12 +61,52 @@ def test_transducer_holds_little_and_fits_any_split():
 
 
 def test_neighbours_rule_agrees_with_merging():
-    rng, tokens = random.Random(3), sorted(OWN.m.ids)
-    assert OWN.m.proper
+    rng, m = random.Random(3), OWN.m
+    tokens = sorted(m.ids.values())
+    assert m.proper
     for _ in range(4000):
         a, b = rng.choice(tokens), rng.choice(tokens)
-        if OWN.m.alone[a] and OWN.m.alone[b]:
-            assert OWN.m._stays((a, b)) == (OWN.m.merged(a + b) == [a, b])
+        if m.alone[a] and m.alone[b]:
+            assert m.stays[a * m.size + b] == (m.merged(m.bytes[a] + m.bytes[b]) == [m.bytes[a], m.bytes[b]])
+
+
+def test_every_split_of_hard_texts(monkeypatch):
+    parts = ["'s", "'t", "'re", "'ve", "'ll", "'m", "'d", "'", " ", "  ", "\n\n", "word", "12345678901234567890", "!!!!!!!!", "<|endoftext|>", "é🙂", " " * 40, "=" * 70, "aehinrst" * 9]
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(parts, k=12)) for _ in range(25)]
+    for width in (2, 3, 5, 8, 13, 16, 17, 31, 64):
+        monkeypatch.setattr(bpe, "SLICE", width)
+        for text in texts:
+            same(text)
+
+
+def test_a_word_of_millions_of_letters_runs_in_flat_memory(monkeypatch):
+    rng = random.Random(4)
+    word = "".join(rng.choice("etaoinshr") for _ in range(2_000_000))
+    most, feed = [0], bpe.Transducer.feed
+
+    def watched(self, piece):
+        most[0] = max(most[0], len(piece) + len(self.data))
+        return feed(self, piece)
+
+    monkeypatch.setattr(bpe.Transducer, "feed", watched)
+    longest, out = 0, []
+    for ids in OWN.pieces(word):
+        longest = max(longest, len(ids))
+        out += ids
+    assert OWN.decode(out) == word and longest <= bpe.SLICE and most[0] < 2 * bpe.SLICE
+    assert out[:9_000] == LIB.encode(word[:60_000], add_special_tokens=False).ids[:9_000]
+
+
+def test_whole_table_against_the_library(spark):
+    """Every column of the query over all documents of sf0.01."""
+    path = "/root/testdata/sf0.01"
+    want = set()
+    for d in spark.read.parquet(f"{path}/documents.parquet").collect():
+        ids = LIB.encode(d.text or "", add_special_tokens=False).ids
+        decoded = LIB.decode(ids, skip_special_tokens=False)
+        want.add((d.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert {tuple(r) for r in queries()["op7_bpe_round_trip"](spark, path).collect()} == want
 
 
 def test_columns(docs):

@@ -4,19 +4,27 @@ Two models, for low quality and for toxicity, are fitted on a bounded sample of
 their beginnings and trailing marks, and a few surface ratios. They turn every whole text into evidence, the
 probability that it is good. Grouped sums of evidence give each host a Beta posterior that is shrunk toward the global
 rate, and each path one that is shrunk toward its host; how strongly follows from the spread between sites by the
-method of moments, so sparse sites stay near their prior. A document's posterior moves its evidence by its path's
-shift in log-odds, tempered and bounded, so that a bad site alone can't reject a text that reads well.
+method of moments, so sparse sites stay near their prior.
 
-Sums are made before the shuffle, so a host with a third of all documents costs one row a task.
+A document's posterior is Bayes' rule in this hierarchy: its evidence was made with the global rate as the prior, so
+the odds are divided by those of the global rate and multiplied by those of its site. The site's rate is taken without
+the document itself, so nothing counts twice and the only document of a site gets its host's rate. Since evidence
+comes from the text alone and is never certain, a site's odds are worth `SITE_ODDS` to one at most.
 
-Defined cases: null texts are empty; without labels all evidence is 1 and nothing is rejected; a null host or path is
-a site of its own; labels that are null or name no document are left out, and of several for one document all count;
-rows stand alone, so ties and repeats need no rule; an empty table gives no rows; extra columns pass through, and
-`evidence`, `site_rate` and `posterior` replace clashing ones.
+Sums are made before the shuffle, so a host with a third of all documents costs one row a task. Texts of the sample
+stay on the executors: word counts come back as sums by feature, and one short row of facts for each document.
+
+Defined cases: null texts are empty; where no label names a document all evidence is 1 and nothing is rejected; a null
+host or path is a site of its own; labels that are null or name no document are left out, and of several for one
+document all count, with the text of smallest hash where several rows have its id; rows stand alone, so ties and
+repeats need no rule; an empty table gives no rows; extra columns pass through, and `evidence`, `site_rate` and
+`posterior` replace clashing ones.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,17 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.shared import checked_broadcast, whole_texts, written
+from gridloom.llm.shared import checked_broadcast, fresh, whole_texts, written
 
-#: Most labelled documents that the models are fitted on, most bytes of one of them, and the hash space of words.
-FIT_DOCS, FIT_BYTES, SPACE = 6_000, 20_000, 1 << 20
+#: Most labels that the models are fitted on, and the hash space of words.
+FIT_DOCS, SPACE = 10_000, 1 << 20
 #: Words whose log-odds a worker keeps, and texts that it scores at once.
 TABLE, SLICE = 200_000, 512
 BEGINNINGS = (4, 5, 6, 7)
 #: Pseudo-documents behind the log-odds of a word; log-odds that count as high; steps and ridge of the regression.
 PSEUDO, LEVELS, NEWTON, RIDGE = 2.0, (0.7, 1.2, 1.8, 2.5), 15, 1.0
-#: Weight of a site's shift in log-odds, and its bound; documents below KEEP go.
-TEMPER, BOUND, KEEP = 0.5, 1.5, 0.5
+#: Most that a site's odds may weigh against the global ones; documents below KEEP go.
+SITE_ODDS, KEEP = 4.0, 0.5
 CORE = regex.compile(r"^[^\p{L}\p{N}]*(.*?)([^\p{L}\p{N}]*)$", regex.DOTALL)
 
 
@@ -119,62 +127,110 @@ class Model:
         return p[:, 0] * p[:, 1]
 
 
-def fit(texts: list[str], targets: np.ndarray) -> Model:
-    """Both models on a sample; the same sample gives the same model.
+def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """turn, doc_id, text, low, toxic of the first `most` labels that name a document, in the order of a hash."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
+    known = known.select(F.col("doc_id").alias("_id"), (F.col("quality") <= 0).alias("low"), (F.col("toxic") > 0).alias("toxic"))
+    ids = docs.select("doc_id").join(checked_broadcast(known.select("_id").distinct()), F.col("doc_id") == F.col("_id")).select("doc_id").distinct()
+    sample = known.join(ids, F.col("_id") == F.col("doc_id")).withColumn("turn", F.xxhash64("_id")).orderBy("turn", "_id", "low", "toxic").limit(most).select("turn", "_id", "low", "toxic")
+    sample = written(sample, "quality-labels")  # at most `most` rows
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample.select("_id").distinct()), F.col("doc_id") == F.col("_id"))
+    texts = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return written(texts.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("turn", "doc_id", "text", "low", "toxic"), "quality-sample")
 
-    Log-odds that the second step sees leave the own document out, as they will for texts that were not in the sample.
-    """
-    words, tokens, bounds, surface = encoded(pa.array(texts, pa.large_string()))
+
+def encoded_slots(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(slots of distinct words, word of each token, bounds, surface ratios, targets) of some rows of the sample."""
+    words, tokens, bounds, surface = encoded(batch.column("text"))
     slots = np.array([word_slots(w) for w in words], np.int32).reshape(-1, len(BEGINNINGS) + 2)
-    del words
-    docs = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(bounds))
-    held = np.zeros((targets.shape[1], 2, SPACE))  # documents without and with each target that hold a feature
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        own = np.unique(slots[tokens[a:b]])
-        for k, y in enumerate(targets[docs[a]].astype(int) if b > a else ()):
-            held[k, y, own] += 1
+    targets = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("low", "toxic")], 1).astype(np.int64)
+    return slots, tokens, bounds, surface, targets
+
+
+def slot_counts(sample: DataFrame) -> np.ndarray:
+    """[target, without or with it, feature]: documents of the sample that hold a feature; `SPACE` bounds its size."""
+    names = [f"n{k}{y}" for k in (0, 1) for y in (0, 1)]
+
+    def run(batches):
+        held = np.zeros((2, 2, SPACE), np.int32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                slots, tokens, bounds, _, targets = encoded_slots(batch.slice(at, SLICE))
+                for a, b, y in zip(bounds[:-1], bounds[1:], targets, strict=True):
+                    own = np.unique(slots[tokens[a:b]])
+                    for k in (0, 1):
+                        held[k, y[k], own] += 1
+        some = np.flatnonzero(held.any((0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(held[k, y, some]) for k in (0, 1) for y in (0, 1))], names=["slot", *names])
+
+    rows = sample.select("text", "low", "toxic").mapInArrow(run, "slot int, " + ", ".join(f"{n} int" for n in names))
+    got = rows.groupBy("slot").agg(*[F.sum(n).cast("int").alias(n) for n in names]).toArrow()
+    out = np.zeros((2, 2, SPACE), np.int32)
+    for i, name in enumerate(names):
+        out[i // 2, i % 2, got.column("slot").to_numpy()] = got.column(name).to_numpy()
+    out[:, :, 0] = 0  # slot 0 stands for no feature
+    return out
+
+
+def log_odds(with1: np.ndarray, with0: np.ndarray, ratio: float) -> np.ndarray:
+    return np.log((with1 + PSEUDO) / (with0 * ratio + PSEUDO)).astype(np.float32)
+
+
+def own_facts(sample: DataFrame, held: np.ndarray, ratios: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(facts [document, target, fact], targets [document, target]) of the sample, in its order.
+
+    Log-odds leave the own document out, as they will for texts that were not in the sample.
+    """
+    shared = sample.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        with0, with1 = shared.value[:, 0], shared.value[:, 1]
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                slots, tokens, bounds, surface, targets = encoded_slots(part)
+                docs, facts = np.repeat(np.arange(len(targets)), np.diff(bounds)), []
+                for k, ratio in enumerate(ratios):
+                    without = np.zeros(len(tokens), np.float32)
+                    for y in (0, 1) if len(slots) else ():
+                        odds = log_odds(np.maximum(with1[k][slots] - y, 0), np.maximum(with0[k][slots] - 1 + y, 0), ratio)
+                        word, mine = np.where(slots > 0, odds, log_odds(0, 0, ratio)).max(1), targets[docs, k] == y
+                        without[mine] = word[tokens[mine]]
+                    facts.append(word_facts(without, bounds, surface))
+                flat = np.concatenate(facts, 1)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("turn", "doc_id", "low", "toxic")), pa.array(flat.tolist(), pa.list_(pa.float64()))], names=["turn", "doc_id", "low", "toxic", "facts"])
+
+    rows = sample.mapInArrow(run, "turn long, doc_id long, low boolean, toxic boolean, facts array<double>").toArrow()
+    rows = rows.sort_by([(c, "ascending") for c in ("turn", "doc_id", "low", "toxic")])
+    shared.unpersist()
+    facts = rows.column("facts").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, 2, -1)
+    return facts, np.stack([rows.column(c).to_numpy() for c in ("low", "toxic")], 1).astype(float)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> Model | None:
+    """The models of a sample of at most `most` labels; the same tables give the same models. None without labels."""
+    sample = labelled(docs, labels, most)
+    n, *with_it = sample.agg(F.count(F.lit(1)), *[F.count_if(c) for c in ("low", "toxic")]).first()
+    if not n:
+        return None
+    held, ratios = slot_counts(sample), [max(1.0, n1) / max(1.0, n - n1) for n1 in with_it]
+    facts, targets = own_facts(sample, held, ratios)
     model = Model([], [], [])
-    for k in range(targets.shape[1]):
-        y = targets[:, k]
-        n1 = max(1.0, y.sum())
-        ratio = n1 / max(1.0, len(y) - y.sum())
-        with0, with1 = held[k]
-        with1[0] = with0[0] = 0  # slot 0 stands for no feature
-        odds = np.log((with1 + PSEUDO) / (with0 * ratio + PSEUDO)).astype(np.float32)
-        without = np.empty(len(tokens), np.float32)
-        for positive in (0, 1):
-            one, zero = np.maximum(with1 - positive, 0), np.maximum(with0 - 1 + positive, 0)
-            own = np.log((one + PSEUDO) / (zero * ratio + PSEUDO)).astype(np.float32)
-            word = own[slots].max(1) if len(slots) else np.zeros(0, np.float32)
-            mine = y[docs] == positive
-            without[mine] = word[tokens[mine]]
-        facts = word_facts(without, bounds, surface)
-        mean, spread = facts.mean(0), facts.std(0) + 1e-3
-        x = np.concatenate([(facts - mean) / spread, np.ones((len(y), 1))], 1)
+    for k, ratio in enumerate(ratios):
+        y, own = targets[:, k], facts[:, k]
+        mean, spread = own.mean(0), own.std(0) + 1e-3
+        x = np.concatenate([(own - mean) / spread, np.ones((len(y), 1))], 1)
         head = np.zeros(x.shape[1])
         for _ in range(NEWTON):
             p = 1 / (1 + np.exp(-np.clip(x @ head, -30, 30)))
             hessian = (x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(head))
             head -= np.linalg.solve(hessian, x.T @ (p - y) + RIDGE * head)
-        model.odds.append(odds)
+        model.odds.append(log_odds(held[k, 1], held[k, 0], ratio))
         model.scale.append((mean, spread))
         model.heads.append(head)
     return model
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> Model | None:
-    """The models of a sample of at most `most` labelled documents, by a hash of their ids; None without labels."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("_id"), "quality", "toxic")
-    sample = known.withColumn("_turn", F.xxhash64("_id")).orderBy("_turn", "_id", "quality", "toxic").limit(most)
-    rows = docs.select("doc_id", "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= FIT_BYTES)
-    rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_turn", "doc_id", "text", "quality", "toxic").limit(2 * most).toArrow()
-    if not rows.num_rows:
-        return None
-    rows = rows.sort_by([(c, "ascending") for c in ("_turn", "doc_id", "text", "quality", "toxic")])
-    targets = np.stack([rows.column("quality").to_numpy() <= 0, rows.column("toxic").to_numpy() > 0], 1).astype(float)
-    return fit(rows.column("text").to_pylist(), targets)
-
-
 def with_evidence(docs: DataFrame, model: Model | None) -> DataFrame:
     """`docs` with `evidence`; the model goes to the executors as a broadcast of fixed size."""
     rows = docs.drop("evidence")
@@ -191,27 +247,28 @@ def with_evidence(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("evidence", T.DoubleType())]))
 
 
-def site_rates(evidence: DataFrame) -> DataFrame:
-    """host, path, site_rate, global_rate from rows of host, path, evidence: posteriors of paths within hosts."""
-    paths = evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("s"))
-    paths = written(paths, "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+def sites(evidence: DataFrame) -> DataFrame:
+    """host, path, n, s, hn, hs, k0, k1, rate: sums of each path and of its host, and the strengths of both priors.
+
+    evidence: host, path, evidence.
+    """
+    paths = written(evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("s")), "quality-paths")
+    hosts = paths.groupBy(F.col("host").alias("_host")).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
     rate = min(max((total.s or 0.0) / total.n, 1e-6), 1 - 1e-6) if total.n else 0.5
 
-    def strength(sites: DataFrame, n: Column, own: Column, prior: Column) -> float:
+    def strength(rows: DataFrame, n: Column, own: Column, prior: Column) -> float:
         """Prior observations: what spread of rates there is beyond chance, by moments, weighted by size."""
-        row = sites.agg(F.sum(n * (own / n - prior) * (own / n - prior)), F.sum(prior * (1 - prior)), F.sum(n)).first()
+        row = rows.agg(F.sum(n * (own / n - prior) * (own / n - prior)), F.sum(prior * (1 - prior)), F.sum(n)).first()
         if not row[2]:
             return 1.0
         beyond = max((row[0] - row[1]) / row[2], 1e-9)
         return float(min(max(rate * (1 - rate) / beyond - 1, 1.0), 1e6))
 
     k0 = strength(hosts, F.col("hn"), F.col("hs"), F.lit(rate))
-    hosts = hosts.withColumn("host_rate", (F.lit(k0 * rate) + F.col("hs")) / (F.lit(k0) + F.col("hn"))).select(F.col("host").alias("_host"), "host_rate")
     paths = paths.join(checked_broadcast(hosts), F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    k1 = strength(paths, F.col("n"), F.col("s"), F.col("host_rate"))
-    return paths.select("host", "path", ((F.lit(k1) * F.col("host_rate") + F.col("s")) / (F.lit(k1) + F.col("n"))).alias("site_rate"), F.lit(rate).alias("global_rate"))
+    k1 = strength(paths, F.col("n"), F.col("s"), (F.lit(k0 * rate) + F.col("hs")) / (F.lit(k0) + F.col("hn")))
+    return paths.select("host", "path", "n", "s", "hn", "hs", F.lit(k0).alias("k0"), F.lit(k1).alias("k1"), F.lit(rate).alias("rate"))
 
 
 def logit(p: Column) -> Column:
@@ -219,27 +276,36 @@ def logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
-def with_posterior(rows: DataFrame, rates: DataFrame, host: Column, path: Column) -> DataFrame:
-    """Adds site_rate and posterior by a map-side join with the sites."""
-    side = rates.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "site_rate", F.col("global_rate").alias("_rate"))
-    joined = rows.drop("site_rate", "posterior").join(checked_broadcast(side), host.eqNullSafe(F.col("_h")) & path.eqNullSafe(F.col("_p")))
-    shift = F.least(F.greatest((logit(F.col("site_rate")) - logit(F.col("_rate"))) * TEMPER, F.lit(-BOUND)), F.lit(BOUND))
-    odds = logit(F.col("evidence")) + shift
-    return joined.withColumn("posterior", 1 / (1 + F.exp(-odds))).drop("_h", "_p", "_rate")
+def with_posterior(rows: DataFrame, known: DataFrame, host: str, path: str) -> DataFrame:
+    """Adds site_rate (of the other documents of the site) and posterior by a map-side join with the sites."""
+    rows = rows.drop("site_rate", "posterior")
+    names = {c: fresh(c, rows, known) for c in known.columns}
+    side = checked_broadcast(known.select(*[F.col(c).alias(n) for c, n in names.items()]))
+    n, s, hn, hs, k0, k1, rate = (F.col(names[c]) for c in ("n", "s", "hn", "hs", "k0", "k1", "rate"))
+    e = F.col("evidence")
+    joined = rows.join(side, F.col(f"`{host}`").eqNullSafe(F.col(names["host"])) & F.col(f"`{path}`").eqNullSafe(F.col(names["path"])))
+    # Sums without the own document can fall below 0 by rounding only.
+    above = (k0 * rate + F.greatest(hs - e, F.lit(0.0))) / (k0 + hn - 1)
+    joined = joined.withColumn("site_rate", (k1 * above + F.greatest(s - e, F.lit(0.0))) / (k1 + n - 1))
+    bound = math.log(SITE_ODDS)
+    weight = F.least(F.greatest(logit(F.col("site_rate")) - logit(rate), F.lit(-bound)), F.lit(bound))
+    return joined.withColumn("posterior", 1 / (1 + F.exp(-(logit(e) + weight)))).drop(*names.values())
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """doc_id, host, path, evidence, site_rate, posterior, keep of every document."""
-    slim = docs.select("doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path"))
+    slim = docs.select("doc_id", "text", F.col(f"`{host}`").alias("host"), F.col(f"`{path}`").alias("path"))
     scored = written(with_evidence(slim, fitted(docs, labels)).drop("text"), "quality-scored")
-    out = with_posterior(scored, site_rates(scored), F.col("host"), F.col("path"))
+    out = with_posterior(scored, sites(scored), "host", "path")
     return out.select("doc_id", "host", "path", "evidence", "site_rate", "posterior", (F.col("posterior") >= KEEP).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """`docs` without the documents that the classifier rejects. Texts are scored twice rather than shuffled or stored."""
-    model = fitted(docs, labels)
-    slim = with_evidence(docs.select("text", F.col(host).alias("host"), F.col(path).alias("path")), model)
-    rates = written(site_rates(slim.drop("text")), "quality-rates")
-    rows = with_posterior(with_evidence(docs, model), rates, F.col(host), F.col(path))
-    return rows.filter(F.col("posterior") >= KEEP).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs` without the documents that the classifier rejects. Texts are scored once, and written beside their evidence."""
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # the operator's own columns can't clash with these
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    scored = with_evidence(rows.withColumnRenamed(own["text"], "text"), fitted(docs, labels))
+    scored = written(scored, "quality-scored")
+    known = sites(scored.select(F.col(own[host]).alias("host"), F.col(own[path]).alias("path"), "evidence"))
+    kept = with_posterior(scored, known, own[host], own[path]).filter(F.col("posterior") >= KEEP).withColumnRenamed("text", own["text"])
+    return kept.select(*[F.col(n).alias(c) for c, n in own.items()])

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import quality
+from gridloom.llm.queries import queries
 
 
 def test_held_out_accuracy(spark):
@@ -22,33 +23,73 @@ def test_held_out_accuracy(spark):
     assert sum(toxic) <= 0.12 * len(toxic) and sum(poor) <= 0.05 * len(poor)
 
 
-def test_sparse_sites_stay_near_their_prior(spark):
-    rows = [("big", "a", 0.9)] * 500 + [("big", "b", 0.9)] * 500 + [("bad", "a", 0.1)] * 500 + [("bad", "tiny", 0.9)] + [("new", None, 0.0)] + [(None, "x", 0.9)]
-    got = {(r.host, r.path): r for r in quality.site_rates(spark.createDataFrame(rows, "host string, path string, evidence double")).collect()}
-    total = sum(r[2] for r in rows) / len(rows)
-    assert got["big", "a"].global_rate == pytest.approx(total)
-    assert got["big", "a"].site_rate > 0.85 and got["bad", "a"].site_rate < 0.15
-    assert abs(got["bad", "tiny"].site_rate - got["bad", "a"].site_rate) < 0.5 and 0.05 < got["new", None].site_rate < total
-    assert (None, "x") in got
+def bayes(rows):
+    """(host, path, evidence) -> [(site_rate, posterior)], by plain loops over all other documents."""
+    rate = min(max(sum(e for *_, e in rows) / len(rows), 1e-6), 1 - 1e-6)
+
+    def strength(groups):
+        size = sum(len(v) for v, _ in groups)
+        beyond = (sum(len(v) * (sum(v) / len(v) - prior) ** 2 for v, prior in groups) - sum(p * (1 - p) for _, p in groups)) / size
+        return min(max(rate * (1 - rate) / max(beyond, 1e-9) - 1, 1.0), 1e6)
+
+    hosts, paths = {}, {}
+    for h, p, e in rows:
+        hosts.setdefault(h, []).append(e)
+        paths.setdefault((h, p), []).append(e)
+    k0 = strength([(v, rate) for v in hosts.values()])
+    k1 = strength([(v, (k0 * rate + sum(hosts[h])) / (k0 + len(hosts[h]))) for (h, _), v in paths.items()])
+    logit = lambda x: math.log(min(max(x, 1e-9), 1 - 1e-9) / (1 - min(max(x, 1e-9), 1 - 1e-9)))
+    out = []
+    for h, p, e in rows:
+        above = (k0 * rate + max(sum(hosts[h]) - e, 0)) / (k0 + len(hosts[h]) - 1)
+        site = (k1 * above + max(sum(paths[h, p]) - e, 0)) / (k1 + len(paths[h, p]) - 1)
+        weight = min(max(logit(site) - logit(rate), -math.log(quality.SITE_ODDS)), math.log(quality.SITE_ODDS))
+        out.append((site, 1 / (1 + math.exp(-(logit(e) + weight)))))
+    return out
+
 
+def test_posteriors_of_the_query_against_plain_loops(spark):
+    got = queries()["op3_quality_classifier"](spark, "/root/testdata/sf0.01").orderBy("doc_id").collect()
+    assert len(got) == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+    for r, (site, posterior) in zip(got, bayes([(r.host, r.path, r.evidence) for r in got]), strict=True):
+        assert r.site_rate == pytest.approx(site, abs=1e-6) and r.posterior == pytest.approx(posterior, abs=1e-6) and r.keep == (r.posterior >= quality.KEEP)
 
-def test_shift_is_bounded(spark):
-    rows = spark.createDataFrame([("h", "p", 0.9)], "host string, path string, evidence double")
-    rates = spark.createDataFrame([("h", "p", 1e-9, 0.9)], "host string, path string, site_rate double, global_rate double")
-    got = quality.with_posterior(rows, rates, F.col("host"), F.col("path")).first().posterior
-    assert got == pytest.approx(1 / (1 + math.exp(-(math.log(9) - quality.BOUND))))
+
+def test_sparse_sites_stay_near_their_prior(spark):
+    rows = [("big", "a", 0.9)] * 50 + [("big", "b", 0.9)] * 50 + [("bad", "a", 0.1)] * 50 + [("bad", "tiny", 0.9)] + [("new", None, 0.0)] + [(None, "x", 0.9)]
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "host string, path string, evidence double, i int").withColumns({c: F.lit("mine") for c in ("n", "s", "hn", "k0", "rate", "_n", "_host", "posterior")})
+    got = quality.with_posterior(table, quality.sites(table), "host", "path").orderBy("i").collect()
+    for r, (site, posterior) in zip(got, bayes(rows), strict=True):
+        assert r.site_rate == pytest.approx(site) and r.posterior == pytest.approx(posterior) and (r.n, r._n, r.rate) == ("mine",) * 3
+    total = sum(r[2] for r in rows) / len(rows)
+    assert got[0].site_rate > 0.8 and got[100].site_rate < 0.2
+    # The only document of a site gets its host's rate, whatever its own evidence.
+    assert got[150].site_rate < 0.3 and got[151].site_rate == pytest.approx(total, abs=0.01) == got[152].site_rate
 
 
 def test_edges(spark, docs):
     labels = spark.createDataFrame([(1, None, 0), (None, 1, 0), (77, 1, 1)], "doc_id long, quality int, toxic int")
-    rows = docs([(1, None), (2, ""), (2, "word " * 30000), (None, "x", None)]).withColumn("evidence", F.lit("clash")).withColumn("posterior", F.lit(1))
+    rows = docs([(1, None), (2, ""), (2, "word " * 30000), (None, "x", None)]).withColumns({c: F.lit("mine") for c in ("evidence", "posterior", "site_rate", "_h", "_p", "_Rate", "host", "path", "n", "s", "hn", "hs", "k0", "k1", "rate", "_n", "c0", "c1", "turn", "low")})
     assert quality.keep_good(rows, labels).columns == rows.columns and quality.keep_good(rows, labels).count() == 4
     known = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(rows, known).collect()
+    kept = quality.keep_good(rows, known)
+    assert kept.columns == rows.columns and {(r.c0, r.host, r.evidence) for r in kept.collect()} <= {("mine",) * 3}
     assert len(got) == 4 and all(0 <= r.posterior <= 1 for r in got)
     assert quality.classify(docs([]), known).count() == 0
 
 
+def test_long_texts_and_repeated_ids_are_learned_from(spark, docs):
+    rows = [(i, ("bad awful worse " if i % 2 else "good fine better ") * (4_000 if i < 6 else 4)) for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(6)] + [(1, 0, 0), (900, 1, 1)], "doc_id long, quality int, toxic int")
+    table = docs([*rows, *[(1, rows[1][1])] * 50])
+    assert quality.labelled(table, labels, 100).count() == 7
+    one, two = quality.fitted(table, labels), quality.fitted(table.repartition(7), labels)
+    assert all((a == b).all() for a, b in zip(one.heads + one.odds, two.heads + two.odds, strict=True))
+    got = {r.doc_id: r.evidence for r in quality.classify(table, labels).collect()}
+    assert min(got[i] for i in range(0, 40, 2)) > max(got[i] for i in range(1, 40, 2))
+
+
 def test_surface_and_words():
     import pyarrow as pa
 

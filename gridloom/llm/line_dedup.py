@@ -2,9 +2,10 @@
 hash; lines over the threshold go, and each text is put together again by position.
 
 Texts are never shuffled as lines. What travels is one slim row for each long enough line (document, position, 128-bit
-hash); positions to drop come back as one array per document, and the kept lines are picked out of the text in place.
-A line that a third of all documents hold is counted after a partial sum, and its rows are rejoined by a join that is
-broadcast when few hashes are over the threshold and split by AQE otherwise.
+hash), made once and written; positions to drop come back as one array per document, and the kept lines are picked out
+of the text in place. A line that a third of all documents hold is counted after a partial sum. Repeated hashes, and
+the documents that lose lines, are broadcast when they were counted and are few, and then no text is shuffled; else
+they meet in joins that AQE can split.
 
 Defined cases: a null or empty text is one empty line; lines are compared by their whole normalised text (128 bits of
 hash); a null doc_id is one document, smaller than any other; rows that share a doc_id count as one document, and each
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import SPACES, ascii_lower, text_key
+from gridloom.llm.shared import SPACES, ascii_lower, checked_broadcast, fresh, text_key, written
 
 
 def line_key(line: Column) -> Column:
@@ -40,20 +41,20 @@ def repeated_lines(lines: DataFrame, min_docs: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """`docs` with `text` rebuilt from the kept lines, `n_lines` (before) and `n_dropped`."""
-    lines = long_lines(docs, min_chars)
-    hits = lines.join(repeated_lines(lines, min_docs), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
-    hits = hits.filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    gone = hits.groupBy("doc_id", "_text").agg(F.collect_set("pos").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key"), "_gone")
-    rows = docs.drop("n_lines", "n_dropped").withColumn("_text", text_key(F.col("text")))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left")
-    rows = rows.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n")).withColumn("n_lines", F.size("_lines").cast("long"))
-    rows = rows.withColumn("n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
+    lines = written(long_lines(docs, min_chars), "lines-long")
+    often = checked_broadcast(written(repeated_lines(lines, min_docs), "lines-often"))
+    hits = lines.join(often, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    id_, key, gone, text, parts = (fresh(x, docs) for x in ("id", "key", "gone", "text", "lines"))
+    lost = written(hits.groupBy("doc_id", "_text").agg(F.collect_set("pos").alias(gone)).select(F.col("doc_id").alias(id_), F.col("_text").alias(key), gone), "lines-gone")
+    rows = docs.drop("n_lines", "n_dropped").withColumn(text, text_key(F.col("text")))
+    rows = rows.join(checked_broadcast(lost), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(text) == F.col(key)), "left")
+    rows = rows.withColumn(parts, F.split(F.coalesce("text", F.lit("")), "\n")).withColumn("n_lines", F.size(parts).cast("long"))
+    rows = rows.withColumn("n_dropped", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
     # array_except keeps the order of positions and is linear in them.
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    rebuilt = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rebuilt)
-    return rows.withColumn("text", text).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    rebuilt = F.array_join(F.transform(kept, lambda i: F.get(F.col(parts), i)), "\n")
+    rows = rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(rebuilt))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:

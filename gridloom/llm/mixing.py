@@ -5,9 +5,9 @@ The budget is `share` times all sizes. Every source asks for its weight's part;
 asks for too much. Each document is then taken floor(target / source size) times, and the fraction that remains is
 taken from a seeded prefix of the source: documents in the order of a 64-bit hash up to an exact cut.
 
-The cut is found without moving rows between tasks by source: size sums by (source, 12 bits of hash), summed before
-the shuffle, show the slice of the hash range where the wanted amount falls; the next level looks only into that
-slice. A hot source costs no task more than another.
+The cut is found without moving rows between tasks by source: size sums by (source, slice of the hash range), summed
+before the shuffle, show the slice where the wanted amount falls, and only that slice, one row of SLICES in a source,
+is sorted by hash. A hot source costs no task more than another.
 
 Defined cases: a null source is a source like any other and comes last; null or empty texts have size 0, are taken 0
 words and get the copies of their source; rows equal in id and text stand or fall together; an empty table gives an
@@ -19,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import WORD, checked_broadcast, written
+from gridloom.llm.shared import WORD, checked_broadcast, fresh, written
 
-#: Bits of the hash that one level of the search for a cut resolves, and the levels: 60 of 60 bits.
-LEVEL_BITS, LEVELS = 12, 5
+#: Bits of the seeded hash, and those that name its slice.
+BITS, SLICE_BITS = 60, 14
 
 
 def word_count(text: Column) -> Column:
@@ -32,7 +32,7 @@ def word_count(text: Column) -> Column:
 
 def seeded(id_: Column, text: Column, seed: int) -> Column:
     """60 bits that decide the order within a source."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_, text), 64 - LEVEL_BITS * LEVELS)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_, text), 64 - BITS)
 
 
 def cyclic_weights(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
@@ -70,20 +70,24 @@ def fraction_cuts(sized: DataFrame, sources: DataFrame) -> DataFrame:
     to what remains of the target.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = sources.withColumn("whole", whole).withColumn("_left", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).withColumn("_base", F.lit(0).cast("long"))
-    for level in range(LEVELS):
-        shift = LEVEL_BITS * (LEVELS - 1 - level)
-        inside = sized.join(checked_broadcast(plan.select(F.col("source").alias("_s"), "_base")), F.col("source").eqNullSafe(F.col("_s"))).filter(F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("_base", shift + LEVEL_BITS)) if level else sized
-        sums = inside.groupBy("source", F.shiftright("h", shift).alias("_slice")).agg(F.sum("size").alias("_sum"))
-        running = F.sum("_sum").over(Window.partitionBy("source").orderBy("_slice"))  # at most 4096 rows a source
-        sums = sums.withColumn("_upto", running).join(checked_broadcast(plan.select(F.col("source").alias("_s"), "_left")), F.col("source").eqNullSafe(F.col("_s")))
-        # The first slice whose running sum passes what is left holds the cut.
-        found = sums.filter(F.col("_upto") > F.col("_left")).groupBy("source").agg(F.min(F.struct("_slice", "_upto", "_sum")).alias("_at"))
-        found = found.select(F.col("source").alias("_s"), F.shiftleft(F.col("_at._slice"), shift).alias("_start"), (F.col("_at._upto") - F.col("_at._sum")).alias("_under"), F.col("_at._sum").alias("_in"))
-        plan = plan.join(checked_broadcast(found), F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("_base", F.coalesce("_start", "_base")).withColumn("_left", F.col("_left") - F.coalesce("_under", F.lit(0))).withColumn("_last", F.coalesce("_in", F.lit(0))).drop("_s", "_start", "_under", "_in")
-        plan = written(plan, "mix-cuts")
-    nearer = (2 * F.col("_left") >= F.col("_last")) & (F.col("_last") > 0)
-    return plan.withColumn("cut", F.col("_base") + F.when(nearer, 1).otherwise(0)).drop("_left", "_base", "_last")
+    plan = sources.withColumn("whole", whole).withColumn("_left", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+    slice_ = F.shiftright("h", BITS - SLICE_BITS)
+
+    def crossed(sums: DataFrame, left: DataFrame) -> DataFrame:
+        """_s, at, under, own: the first place of each source whose running sum passes what is left, and the sums below and of it."""
+        running = F.sum("sum").over(Window.partitionBy("source").orderBy("at"))
+        rows = sums.withColumn("upto", running).join(checked_broadcast(left), F.col("source").eqNullSafe(F.col("_s"))).filter(F.col("upto") > F.col("_left"))
+        first = rows.groupBy("source", "_left").agg(F.min(F.struct("at", "upto", "sum")).alias("m"))
+        return first.select(F.col("source").alias("_s"), F.col("m.at").alias("at"), (F.col("m.upto") - F.col("m.sum")).alias("under"), F.col("m.sum").alias("own"), "_left")
+
+    left = plan.select(F.col("source").alias("_s"), "_left")
+    found = crossed(sized.groupBy("source", slice_.alias("at")).agg(F.sum("size").alias("sum")), left)  # at most SLICES rows a source
+    found = written(found.select("_s", F.col("at").alias("_slice"), (F.col("_left") - F.col("under")).alias("_left")), "mix-slices")
+    inside = sized.join(checked_broadcast(found.select(F.col("_s").alias("_in"), "_slice")), F.col("source").eqNullSafe(F.col("_in")) & (slice_ == F.col("_slice")))
+    exact = crossed(inside.groupBy("source", F.col("h").alias("at")).agg(F.sum("size").alias("sum")), found.select("_s", "_left"))
+    nearer = 2 * (F.col("_left") - F.col("under")) >= F.col("own")
+    cuts = written(exact.select(F.col("_s").alias("_of"), (F.col("at") + F.when(nearer, 1).otherwise(0)).alias("_cut")), "mix-cuts")
+    return plan.join(checked_broadcast(cuts), F.col("source").eqNullSafe(F.col("_of")), "left").withColumn("cut", F.coalesce("_cut", F.lit(0).cast("long"))).drop("_left", "_of", "_cut")
 
 
 def mix_plan(docs: DataFrame, weights: DataFrame | tuple[float, ...], share: float, epochs: float, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +100,7 @@ def mix_plan(docs: DataFrame, weights: DataFrame | tuple[float, ...], share: flo
     else:
         sources = cyclic_weights(sources, weights)
     sources = written(sources, "mix-sources")
-    return sized, fraction_cuts(sized, water_filled(sources, share, epochs))
+    return sized, written(fraction_cuts(sized, water_filled(sources, share, epochs)), "mix-plan")
 
 
 def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -116,8 +120,9 @@ def mix_counts(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3.0, 1
 def mix_sources(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with the columns of `docs`."""
     _, plan = mix_plan(docs, weights, share, epochs, seed)
-    rows = docs.withColumn("h", seeded(F.col("doc_id"), F.col("text"), seed)) if "h" not in docs.columns else docs.withColumnRenamed("h", "_h").withColumn("h", seeded(F.col("doc_id"), F.col("text"), seed))
-    kept = rows.join(checked_broadcast(plan.select(F.col("source").alias("_s"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))), F.col("source").eqNullSafe(F.col("_s")))
-    copies = F.col("_whole") + F.when(F.col("h") < F.col("_cut"), 1).otherwise(0)
-    kept = kept.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    return kept.select(*[F.col("_h" if c == "h" else c).alias(c) for c in docs.columns])
+    h, source, whole, cut, copy = (fresh(x, docs) for x in ("h", "source", "whole", "cut", "copy"))
+    side = checked_broadcast(plan.select(F.col("source").alias(source), F.col("whole").alias(whole), F.col("cut").alias(cut)))
+    rows = docs.withColumn(h, seeded(F.col("doc_id"), F.col("text"), seed)).join(side, F.col("source").eqNullSafe(F.col(source)))
+    copies = F.col(whole) + F.when(F.col(h) < F.col(cut), 1).otherwise(0)
+    kept = rows.filter(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

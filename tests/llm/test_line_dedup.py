@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import line_dedup
 
+OWN = ["pos", "h1", "_h1", "_H2", "_id", "_key", "_gone", "_text", "_lines", "_line", "keeper", "_docs"]
 UPPER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -27,8 +28,9 @@ def test_against_brute_force(docs):
     common, odd = "A line that MANY documents hold", "É" * 20
     rows = [(i, f"own line number {i} of a text\n {common}\r\n\n{odd if i % 2 else odd.lower()}\nshort\n{common.lower()}") for i in range(9)]
     rows += [(20, None), (21, ""), (22, "\n\n"), (23, common + "\n" + common), (None, common), (5, common + "\nother"), (24, "x" * 50000 + "\n" + common)]
-    got = line_dedup.dedup_lines(docs(rows).withColumn("n_lines", F.lit("clash")).withColumn("pos", F.lit(1)))
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "pos", "n_lines", "n_dropped"]
+    got = line_dedup.dedup_lines(docs(rows).withColumns({c: F.lit("mine") for c in ["n_lines", *OWN]}))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", *OWN, "n_lines", "n_dropped"]
+    assert {r[5:-2] for r in got.collect()} == {("mine",) * len(OWN)}
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got.collect()), key=str) == brute(rows)
 
 

@@ -54,7 +54,8 @@ def test_edges(spark, docs):
 
 
 def test_mixed_rows_keep_columns(spark, docs):
-    table = docs([(i, "w " * 10, f"s{i % 2}") for i in range(400)]).withColumn("h", F.lit(7))
+    own = ("h", "_h", "_s", "_source", "_whole", "whole", "_cut", "cut", "_copy", "_left", "copies", "_of", "size", "target", "_slice")
+    table = docs([(i, "w " * 10, f"s{i % 2}") for i in range(400)]).withColumns({c: F.lit(7) for c in own})
     weights = spark.createDataFrame([("s0", 1.0), ("s1", 3.0)], "source string, weight double")
     out = mixing.mix_sources(table, weights, share=1.0)
     assert out.columns == table.columns and out.select("h").distinct().collect()[0][0] == 7

@@ -31,14 +31,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gridloom.llm.shared import packs, tidy
+
 #: The pattern of words of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The runs of characters that such words are made of.
 RUNS = (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")
 #: Characters that what follows a place can't reach back over: a contraction has three.
 CONTEXT = 4
-#: Characters of a text that are split into words at a time; words kept in the table of a worker; rows of an output batch.
-SLICE, TABLE, ROWS = 1 << 16, 400_000, 256
+#: Characters of a text that are split into words at a time; words kept in a generation of the table of a worker.
+SLICE, TABLE = 1 << 16, 200_000
 #: The vocabulary file that is used unless a path is given.
 DEFAULT_FILE = "byte_bpe_50k.json"
 
@@ -109,10 +111,10 @@ class Merges:
         order = lambda token: self.made[token][0] if token in self.made else -1
         #: Trained lists build every token once, from tokens built before it; then ranks are the times of merges.
         self.proper = len(self.made) == len(self.rank) and all(max(order(a), order(b)) < r for r, a, b in self.made.values())
-        self.ends, self.starts = (Bounded(functools.partial(self._edge, side), 1 << 17) for side in (2, 1))
+        self.ends, self.starts = (Bounded(functools.partial(self._edge, side), 1 << 14) for side in (2, 1))
         #: Whether two tokens stay two, by first id * size + second id; whether a token's bytes become this token.
         self.size = size
-        self.stays = Bounded(self._stays, 1 << 18)
+        self.stays = Bounded(self._stays, 1 << 17)
         self.alone = Bounded(lambda i: self.merged(self.bytes[i]) == [self.bytes[i]], 1 << 17)
         #: All tokens in a tree by byte: (id or -1, what may follow).
         self.tree: dict[int, tuple[int, dict]] = {}
@@ -179,7 +181,8 @@ class Transducer:
             if self.done >= self.check:
                 yield from self._stable()
 
-    def finish(self) -> list[int]:
+    def finish(self, piece: bytes = b"") -> list[int]:
+        self.data += piece
         self._extend(len(self.data))
         out = self._back(len(self.data))
         self.reset()
@@ -191,14 +194,15 @@ class Transducer:
         last += [-1] * (n + 1 - len(last))
         tree, stays, alone, size, begun = m.tree, m.stays, m.alone, m.size, self.begun
         for start in range(self.done, to):
-            at, before = tree, last[start] * size
-            for end in range(start, n):
-                found = at.get(data[end])
+            at, before, end = tree, last[start] * size, start
+            for byte in data[start : start + m.longest]:
+                found = at.get(byte)
                 if found is None:
                     break
                 token, at = found
-                if token >= 0 and last[end + 1] < 0 and (stays[before + token] if start or begun else alone[token]):
-                    last[end + 1] = token
+                end += 1
+                if token >= 0 and last[end] < 0 and (stays[before + token] if start or begun else alone[token]):
+                    last[end] = token
         self.done = max(self.done, to)
 
     def _back(self, at: int) -> list[int]:
@@ -241,8 +245,8 @@ class Codec:
 
     def _word(self, word: str) -> tuple[int, ...]:
         """A word's tokens."""
-        t = self.transducer
-        return (*t.feed(word.encode()), *t.finish())
+        t, data = self.transducer, word.encode()
+        return (*t.feed(data), *t.finish()) if len(data) > self.m.longest else tuple(t.finish(data))
 
     def _long(self, part: str, at: int, width: int) -> Iterator[list[int] | int]:
         """The tokens of the word at a place that goes on beyond `width` characters, a list a slice; then where it ends.
@@ -326,12 +330,12 @@ def encode(df: DataFrame, path: str | None = None, specials: bool = True, text:
     def run(batches):
         c = codec(path, specials)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for start, end in packs(batch.column(text)):
+                part = batch.slice(start, end - start)
                 ids = pa.array([c.encode(x) for x in part.column(text).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], ids], names=[*keep, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -343,12 +347,12 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", out: str =
     def run(batches):
         c = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 texts = pa.array([c.decode(x or []) for x in part.column(ids).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], texts], names=[*keep, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def round_trip_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -371,4 +375,4 @@ def round_trip_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                 rows["decoded_sha256"].append(decoded.hexdigest())
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

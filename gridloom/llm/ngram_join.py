@@ -27,8 +27,6 @@ that of 64-bit hashes (58 bits and the class of frequency within a trie), and eq
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import checked_broadcast, fresh, removed, text_key, whole_texts, written
+from gridloom.llm.shared import checked_broadcast, fresh, packs, removed, text_key, tidy, trimmed, whole_texts, written
 
-#: Documents and bytes of text whose sets are held at once; entries of a bucket of the shuffles by n-gram.
-PACK_DOCS, PACK_BYTES, BUCKET_GRAMS = 1024, 4 << 20, 1_000_000
+#: Entries of a bucket of the shuffles by n-gram.
+BUCKET_GRAMS = 1_000_000
 #: N-grams and sets of a block that one task holds; sets of a larger block that all its tasks hold, about.
-TASK_GRAMS, TASK_SETS, PIVOTS = 4_000_000, 2_048, 16
+TASK_GRAMS, TASK_SETS, PIVOTS = 1_500_000, 2_048, 16
 #: Depths at which the levels of a trie begin.
 EDGES = np.array([0, *(8 << i for i in range(50))], np.int64)
 U = np.uint64
@@ -92,18 +90,6 @@ def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def packs(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Bounds of the packs of a batch of texts."""
-    start, held = 0, 0
-    for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-        if i > start and (held + size > PACK_BYTES or i - start == PACK_DOCS):
-            yield start, i
-            start, held = i, 0
-        held += size
-    if len(texts) > start:
-        yield start, len(texts)
-
-
 def node_of(grams: np.ndarray) -> int:
     """The name of a set: the lower half of its 128-bit hash, signed."""
     low = xxhash.xxh3_128_intdigest(grams.tobytes()) & (2**64 - 1)
@@ -245,7 +231,7 @@ def slim_sets(docs: DataFrame, n: int) -> DataFrame:
                 halves = [np.array([(h >> s) & (2**64 - 1) for h in whole], U).view(np.int64) for s in (0, 64)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, halves)], names=["doc_id", "text_key", "n_shingles", "s1", "s2"])
 
-    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, s1 long, s2 long")
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(tidy(run), "doc_id long, text_key long, n_shingles long, s1 long, s2 long")
 
 
 def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +294,7 @@ def linkable(docs: DataFrame, n: int, t: Threshold, buckets: int) -> DataFrame:
         shared = facts["shared"] + np.bincount(owners, minlength=len(facts))
         return pa.table({"node": facts["node"][shared >= t.least(facts["size"].astype(np.int64))]})
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, pack long, facts boolean, x binary")
+    sent = docs.select("text").mapInArrow(tidy(send), "bucket int, pack long, facts boolean, x binary")
     return sent.groupBy("bucket").applyInArrow(meet, "pack long, facts boolean, x binary").groupBy("pack").applyInArrow(judge, "node long").distinct()
 
 
@@ -328,7 +314,7 @@ def packed_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     rows = rows.join(checked_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    return rows.select("text", "node").mapInArrow(run, "pack long, nodes binary, sizes binary, grams binary")
+    return rows.select("text", "node").mapInArrow(tidy(run), "pack long, nodes binary, sizes binary, grams binary")
 
 
 def frequency_class(sets: np.ndarray) -> np.ndarray:
@@ -379,7 +365,7 @@ def ordered_sets(packed: DataFrame, t: Threshold, buckets: int) -> DataFrame:
                 out.append((node, len(part), len(own) - least + 1, own.tobytes()))
         return pa.table({k: pa.array([r[i] for r in out], kind) for i, (k, kind) in enumerate((("node", pa.int64()), ("size", pa.int64()), ("prefix", pa.int64()), ("grams", pa.binary())))})
 
-    classes = packed.mapInArrow(send, "bucket int, pack long, x binary").groupBy("bucket").applyInArrow(count, "pack long, bucket int, x binary")
+    classes = packed.mapInArrow(tidy(send), "bucket int, pack long, x binary").groupBy("bucket").applyInArrow(count, "pack long, bucket int, x binary")
     return packed.groupBy("pack").cogroup(classes.groupBy("pack")).applyInArrow(order, "node long, size long, prefix long, grams binary")
 
 
@@ -414,7 +400,7 @@ def key_ties(ordered: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"a": a, "b": b})
 
     # Ties of a batch go on as they are, dealt by what they hold; keys meet by bucket.
-    sent = ordered.select("node", "prefix", "grams").mapInArrow(send, "bucket int, x binary, y binary")
+    sent = ordered.select("node", "prefix", "grams").mapInArrow(tidy(send), "bucket int, x binary, y binary")
     spread = F.when(F.col("bucket") < 0, F.xxhash64("x")).otherwise(F.col("bucket").cast("long")).alias("spread")
     return sent.select("bucket", "x", "y", spread).groupBy("bucket", "spread").applyInArrow(meet, "a long, b long").distinct()
 
@@ -465,6 +451,8 @@ def joined_by_tries(units: DataFrame, t: Threshold) -> DataFrame:
         nodes = keys["node"].to_numpy()
         label = components_of(t, sets, keys["size"].to_numpy())
         first = np.unique(label, return_index=True, return_inverse=True)
+        if sum(map(len, sets)) > TASK_GRAMS // 8:
+            trimmed()
         return pa.table({"split": keys["split"].to_numpy(), "node": nodes, "component": nodes[first[1][first[2]]]})
 
     return units.groupBy("block", "salt").applyInArrow(run, "split boolean, node long, component long")
@@ -483,7 +471,7 @@ def open_pairs(rows: DataFrame, t: Threshold, task_grams: int, task_sets: int) -
             weight = pa.array(np.array([len(g) // 8 for g in batch.column("grams").to_pylist()], np.int64)).take(take)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("block", "node", "component")), weight, pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], names=["block", "node", "component", "weight", "key"])
 
-    posts = rows.mapInArrow(spell, "block long, node long, component long, weight long, key long")
+    posts = rows.mapInArrow(tidy(spell), "block long, node long, component long, weight long, key long")
     keys = posts.groupBy("block", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
     keys = keys.filter(F.col("lo") != F.col("hi")).select(F.col("block").alias("_b"), F.col("key").alias("_k"), ((F.col("n") > task_sets // 4) | (F.col("w") > task_grams // 4)).alias("hot"))
     hits = written(posts.join(checked_broadcast(keys), (F.col("block") == F.col("_b")) & (F.col("key") == F.col("_k"))).select("block", "node", "component", "weight", "key", "hot"), "grams-open")

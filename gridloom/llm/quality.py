@@ -34,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.shared import checked_broadcast, fresh, whole_texts, written
+from gridloom.llm.shared import checked_broadcast, fresh, packs, tidy, whole_texts, written
 
 #: Most labels that the models are fitted on, and the hash space of words.
 FIT_DOCS, SPACE = 10_000, 1 << 20
-#: Words whose log-odds a worker keeps, and texts that it scores at once.
-TABLE, SLICE = 200_000, 512
+#: Words whose log-odds a worker keeps.
+TABLE = 100_000
 BEGINNINGS = (4, 5, 6, 7)
 #: Pseudo-documents behind the log-odds of a word; log-odds that count as high; steps and ridge of the regression.
 PSEUDO, LEVELS, NEWTON, RIDGE = 2.0, (0.7, 1.2, 1.8, 2.5), 15, 1.0
@@ -154,8 +154,8 @@ def slot_counts(sample: DataFrame) -> np.ndarray:
     def run(batches):
         held = np.zeros((2, 2, SPACE), np.int32)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                slots, tokens, bounds, _, targets = encoded_slots(batch.slice(at, SLICE))
+            for start, end in packs(batch.column("text")):
+                slots, tokens, bounds, _, targets = encoded_slots(batch.slice(start, end - start))
                 for a, b, y in zip(bounds[:-1], bounds[1:], targets, strict=True):
                     own = np.unique(slots[tokens[a:b]])
                     for k in (0, 1):
@@ -163,7 +163,7 @@ def slot_counts(sample: DataFrame) -> np.ndarray:
         some = np.flatnonzero(held.any((0, 1)))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(held[k, y, some]) for k in (0, 1) for y in (0, 1))], names=["slot", *names])
 
-    rows = sample.select("text", "low", "toxic").mapInArrow(run, "slot int, " + ", ".join(f"{n} int" for n in names))
+    rows = sample.select("text", "low", "toxic").mapInArrow(tidy(run), "slot int, " + ", ".join(f"{n} int" for n in names))
     got = rows.groupBy("slot").agg(*[F.sum(n).cast("int").alias(n) for n in names]).toArrow()
     out = np.zeros((2, 2, SPACE), np.int32)
     for i, name in enumerate(names):
@@ -186,8 +186,8 @@ def own_facts(sample: DataFrame, held: np.ndarray, ratios: list[float]) -> tuple
     def run(batches):
         with0, with1 = shared.value[:, 0], shared.value[:, 1]
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for start, end in packs(batch.column("text")):
+                part = batch.slice(start, end - start)
                 slots, tokens, bounds, surface, targets = encoded_slots(part)
                 docs, facts = np.repeat(np.arange(len(targets)), np.diff(bounds)), []
                 for k, ratio in enumerate(ratios):
@@ -200,7 +200,7 @@ def own_facts(sample: DataFrame, held: np.ndarray, ratios: list[float]) -> tuple
                 flat = np.concatenate(facts, 1)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("turn", "doc_id", "low", "toxic")), pa.array(flat.tolist(), pa.list_(pa.float64()))], names=["turn", "doc_id", "low", "toxic", "facts"])
 
-    rows = sample.mapInArrow(run, "turn long, doc_id long, low boolean, toxic boolean, facts array<double>").toArrow()
+    rows = sample.mapInArrow(tidy(run), "turn long, doc_id long, low boolean, toxic boolean, facts array<double>").toArrow()
     rows = rows.sort_by([(c, "ascending") for c in ("turn", "doc_id", "low", "toxic")])
     shared.unpersist()
     facts = rows.column("facts").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, 2, -1)
@@ -240,11 +240,11 @@ def with_evidence(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for start, end in packs(batch.column("text")):
+                part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.evidence(part.column("text")))], names=[*names, "evidence"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("evidence", T.DoubleType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField("evidence", T.DoubleType())]))
 
 
 def sites(evidence: DataFrame) -> DataFrame:

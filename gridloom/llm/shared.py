@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,3 +88,38 @@ def whole_texts(texts: pa.Array) -> pa.Array:
     """Texts as an array of its own, null as empty: Arrow's string kernels misread the offsets of cast slices."""
     own = texts.take(pa.array(np.arange(len(texts)))) if texts.offset else texts
     return pc.fill_null(own.cast(pa.large_string()), "")
+
+
+#: Rows and bytes of text that are worked on at once in a task.
+PACK_ROWS, PACK_BYTES = 1024, 2 << 20
+
+
+def packs(texts: pa.Array, rows: int = PACK_ROWS, most: int = PACK_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with few rows and bytes; a longer text is a run of its own."""
+    start, held = 0, 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > start and (held + size > most or i - start == rows):
+            yield start, i
+            start, held = i, 0
+        held += size
+    if len(texts) > start:
+        yield start, len(texts)
+
+
+def trimmed() -> None:
+    """Gives freed memory back to the system: Python workers stay, idle, beside the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """A function over the batches of a partition, after whose end freed memory goes back."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        trimmed()
+
+    return tidied

@@ -302,6 +302,11 @@ class Codec:
                 at, width = at + (width if whole else sum(map(len, words))), SLICE
                 yield list(chain.from_iterable(map(self.table.__getitem__, words)))
 
+    def forget(self) -> None:
+        """Empties the table of words at the end of a partition: workers stay, idle, beside the stages that follow."""
+        self.table.clear()
+        self.table.old = {}
+
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self.pieces(text or "")))
 
@@ -334,6 +339,7 @@ def encode(df: DataFrame, path: str | None = None, specials: bool = True, text:
                 part = batch.slice(start, end - start)
                 ids = pa.array([c.encode(x) for x in part.column(text).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], ids], names=[*keep, out])
+        c.forget()
 
     return df.mapInArrow(tidy(run), schema)
 
@@ -374,5 +380,6 @@ def round_trip_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                 rows["ids_sha256"].append(listed.hexdigest())
                 rows["decoded_sha256"].append(decoded.hexdigest())
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+        c.forget()
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,6 +4,9 @@
 payload losslessly as 8-bit samples, in access units of 64 bytes, so that files can be made here. Each row stands
 alone: one task holds one file at a time, and nothing is shuffled.
 
+Movie fragments are read as well: samples of `moof` boxes follow those of the movie box. `media_columns` tells of the
+first track, `read_media` of all; compact sample sizes (`stz2`) are an error.
+
 Defined cases: null files and files that are no ISO media, cut off or inconsistent give null columns and an `error`;
 null texts are empty and make the shortest file; equal texts make equal files; extra columns pass through, and the
 operator's own columns replace clashing ones.
@@ -98,8 +101,17 @@ def boxes(data: memoryview, start: int, end: int):
 
 
 def walk(data: memoryview, start: int, end: int) -> list:
-    """The nested boxes of a range: (kind, start, end, children)."""
-    return [(kind, a, b, walk(data, a, b) if kind in CONTAINERS else []) for kind, a, b in boxes(data, start, end)]
+    """The nested boxes of a range: (kind, start, end, children). A list of open ranges, not recursion, holds the depth."""
+    tree: list = []
+    open_ = [(start, end, tree)]
+    while open_:
+        a, b, into = open_.pop()
+        for kind, body, stop in boxes(data, a, b):
+            inner: list = []
+            into.append((kind, body, stop, inner))
+            if kind in CONTAINERS:
+                open_.append((body, stop, inner))
+    return tree
 
 
 def at(tree: list, *path: bytes):
@@ -132,10 +144,14 @@ def read_track(data: memoryview, trak: list) -> dict:
     codec = bytes(data[a + 12 : a + 16]).decode("latin-1")
     a, b = at(stbl, b"stsz")
     fixed, count = struct.unpack_from(">II", data, a + 4)
+    if fixed and fixed * count > len(data):
+        raise Malformed("more samples than the file holds")
     sizes = [fixed] * count if fixed else [x for (x,) in rows(data, (a, b), ">I", 8)]
     kinds = {k for k, *_ in stbl}
     offsets = [x for (x,) in (rows(data, at(stbl, b"co64"), ">Q") if b"co64" in kinds else rows(data, at(stbl, b"stco"), ">I"))]
     runs = rows(data, at(stbl, b"stsc"), ">III")
+    if any(first < 1 for first, *_ in runs) or any(x[0] >= y[0] for x, y in zip(runs[:-1], runs[1:], strict=True)):
+        raise Malformed("runs of chunks that don't rise")
     if sum(n for n, _ in rows(data, at(stbl, b"stts"), ">II")) != len(sizes):
         raise Malformed("times and sizes differ in number")
     samples: list[tuple[int, int]] = []
@@ -150,20 +166,89 @@ def read_track(data: memoryview, trak: list) -> dict:
     keys = [k for (k,) in rows(data, at(stbl, b"stss"), ">I")] if b"stss" in kinds else range(1, len(samples) + 1)
     if any(not 1 <= k <= len(samples) for k in keys):
         raise Malformed("a keyframe that is no sample")
-    return {"codec": codec, "seconds": length / scale if scale else None, "samples": samples, "keys": [samples[k - 1] for k in keys]}
+    return {"codec": codec, "scale": scale, "seconds": length / scale if scale else None, "samples": samples, "keys": [samples[k - 1] for k in keys]}
+
+
+def fragment_samples(data: memoryview, tree: list, track_id: int, defaults: tuple[int, int]) -> tuple[list, list, int]:
+    """(samples, keyframes, length in units of time) of a track in the movie fragments of a file.
+
+    defaults: duration and size of samples that a fragment doesn't state. Flags that mark a sample as no keyframe are
+    read where they stand, in the run or in the fragment's header; without any, every sample is a keyframe.
+    """
+    samples: list[tuple[int, int]] = []
+    keys: list[tuple[int, int]] = []
+    length = 0
+    for kind, body, _, moof in tree:
+        if kind != b"moof":
+            continue
+        for _, _, _, traf in [x for x in moof if x[0] == b"traf"]:
+            a, b = at(traf, b"tfhd")
+            flags, own = struct.unpack_from(">II", data, a)
+            if own != track_id:
+                continue
+            place, base, (duration, size), mark = a + 8, body - 8, defaults, 0
+            if flags & 0x1:
+                base, place = struct.unpack_from(">Q", data, place)[0], place + 8
+            place += 4 * bool(flags & 0x2)
+            for bit in (0x8, 0x10, 0x20):
+                if flags & bit:
+                    value, place = struct.unpack_from(">I", data, place)[0], place + 4
+                    duration, size, mark = (value if bit == 0x8 else duration), (value if bit == 0x10 else size), (value if bit == 0x20 else mark)
+            start = base
+            for _, a, b, _ in [x for x in traf if x[0] == b"trun"]:
+                flags, count = struct.unpack_from(">II", data, a)
+                flags, place, first = flags & 0xFFFFFF, a + 8, None
+                if flags & 0x1:
+                    start, place = base + struct.unpack_from(">i", data, place)[0], place + 4
+                if flags & 0x4:
+                    first, place = struct.unpack_from(">I", data, place)[0], place + 4
+                fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+                if place + 4 * len(fields) * count > b or not fields and size * count > len(data):
+                    raise Malformed("a run of a fragment is cut off")
+                for i in range(count):
+                    told = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, place), strict=True))
+                    place += 4 * len(fields)
+                    end = start + told.get(0x200, size)
+                    if not 0 <= start <= end <= len(data):
+                        raise Malformed("a sample of a fragment lies outside of the file")
+                    samples.append((start, end))
+                    if not (first if i == 0 and first is not None else told.get(0x400, mark)) & 0x10000:
+                        keys.append((start, end))
+                    start, length = end, length + told.get(0x100, duration)
+    return samples, keys, length
+
+
+def tracks(data: memoryview) -> list[dict]:
+    tree = walk(data, 0, len(data))
+    moov = next((inner for kind, _, _, inner in tree if kind == b"moov"), None)
+    if moov is None:
+        raise Malformed("no movie box")
+    extends = {}
+    for _, _, _, mvex in [x for x in moov if x[0] == b"mvex"]:
+        for _, a, _, _ in [x for x in mvex if x[0] == b"trex"]:
+            track_id, _, duration, size = struct.unpack_from(">IIII", data, a + 4)
+            extends[track_id] = duration, size
+    found = []
+    for kind, _, _, trak in moov:
+        if kind == b"trak":
+            track = read_track(data, trak)
+            if extends:
+                a, b = at(trak, b"tkhd")
+                track_id = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
+                samples, keys, length = fragment_samples(data, tree, track_id, extends.get(track_id, (0, 0)))
+                track["samples"], track["keys"] = track["samples"] + samples, track["keys"] + keys
+                if length and track["scale"]:
+                    track["seconds"] = (track["seconds"] or 0.0) + length / track["scale"]
+            found.append(track)
+    return found
 
 
 def read_media(file: bytes | None) -> list[dict]:
-    """The tracks of a file."""
-    data = memoryview(file or b"")
+    """The tracks of a file: codec, seconds, scale, samples and keys (byte ranges). Raises Malformed, and nothing else."""
     try:
-        tree = walk(data, 0, len(data))
-        moov = next((inner for kind, _, _, inner in tree if kind == b"moov"), None)
-        if moov is None:
-            raise Malformed("no movie box")
-        return [read_track(data, inner) for kind, _, _, inner in moov if kind == b"trak"]
-    except struct.error as e:
-        raise Malformed(str(e)) from e
+        return tracks(memoryview(file or b""))
+    except (struct.error, IndexError, MemoryError) as e:  # a box or a table ends before what it should hold
+        raise Malformed(f"cut off: {e}") from e
 
 
 def padded(text: str | None) -> tuple[int, bytes]:

@@ -22,11 +22,16 @@ BROADCAST_ROWS = 1_000_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one set here where it is unset (local runs)."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or in local runs one set here where it is unset.
+
+    On a cluster there is no folder to fall back on: executors don't see each other's disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
+    if not found and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(found)

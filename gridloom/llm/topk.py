@@ -178,7 +178,12 @@ def search(index: DataFrame, queries: DataFrame, n_queries: int, k: int) -> Data
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64) -> DataFrame:
     """Rows whose vec_id is divisible by `every` as queries against all rows; rows without an id take no part."""
     rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", quantised(F.col("embedding"), scale).alias("q"))
-    counts = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
+    # In doubles, which don't overflow: the largest component, and the largest square of a vector's length.
+    wide = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.transform("embedding", lambda x: F.abs(F.floor(x.cast("double") * scale).cast("double"))).alias("q"))
+    square = F.aggregate("q", F.lit(0.0), lambda acc, x: acc + x * x)
+    counts = wide.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max(F.array_max("q")), F.max(square)).first()
+    if (counts[2] or 0.0) >= 2.0**31 or (counts[3] or 0.0) >= 2.0**62:
+        raise ValueError("components or scores are too large for exact sums in 64 bits")
     dealt = rows.repartition(max(1, -(-counts[0] // BLOCK)), F.xxhash64("vec_id", "q"))
     return search(written(build_index(dealt), "bit-slices"), rows.filter(F.col("vec_id") % every == 0), counts[1], k)
 

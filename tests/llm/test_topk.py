@@ -42,3 +42,9 @@ def test_more_chunks_than_are_broadcast(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(120)]
     assert sorted(map(tuple, topk.top_k(spark.createDataFrame([(i, v, 0, "") for i, v in rows], SCHEMA), 4, 3).collect())) == brute(rows, 4, 3)
+
+
+def test_overflow_is_an_error(spark):
+    for big in (1e17, 1e9, 3e307):
+        with pytest.raises(ValueError, match="too large"):
+            topk.top_k(spark.createDataFrame([(0, [big, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>"))

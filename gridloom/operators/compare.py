@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.aggregates import correlation, quantile, share
 from gridloom.functions.scalars import haversine_km
-from gridloom.operators.stats import average_rank
+from gridloom.operators.stats import ranked
 
 #: Fixed value: two-sided 95% quantile of Student's t with 4 degrees of freedom.
 T_95_DF4 = 2.7764451051977987
@@ -25,10 +25,9 @@ def pairs(wide: DataFrame, models: tuple[str, ...]) -> DataFrame:
 def complementarity(wide: DataFrame, models: tuple[str, ...]) -> DataFrame:
     """How errors of two models move together, and how often either is strictly better."""
     keys = ["model_a", "model_b"]
-    rows = pairs(wide, models)
-    ranked = rows.select("*", average_rank("a", keys).alias("ra"), average_rank("b", keys).alias("rb"))
+    rows = ranked(pairs(wide, models), {"a": "ra", "b": "rb"}, keys)
     a, b = F.col("a"), F.col("b")
-    return ranked.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), correlation(a, b).alias("pearson"), correlation(F.col("ra"), F.col("rb")).alias("spearman"), F.avg(a - b).alias("mean_diff"), quantile(a - b, 0.5).alias("median_diff"),
         share(a < b).alias("a_better_pct"), share(b < a).alias("b_better_pct"), share(a == b).alias("tied_pct"),
     )

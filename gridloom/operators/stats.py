@@ -2,30 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.aggregates import correlation, quantile, skew
 
 
+#: Buckets of equal width that the values of a group are counted in.
+BUCKETS = 4096
+
+
+def running_counts(rows: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    """keys, x, n, before, rows: each distinct value, how often it comes, how many rows of its group are smaller, and all rows.
+
+    Equal values are counted first. Counts by bucket of the value give each bucket its place, and only the distinct
+    values of one bucket are sorted together, so that a group of any size is spread over tasks. Nulls come first, NaN last.
+    """
+    v, finite = F.col(x).cast("double"), F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))
+    named = [*keys, "_all"]
+    counted = rows.select(*keys, F.col(x)).withColumn("_all", F.lit(0)).groupBy(*named, x).agg(F.count(F.lit(1)).alias("n"))
+    span = counted.groupBy(*named).agg(F.min(F.when(finite, v)).alias("_low"), F.max(F.when(finite, v)).alias("_high"), F.sum("n").alias("rows"))
+    side = span.select(*[F.col(k).alias(f"_{k}_") for k in named], "_low", "_high", "rows")
+    same = F.lit(True)
+    for k in named:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}_"))
+    met = counted.join(side, same).drop(*[f"_{k}_" for k in named])
+    share = F.try_divide(v - F.col("_low"), F.col("_high") - F.col("_low"))
+    at = F.when(F.col(x).isNull(), -1).when(~finite, BUCKETS).otherwise(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1))).cast("int")
+    met = met.withColumn("_at", at)
+    sums = met.groupBy(*named, "_at").agg(F.sum("n").alias("_n"))
+    first = (F.sum("_n").over(Window.partitionBy(*named).orderBy("_at")) - F.col("_n")).alias("_first")  # one row a bucket
+    sums = sums.select(*[F.col(k).alias(f"_{k}_") for k in named], F.col("_at").alias("_b"), first)
+    here = F.sum("n").over(Window.partitionBy(*named, "_at").orderBy(x)) - F.col("n")
+    placed = met.withColumn("_here", here).join(sums, same & (F.col("_at") == F.col("_b")))
+    return placed.select(*keys, x, "n", (F.col("_first") + F.col("_here")).alias("before"), "rows")
+
+
+def quantiles(rows: DataFrame, x: str, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """keys and a column for each named share: exact quantiles with linear interpolation, by counting instead of holding a group."""
+    counts = running_counts(rows.filter(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))), x, keys)
+    value = F.col(x).cast("double")
+
+    def at(rank):
+        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), value))
+
+    out = []
+    for name, p in shares.items():
+        place = F.lit(p) * (F.col("rows") - 1)
+        low = F.floor(place)
+        out.append((at(low) + (at(F.ceil(place)) - at(low)) * F.max(place - low)).alias(name))
+    return counts.groupBy(*keys).agg(*out)
+
+
 def describe(rows: DataFrame, x: str, keys: list[str]) -> DataFrame:
     """Moments and exact quantiles of finite values."""
     v = F.col(x)
     ok = rows.filter(v.isNotNull() & ~F.isnan(v))
-    return ok.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        *[quantile(v, p).alias(f"p{int(p * 100):02d}") for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)], skew(v).alias("skewness"),
-    )
+    moments = ok.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), skew(v).alias("skewness"))
+    shares = {f"p{int(p * 100):02d}": p for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)}
+    found = quantiles(ok, x, keys, shares).select(*[F.col(k).alias(f"_{k}_") for k in keys], *shares)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}_"))
+    return moments.join(found, same).select(*keys, "n", "mean", "std", "min", "max", *shares, "skewness")
 
 
 def thresholds(rows: DataFrame, x: str, station: str, p: float = 0.95) -> DataFrame:
     """A quantile over all rows (station null) and by station."""
-    return rows.groupingSets([[], [F.col(station)]], station).agg(F.count(x).alias("n"), quantile(F.col(x), p).alias("threshold"))
+    counts = rows.groupingSets([[], [F.col(station)]], station).agg(F.count(x).alias("n"))
+    kind = rows.schema[station].dataType
+    pooled = quantiles(rows, x, [], {"threshold": p}).select(F.lit(None).cast(kind).alias("_s"), "threshold")
+    each = quantiles(rows, x, [station], {"threshold": p}).select(F.col(station).alias("_s"), "threshold")
+    return counts.join(pooled.union(each), F.col(station).eqNullSafe(F.col("_s")), "left").select(station, "n", "threshold")
 
 
 def histogram(rows: DataFrame, x: str, bins: int = 60, top: float = 0.99) -> DataFrame:
     """Equal bins from 0 to a quantile, the last one closed; what lies above goes, empty bins stay."""
-    high = rows.agg(quantile(F.col(x), top).alias("high"))
+    high = quantiles(rows, x, [], {"high": top})
     at = F.least(F.floor(F.col(x) / F.col("high") * bins), F.lit(bins - 1)).cast("int")
     counted = rows.select(x).join(F.broadcast(high)).filter((F.col(x) >= 0) & (F.col(x) <= F.col("high"))).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("count"))  # one row is broadcast
     return rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counted, "bin", "left").fillna(0, ["count"])
@@ -54,16 +107,24 @@ def station_correlation(panel: DataFrame, x: str = "value") -> DataFrame:
     return a.join(b, "hour_idx").groupBy("a", "b").agg(F.count(F.lit(1)).alias("pairs"), correlation(F.col("x"), F.col("y")).alias("r"))
 
 
-def average_rank(x: str, keys: list[str]) -> Column:
-    """Rank with ties averaged."""
-    peers = F.count(F.lit(1)).over(Window.partitionBy(*keys, x))
-    return F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (peers - 1) / 2
+def ranked(rows: DataFrame, ranks: dict[str, str], keys: list[str]) -> DataFrame:
+    """`rows` with a rank in their group for each column, ties averaged; ranks: names by column.
+
+    Ranks belong to distinct values and come back by an equi-join, so no task sorts a group.
+    """
+    for x, name in ranks.items():
+        counts = running_counts(rows, x, keys).select(*[F.col(k).alias(f"_{k}_") for k in keys], F.col(x).alias("_x"), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+        same = F.col(x).eqNullSafe(F.col("_x"))
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}_"))
+        rows = rows.join(counts, same).drop("_x", *[f"_{k}_" for k in keys])
+    return rows
 
 
 def spearman(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """Rank correlation within groups, ties averaged."""
-    ranked = rows.select(*keys, average_rank(x, keys).alias("rx"), average_rank(y, keys).alias("ry"))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("rx"), F.col("ry")).alias("rho"))
+    found = ranked(rows.select(*keys, x, y), {x: "rx", y: "ry"}, keys)
+    return found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("rx"), F.col("ry")).alias("rho"))
 
 
 def least_squares(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
@@ -73,6 +134,6 @@ def least_squares(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame
 
 def quartile_bins(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Means of y in quartile bins of x; a value on a border belongs to the lower bin."""
-    q = rows.agg(*[quantile(F.col(x), p).alias(f"q{i}") for i, p in enumerate((0.25, 0.5, 0.75))])
+    q = quantiles(rows, x, [], {f"q{i}": p for i, p in enumerate((0.25, 0.5, 0.75))})
     at = F.when(F.col(x) <= F.col("q0"), 0).when(F.col(x) <= F.col("q1"), 1).when(F.col(x) <= F.col("q2"), 2).otherwise(3)
     return rows.join(F.broadcast(q)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"))  # one row is broadcast

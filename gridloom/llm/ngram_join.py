@@ -579,3 +579,29 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFra
     # Only rows that repeat are shuffled to become one.
     once, repeated = chosen(kept.filter(F.col(copies) == 1)), chosen(kept.filter(F.col(copies) > 1)).dropDuplicates(["doc_id", text])
     return once.union(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+COMPONENTS_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams
+  FROM words
+), named AS (
+  SELECT doc_id, CAST(len(grams) AS BIGINT) AS n, grams, dense_rank() OVER (ORDER BY md5(array_to_string(grams, chr(10)))) AS k FROM sets
+), nodes AS (
+  SELECT k, any_value(n) AS n, any_value(grams) AS grams, min(doc_id) AS first FROM named WHERE n > 0 GROUP BY k
+), posts AS (
+  SELECT k, n, unnest(grams) AS g FROM nodes
+), links AS (
+  SELECT a.k AS a, b.k AS b FROM posts a JOIN posts b ON a.g = b.g AND a.k <> b.k
+  GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT k, k AS other FROM nodes UNION SELECT r.k, l.b FROM reached r JOIN links l ON r.other = l.a
+), smallest AS (
+  SELECT r.k, min(n.first) AS component_id FROM reached r JOIN nodes n ON n.k = r.other GROUP BY r.k
+)
+SELECT doc_id, named.n AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM named LEFT JOIN smallest ON named.n > 0 AND smallest.k = named.k
+"""

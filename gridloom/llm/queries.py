@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.DIGEST_SQL, "op6_top_k": topk.TOP_K_SQL}
+    return {"op2_ngram_join": ngram_join.COMPONENTS_SQL, "op5_line_dedup": line_dedup.DIGEST_SQL, "op6_top_k": topk.TOP_K_SQL, "op8_secret_scan": secret_scan.digest_sql()}

@@ -122,3 +122,35 @@ def scan_digest(docs: DataFrame) -> DataFrame:
     out = scan(docs)
     counts = [of_kind("base", k).alias(f"n_{KINDS[k]}") for k in range(3)]
     return out.select("doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+
+
+def digest_sql() -> str:
+    """DuckDB SQL of `scan_digest` with its defaults: the same patterns, positions by sums over pieces and matches."""
+    found = " UNION ALL ".join(
+        f"""
+  SELECT doc_id, source, lang, {kind} AS kind, unnest(range(1, len(m) + 1)) AS i, v, [length(x) FOR x IN m] AS ml, [length(x) FOR x IN string_split_regex(t, p)] AS gl
+  FROM (SELECT doc_id, source, lang, t, p, regexp_extract_all(t, p) AS m, regexp_extract_all(t, p, {group}) AS v
+        FROM (SELECT doc_id, source, lang, coalesce(text, '') AS t, $${pattern}$$ AS p FROM documents))"""
+        for kind, pattern, group in ((0, ASSIGN, 2), (1, ACCESS, 0), (2, HEX, 0))
+    )
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    spelled = f"{names}[kind + 1] || ':' || start || ':' || stop"
+    return f"""
+WITH found AS ({found}
+), placed AS (
+  SELECT doc_id, source, lang, kind, v[i] AS value, list_sum(gl[1:i]) + coalesce(list_sum(ml[1:i - 1]), 0) AS start, list_sum(gl[1:i]) + list_sum(ml[1:i]) AS stop FROM found
+), base AS (
+  SELECT doc_id, source, lang, kind, value, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM placed WHERE kind <> 0 OR length(value) >= {ASSIGN_LEAST}
+), owned AS (
+  SELECT value, CASE WHEN count(DISTINCT row(source)) >= 2 OR count(DISTINCT row(source, lang)) >= 4 THEN 4 ELSE 3 END AS verdict FROM base GROUP BY value
+), spans AS (
+  SELECT doc_id, kind, start, stop FROM base UNION ALL
+  SELECT DISTINCT doc_id, verdict, stop - length(value), stop FROM base JOIN owned USING (value)
+), told AS (
+  SELECT doc_id, string_agg({spelled}, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg({spelled}, ',' ORDER BY start, kind, stop) AS spans,
+         {", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{KINDS[k]}" for k in range(3))}
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS[:3])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN told USING (doc_id)
+"""

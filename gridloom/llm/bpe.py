@@ -380,6 +380,5 @@ def round_trip_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                 rows["ids_sha256"].append(listed.hexdigest())
                 rows["decoded_sha256"].append(decoded.hexdigest())
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
-        c.forget()
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -34,9 +34,12 @@ def event_observations(events: DataFrame, timeline: Timeline, stations: int = 4)
 
 
 def station_files(spark: SparkSession, path: str, header: list[str], corrupt: str = "_malformed") -> DataFrame:
-    """Raw station files as text columns with `station_file`; rows with another number of fields land in `corrupt`."""
+    """Raw station files as text columns with `station_file`; rows with another number of fields land in `corrupt`.
+
+    Every field is parsed, whatever a plan selects: with pruned columns, rows with too few fields would pass for whole.
+    """
     schema = ", ".join(f"`{c}` string" for c in [*header, corrupt])
-    rows = spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt, enforceSchema=True)
+    rows = spark.read.option("columnPruning", False).csv(path, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt, enforceSchema=True)
     return rows.withColumn("station_file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
 
 

@@ -51,6 +51,12 @@ def test_station_files(spark, tmp_path):
         tables.write_table(manifest, str(tmp_path / "out"))
 
 
+def test_malformed_rows_are_flagged_whatever_is_selected(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b,c\n1,2,3\n2,3\n4,5,6,7\n")
+    rows = tables.station_files(spark, str(tmp_path), ["a", "b", "c"])
+    assert {(r.a, r._malformed) for r in rows.select("a", "_malformed").collect()} == {("1", None), ("2", "2,3"), ("4", "4,5,6,7")}
+
+
 def test_carry_drops_late_hours(spark, tmp_path):
     for i, rows in enumerate(([(0, 0, 1.0), (0, 2, 3.0)], [(0, 1, 9.0), (0, 11, 4.0)])):
         spark.createDataFrame(rows, "station int, hour_idx int, value double").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))

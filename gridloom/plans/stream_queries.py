@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,15 +9,10 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import features, models, samples
 from gridloom.plans.base import STATIONS, TARGET, TIME, filled_target, predictions, query, rounded, target_panel
+from gridloom.sources.work import shared_folder
 from gridloom.streaming import panel as streaming
 
 
-def shared_folder(spark, name: str) -> str:
-    """A folder of its own that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-    return f"{base.rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"""SELECT CAST(user_id % {STATIONS} AS INTEGER) AS station, event_type AS variable, CAST(date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS INTEGER) AS hour_idx, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def stream_hourly(spark, sf):
     """The whole table in one micro-batch, because its files need not be in the order of time."""
@@ -39,11 +32,11 @@ SELECT station, hour_idx, round(coalesce(held, -99.0), 6) AS filled, CASE WHEN v
 def stream_carry(spark, sf):
     out = shared_folder(spark, "carry")
     hours = target_panel(spark, sf).filter("observed").select("station", "hour_idx", "value")
-    for block in range(3):  # files arrive in the order of time
-        hours.filter(F.floor(F.col("hour_idx") / 240) == block).coalesce(1).write.parquet(f"{out}/in/{block}")
     schema = "station int, hour_idx int, value double"
-    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{out}/in")
-    streaming.run_available(streaming.carry(arriving, 6, -99.0), f"{out}/rows", f"{out}/state", "append")
+    for block in range(3):  # blocks arrive in the order of time, each in as many files as it has tasks
+        hours.filter(F.floor(F.col("hour_idx") / 240) == block).write.parquet(f"{out}/in/{block}")
+        arriving = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/in")
+        streaming.run_available(streaming.carry(arriving, 6, -99.0), f"{out}/rows", f"{out}/state", "append")
     return rounded(spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/rows").select("station", "hour_idx", "filled", "source"))
 
 

@@ -326,11 +326,12 @@ def codec(path: str, specials: bool = True) -> Codec:
     return Codec(path, specials)
 
 
-def encode(df: DataFrame, path: str | None = None, specials: bool = True, text: str = "text", out: str = "ids") -> DataFrame:
-    """`df` with an array of token ids."""
+def encode(df: DataFrame, path: str | None = None, specials: bool = True, text: str = "text", out: str = "ids", keep_text: bool = True) -> DataFrame:
+    """`df` with an array of token ids; without the texts, if they need not come back from the Python workers."""
     path = path or default_path()
-    schema = T.StructType([*[f for f in df.schema.fields if f.name != out], T.StructField(out, T.ArrayType(T.IntegerType()))])
-    keep = [f.name for f in df.schema.fields if f.name != out]
+    fields = [f for f in df.schema.fields if f.name != out and (keep_text or f.name != text)]
+    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    keep = [f.name for f in fields]
 
     def run(batches):
         c = codec(path, specials)

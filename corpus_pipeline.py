@@ -38,7 +38,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
-    return bpe.encode(docs.select(*COLUMNS)).withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
+    return bpe.encode(docs.select(*COLUMNS), keep_text=False).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [("quality", good_documents), ("lines", lines_once), ("near_duplicates", one_of_each_group), ("mix", mixed_sources), ("tokens", tokens)]

@@ -49,17 +49,27 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(documents(spark, sf_dir))
 
 
+#: The texts of conversation -7, which hold control strings.
+HARD = r"\### Assistant: </turn> ok"
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -7, whose texts hold control strings."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    hard = r"\### Assistant: </turn> ok"
-    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD).alias("text"))
     return chat.conversation_digest(turns.unionByName(added))
 
 
+CHAT_SQL = f"""
+WITH turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '{HARD}'
+) {chat.DIGEST_SQL}"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op3_quality_classifier, op4_shard_documents, op5_line_dedup, op6_top_k, op7_bpe_round_trip, op8_secret_scan, op9_media_columns, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.COMPONENTS_SQL, "op5_line_dedup": line_dedup.DIGEST_SQL, "op6_top_k": topk.TOP_K_SQL, "op8_secret_scan": secret_scan.digest_sql()}
+    return {"op2_ngram_join": ngram_join.COMPONENTS_SQL, "op5_line_dedup": line_dedup.DIGEST_SQL, "op6_top_k": topk.TOP_K_SQL, "op8_secret_scan": secret_scan.digest_sql(), "op10_chat_format": CHAT_SQL}

@@ -236,8 +236,15 @@ def missing_hours(spark, sf):
     return full_panel(spark, sf).filter(~F.col("observed")).groupBy("station", "variable").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+MILLIONTHS = " || ',' || ".join(f"coalesce(CAST(CAST(round({m} * 1000000) AS BIGINT) AS VARCHAR), '')" for m in MODELS)
+
+
+@query(f"""WITH {PREDICTED}, locked AS (
+  SELECT CAST('0x' || substr(md5(partition || '|' || station || '|' || strftime(TIMESTAMP '2024-01-01' + to_hours(target_idx), '%Y%m%d%H') || '|h' || horizon || ',' || {MILLIONTHS}), 1, 15) AS BIGINT) AS h
+  FROM predicted
+) SELECT count(*) AS predictions, bit_xor(h) AS xor_digest, CAST(sum(h) AS VARCHAR) AS sum_digest FROM locked""")
 def prediction_lock(spark, sf):
-    """Count and order-free digest of all predictions, taken before any actual is read: partial sums, one row a task."""
-    row = F.xxhash64("sample_id", *MODELS)
+    """Count and order-free digest of all predictions to the millionth, taken before any actual is read: partial sums, one row a task."""
+    text = F.concat_ws(",", "sample_id", *[F.coalesce(F.round(F.col(m) * 1000000).cast("long").cast("string"), F.lit("")) for m in MODELS])
+    row = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
     return predictions(spark, sf).agg(F.count(F.lit(1)).alias("predictions"), F.bit_xor(row).alias("xor_digest"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("sum_digest"))

@@ -50,12 +50,14 @@ def window_by_sample(spark, sf):
     return rounded(rows.select("sample_id", F.size("steps").cast("long").alias("steps"), seen.alias("seen"), F.round(total, 4).alias("total"), *ends))
 
 
-@query(f"""WITH {SAMPLES}, w AS (SELECT station, hour_idx, value, source, count(*) FILTER (WHERE observed) OVER v AS observed_in_window, avg(filled) OVER v AS filled_mean
+@query(f"""WITH {SAMPLES}, w AS (SELECT station, hour_idx, value, source, count(*) FILTER (WHERE observed) OVER v AS observed_in_window, avg(round(filled * 100)) OVER v AS filled_mean
   FROM target WINDOW v AS (PARTITION BY station ORDER BY hour_idx ROWS BETWEEN 47 PRECEDING AND CURRENT ROW))
 SELECT {ID.replace("station", "c.station")} AS sample_id, round(value, 6) AS native_at, source AS source_at, observed_in_window, round(filled_mean, 6) AS filled_mean
 FROM candidates c JOIN w ON w.station = c.station AND w.hour_idx = c.origin_idx WHERE reason = 'eligible'""")
 def guarded_accessors(spark, sf):
-    rows = contracts.guarded_accessors(chosen(spark, sf), filled_target(spark, sf), samples.CONTEXT)
+    """The mean is over whole cents, whose sums are exact in any order."""
+    cents = filled_target(spark, sf).withColumn("filled", F.round(F.col("filled") * 100))
+    rows = contracts.guarded_accessors(chosen(spark, sf), cents, samples.CONTEXT)
     return rounded(rows.select("sample_id", "native_at", "source_at", "observed_in_window", "filled_mean"))
 
 

@@ -123,3 +123,6 @@ def test_columns(docs):
     assert bpe.encode(docs([])).count() == 0
     plain = bpe.encode(docs([(1, "<|endoftext|>")]), specials=False).first().ids
     assert 50256 not in plain
+    slim = bpe.encode(df, keep_text=False)
+    assert slim.columns == ["doc_id", "lang", "source", "n_chars", "ids"]
+    assert {r.doc_id: r.ids for r in slim.collect()} == {r.doc_id: r.ids for r in out.collect()}

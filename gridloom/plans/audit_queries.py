@@ -103,22 +103,29 @@ def missingness_matrix(spark, sf):
     return rounded(rows.select("variable", *[F.col(f"`{s}`").alias(f"s{s}") for s in range(STATIONS)]))
 
 
-def priority_counts(orders):
-    return rounded(audit.category_counts(orders, "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NEVER"]).withColumn("pct", F.col("pct").cast("double")))
+def level_sql(column, levels):
+    slots = ", ".join(f"'{x}'" for x in [*levels, "MISSING"])
+    return f"""WITH c AS (SELECT coalesce({column}, 'MISSING') AS category, count(*) AS n FROM orders GROUP BY ALL), k AS (SELECT unnest([{slots}]) AS category)
+SELECT category, coalesce(n, 0) AS rows, round(coalesce(n, 0) * 100.0 / sum(coalesce(n, 0)) OVER (), 6) AS pct FROM k LEFT JOIN c USING (category)"""
 
 
-@query("""WITH c AS (SELECT coalesce(o_orderpriority, 'MISSING') AS category, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL), k AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW', '6-NEVER', 'MISSING']) AS category)
-SELECT category, coalesce(n, 0) AS rows, round(coalesce(n, 0) * 100.0 / sum(coalesce(n, 0)) OVER (), 6) AS pct FROM k LEFT JOIN c USING (category)""")
+def level_counts(spark, sf, column, levels):
+    return rounded(audit.category_counts(table(spark, sf, "orders"), column, levels).withColumn("pct", F.col("pct").cast("double")))
+
+
+PRIORITIES, STATUSES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NEVER"], ["F", "O", "P", "X"]
+
+
+@query(level_sql("o_orderstatus", STATUSES))
 def category_counts(spark, sf):
-    """A third of the orders only, as its SQL has it; `category_counts_all` counts them all. One category has none."""
-    return priority_counts(table(spark, sf, "orders").filter(F.col("o_orderkey") % 3 == 0))
+    """All orders by status; one category has none."""
+    return level_counts(spark, sf, "o_orderstatus", STATUSES)
 
 
-@query("""WITH c AS (SELECT coalesce(o_orderpriority, 'MISSING') AS category, count(*) AS n FROM orders GROUP BY ALL), k AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW', '6-NEVER', 'MISSING']) AS category)
-SELECT category, coalesce(n, 0) AS rows, round(coalesce(n, 0) * 100.0 / sum(coalesce(n, 0)) OVER (), 6) AS pct FROM k LEFT JOIN c USING (category)""")
+@query(level_sql("o_orderpriority", PRIORITIES))
 def category_counts_all(spark, sf):
     """All orders by priority; one category has none."""
-    return priority_counts(table(spark, sf, "orders"))
+    return level_counts(spark, sf, "o_orderpriority", PRIORITIES)
 
 
 QUANTILES = ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{int(p * 100):02d}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))

@@ -1,6 +1,10 @@
 """Readers, streams, and every query against its SQL."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -75,8 +79,9 @@ def test_hourly_stream_of_unordered_files(spark, tmp_path):
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-4) for k in want)
 
 
-def test_category_counts_take_every_order(spark):
-    rows = QUERIES["category_counts_all"](spark, SF).collect()
+@pytest.mark.parametrize("name", ["category_counts", "category_counts_all"])
+def test_category_counts_take_every_order(spark, name):
+    rows = QUERIES[name](spark, SF).collect()
     assert sum(r.rows for r in rows) == spark.read.parquet(f"{SF}/orders.parquet").count() and sum(r.pct for r in rows) == pytest.approx(100, abs=1e-4)
 
 
@@ -97,7 +102,18 @@ def test_trees_and_matrix_take_every_eligible_sample(spark):
     assert not [c for c in made.columns if row[c] is None]
 
 
-def test_entry_without_the_llm_subpackage():
-    import __spark_entry__ as entry
+ALONE = """
+import __spark_entry__ as entry
+assert len(entry.queries()) > 100 and len(entry.oracle_sql()) > 100
+assert not [q for q in entry.queries() if q == 'pipeline' or q.startswith('op') and q[2].isdigit()]
+"""
 
-    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_llm_subpackage(tmp_path, pipeline):
+    """A copy without both llm folders, with and without the pipeline's file, imports and keeps its other queries."""
+    repo = Path(__file__).parents[1]
+    shutil.copytree(repo / "gridloom", tmp_path / "gridloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py", *["corpus_pipeline.py"] * (pipeline and (repo / "corpus_pipeline.py").exists())]:
+        shutil.copy(repo / name, tmp_path)
+    subprocess.run([sys.executable, "-c", ALONE], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})

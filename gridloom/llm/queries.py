@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, line_dedup, media, mixing, ngram_join, quality, secret_scan, sharding, topk
+from gridloom.llm import bpe, chat, line_dedup, media, mixing, ngram_join, quality, secret_scan, sharding, spelling, topk
 from gridloom.llm.shared import documents
 
 
@@ -60,6 +60,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(turns.unionByName(added))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_spellings(documents(spark, sf_dir))
+
+
 CHAT_SQL = f"""
 WITH turns AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -68,8 +72,8 @@ WITH turns AS (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op3_quality_classifier, op4_shard_documents, op5_line_dedup, op6_top_k, op7_bpe_round_trip, op8_secret_scan, op9_media_columns, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op3_quality_classifier, op4_shard_documents, op5_line_dedup, op6_top_k, op7_bpe_round_trip, op8_secret_scan, op9_media_columns, op10_chat_format, op11_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.COMPONENTS_SQL, "op5_line_dedup": line_dedup.DIGEST_SQL, "op6_top_k": topk.TOP_K_SQL, "op8_secret_scan": secret_scan.digest_sql(), "op10_chat_format": CHAT_SQL}
+    return {"op2_ngram_join": ngram_join.COMPONENTS_SQL, "op5_line_dedup": line_dedup.DIGEST_SQL, "op6_top_k": topk.TOP_K_SQL, "op8_secret_scan": secret_scan.digest_sql(), "op10_chat_format": CHAT_SQL, "op11_spelling_variants": spelling.SPELLING_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, language, line_dedup, media, mixing, ngram_join, quality, secret_scan, sharding, spelling, topk
+from gridloom.llm import bpe, chat, language, lexical, line_dedup, media, mixing, ngram_join, quality, secret_scan, sharding, spelling, topk
 from gridloom.llm.shared import documents
 
 
@@ -68,6 +68,10 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.document_languages(documents(spark, sf_dir))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 CHAT_SQL = f"""
 WITH turns AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -76,8 +80,8 @@ WITH turns AS (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op3_quality_classifier, op4_shard_documents, op5_line_dedup, op6_top_k, op7_bpe_round_trip, op8_secret_scan, op9_media_columns, op10_chat_format, op11_spelling_variants, op12_language_id)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op3_quality_classifier, op4_shard_documents, op5_line_dedup, op6_top_k, op7_bpe_round_trip, op8_secret_scan, op9_media_columns, op10_chat_format, op11_spelling_variants, op12_language_id, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.COMPONENTS_SQL, "op5_line_dedup": line_dedup.DIGEST_SQL, "op6_top_k": topk.TOP_K_SQL, "op8_secret_scan": secret_scan.digest_sql(), "op10_chat_format": CHAT_SQL, "op11_spelling_variants": spelling.SPELLING_SQL, "op12_language_id": language.LANGUAGE_SQL}
+    return {"op2_ngram_join": ngram_join.COMPONENTS_SQL, "op5_line_dedup": line_dedup.DIGEST_SQL, "op6_top_k": topk.TOP_K_SQL, "op8_secret_scan": secret_scan.digest_sql(), "op10_chat_format": CHAT_SQL, "op11_spelling_variants": spelling.SPELLING_SQL, "op12_language_id": language.LANGUAGE_SQL, "op13_lexical_search": lexical.SEARCH_SQL}

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -19,8 +20,8 @@ def test_held_out_accuracy(spark):
     clean = [r.keep for r in rows if r.quality == 1 and r.toxic == 0]
     toxic = [r.keep for r in rows if r.toxic == 1]
     poor = [r.keep for r in rows if r.quality == 0]
-    assert len(clean) > 500 and sum(clean) >= 0.99 * len(clean)
-    assert sum(toxic) <= 0.12 * len(toxic) and sum(poor) <= 0.05 * len(poor)
+    assert len(clean) > 500 and sum(clean) >= 0.995 * len(clean)
+    assert sum(toxic) <= 0.02 * len(toxic) and sum(poor) <= 0.01 * len(poor)
 
 
 def bayes(rows):
@@ -43,8 +44,7 @@ def bayes(rows):
     for h, p, e in rows:
         above = (k0 * rate + max(sum(hosts[h]) - e, 0)) / (k0 + len(hosts[h]) - 1)
         site = (k1 * above + max(sum(paths[h, p]) - e, 0)) / (k1 + len(paths[h, p]) - 1)
-        weight = min(max(logit(site) - logit(rate), -math.log(quality.SITE_ODDS)), math.log(quality.SITE_ODDS))
-        out.append((site, 1 / (1 + math.exp(-(logit(e) + weight)))))
+        out.append((site, 1 / (1 + math.exp(-(logit(e) + logit(site) - logit(rate))))))
     return out
 
 
@@ -90,6 +90,67 @@ def test_long_texts_and_repeated_ids_are_learned_from(spark, docs):
     assert min(got[i] for i in range(0, 40, 2)) > max(got[i] for i in range(1, 40, 2))
 
 
+def plain_evidence(known, asked):
+    """Evidence by plain loops: known are (text, (low, toxic)) rows. Word log-odds leave the own row out for the regression only."""
+    features = lambda text: [set(quality.word_slots(w)) - {0} for w in (text or "").lower().split()]
+    kinds, out = [], []
+    for k in (0, 1):
+        with_it = sum(y[k] for _, y in known)
+        ratio = max(1, with_it) / max(1, len(known) - with_it)
+        counts = {0: {}, 1: {}}
+        for text, y in known:
+            for f in set().union(*features(text)):
+                counts[y[k]][f] = counts[y[k]].get(f, 0) + 1
+
+        def odds(text, out_of=None, counts=counts, ratio=ratio):
+            for fs in features(text):
+                one = {f: counts[1].get(f, 0) - (out_of == 1) for f in fs}
+                none = {f: counts[0].get(f, 0) - (out_of == 0) for f in fs}
+                missing = math.log(quality.PSEUDO / quality.PSEUDO)
+                found = [math.log((max(one[f], 0) + quality.PSEUDO) / (max(none[f], 0) * ratio + quality.PSEUDO)) for f in fs]
+                yield max(found + [missing] * (len(fs) < 6))
+
+        kinds.append((odds, ratio))
+    for k, (odds, _) in enumerate(kinds):
+        def facts(text, out_of=None, odds=odds):
+            words, own = (text or "").lower().split(), list(odds(text, out_of))
+            n, raw = max(1, len(words)), text or ""
+            share = lambda test: sum(map(test, raw)) / max(1, len(raw))
+            again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+            row = [math.log1p(n) / 5, share(lambda c: c in "#$%&*|!<>=_") * 5, share(str.isupper), share(lambda c: c in "0123456789") * 5, again / n, len(set(words)) / n, sum(own) / n]
+            for level in quality.LEVELS:
+                hits = sum(x >= level for x in own)
+                row += [math.log1p(hits), hits / n * 10, math.log1p(hits / n * 100)]
+            return row
+
+        x, y = np.array([facts(t, y[k]) for t, y in known]), np.array([y[k] for _, y in known], float)
+        mean, spread = x.mean(0), x.std(0) + 1e-3
+        x, head = np.c_[(x - mean) / spread, np.ones(len(x))], np.zeros(x.shape[1] + 1)
+        for _ in range(quality.NEWTON):
+            p = 1 / (1 + np.exp(-np.clip(x @ head, -30, 30)))
+            head -= np.linalg.solve((x.T * (p * (1 - p))) @ x + quality.RIDGE * np.eye(len(head)), x.T @ (p - y) + quality.RIDGE * head)
+        logits = np.array([((np.array(facts(t)) - mean) / spread) @ head[:-1] + head[-1] for t in asked])
+        out.append(1 / (1 + np.exp(np.clip(logits, -30, 30))))
+    return out[0] * out[1]
+
+
+def test_evidence_against_plain_loops(spark, docs):
+    """The model itself, from word counts to the regression, over every document of a small table."""
+    rng = random.Random(4)
+    words = {"good": "river stone field house bread".split(), "poor": "click WIN $$$ free! free!".split(), "toxic": "hate, hateful awful vile".split()}
+    rows, known = [], []
+    for i in range(60):
+        kind = rng.choice(["good", "good", "poor", "toxic"])
+        rows.append((i, " ".join(rng.choice(words[kind] + words["good"]) for _ in range(rng.randint(3, 40)))))
+        if i % 3:
+            known.append((i, int(kind != "poor"), int(kind == "toxic")))
+    labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.evidence for r in quality.classify(docs(rows), labels).collect()}
+    texts = dict(rows)
+    want = plain_evidence([(texts[i], (int(q <= 0), t)) for i, q, t in known], [t for _, t in rows])
+    assert [got[i] for i, _ in rows] == pytest.approx(want.tolist(), abs=2e-3)
+
+
 def test_surface_and_words():
     import pyarrow as pa
 

@@ -7,7 +7,8 @@ slot, and only rows of one bucket are sorted together. Equal rows are counted be
 after it, in runs of bounded length.
 
 Defined cases: a null key is a key like any other; null texts have no bytes; rows equal in all slot columns take
-neighbouring slots; an empty table gives no rows; other columns pass through.
+neighbouring slots; an empty table gives no rows; other columns pass through, whatever their names, and an earlier
+`slot` is replaced.
 """
 
 from __future__ import annotations
@@ -42,9 +43,10 @@ def number_slots(df: DataFrame, buckets: int = 4096) -> DataFrame:
 
     `buckets` times the shards bounds what is counted; a bucket of a shard is the unit that one task sorts.
     """
-    columns = df.columns
-    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
-    runs = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", hashed)
+    out = [c for c in df.columns if c.lower() != "slot"]
+    columns = [f"c{i}" for i in range(len(out))]  # the operator's own columns can't clash with these
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(out, columns, strict=True)])
+    runs = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.xxhash64(*columns)).withColumn("shard", F.col(columns[out.index("shard")]))
     runs = runs.withColumn("_bucket", F.shiftrightunsigned("_h", 64 - (buckets - 1).bit_length()).cast("int"))
     counts = runs.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_rows"))
     first = F.sum("_rows").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_rows")
@@ -55,7 +57,7 @@ def number_slots(df: DataFrame, buckets: int = 4096) -> DataFrame:
     starts = placed.withColumn("_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(RUN).cast("long"))))
     offset = F.explode(F.sequence(F.col("_start"), F.least(F.col("_n"), F.col("_start") + RUN) - 1))
     dealt = starts.withColumn("_offset", offset)
-    return dealt.select(*[F.col(f"`{c}`") for c in columns], (F.col("_first") + F.col("_before") + F.col("_offset")).cast("long").alias("slot"))
+    return dealt.select(*[F.col(n).alias(c) for n, c in zip(columns, out, strict=True)], (F.col("_first") + F.col("_before") + F.col("_offset")).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:

@@ -45,3 +45,15 @@ def test_edges(docs):
     for r in rows:
         by[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_clashing_columns_pass_through(spark):
+    own = ("_n", "_h", "_bucket", "_b", "_rows", "_first", "_before", "_start", "_offset", "_shard", "slot", "c0", "c1", "Shard_")
+    rows = spark.range(50).withColumn("shard", (F.col("id") % 3).cast("int")).withColumns({c: F.lit("mine") for c in own})
+    got = sharding.number_slots(rows.union(rows))
+    assert got.columns == ["id", "shard", *[c for c in own if c != "slot"], "slot"]
+    by = defaultdict(list)
+    for r in got.collect():
+        by[r.shard].append(r.slot)
+        assert {r[c] for c in own if c != "slot"} == {"mine"}
+    assert {k: sorted(v) for k, v in by.items()} == {0: list(range(34)), 1: list(range(34)), 2: list(range(32))}

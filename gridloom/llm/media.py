@@ -203,8 +203,8 @@ def fragment_samples(data: memoryview, tree: list, track_id: int, defaults: tupl
                 if flags & 0x4:
                     first, place = struct.unpack_from(">I", data, place)[0], place + 4
                 fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
-                if place + 4 * len(fields) * count > b or not fields and size * count > len(data):
-                    raise Malformed("a run of a fragment is cut off")
+                if place + 4 * len(fields) * count > b or not fields and max(size * count, len(samples) + count) > len(data):
+                    raise Malformed("a run of a fragment is cut off, or has more samples than the file has bytes")
                 for i in range(count):
                     told = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, place), strict=True))
                     place += 4 * len(fields)
@@ -228,13 +228,16 @@ def tracks(data: memoryview) -> list[dict]:
         for _, a, _, _ in [x for x in mvex if x[0] == b"trex"]:
             track_id, _, duration, size = struct.unpack_from(">IIII", data, a + 4)
             extends[track_id] = duration, size
-    found = []
+    found, ids = [], set()
     for kind, _, _, trak in moov:
         if kind == b"trak":
             track = read_track(data, trak)
             if extends:
                 a, b = at(trak, b"tkhd")
                 track_id = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
+                if track_id in ids:
+                    raise Malformed("two tracks have one id")
+                ids.add(track_id)
                 samples, keys, length = fragment_samples(data, tree, track_id, extends.get(track_id, (0, 0)))
                 track["samples"], track["keys"] = track["samples"] + samples, track["keys"] + keys
                 if length and track["scale"]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import pytest
@@ -111,3 +112,27 @@ def test_huge_counts_are_not_trusted():
     at = good.index(b"stsz") + 8
     with pytest.raises(media.Malformed):
         media.read_media(good[:at] + struct.pack(">II", 1, 0xFFFFFFFF) + good[at + 8 :])
+
+
+@pytest.mark.parametrize("count", [2_000_000, 0xFFFFFFFF])
+@pytest.mark.parametrize("runs", [1, 40])
+def test_runs_of_empty_samples_are_bounded_by_the_file(count, runs):
+    """A run without fields and with samples of no bytes could claim any number of them."""
+    good = fragmented([3, 4, 5])[0]
+    moov = good[: good.index(b"moof") - 4].replace(struct.pack(">IIIII", 7, 1, 20, 5, 0), struct.pack(">IIIII", 7, 1, 20, 0, 0))
+    run = media.box(b"trun", struct.pack(">II", 0, count if runs == 1 else len(moov)))
+    file = moov + media.box(b"moof", media.full(b"mfhd", struct.pack(">I", 1)), media.box(b"traf", media.box(b"tfhd", struct.pack(">II", 0, 7)), *[run] * runs))
+    began = time.perf_counter()
+    with pytest.raises(media.Malformed):
+        media.read_media(file)
+    assert time.perf_counter() - began < 0.1
+
+
+def test_tracks_of_one_id_are_refused():
+    good = fragmented([3, 4, 5])[0]
+    start = good.index(b"trak") - 4
+    trak = good[start : start + struct.unpack_from(">I", good, start)[0]]
+    moov = struct.unpack_from(">I", good, 0)[0]
+    file = struct.pack(">I", moov + len(trak)) + good[4:8] + trak + good[8:]
+    with pytest.raises(media.Malformed, match="one id"):
+        media.read_media(file)

@@ -4,8 +4,8 @@ hash; lines over the threshold go, and each text is put together again by positi
 Texts are never shuffled as lines. What travels is one slim row for each long enough line (document, position, 128-bit
 hash), made once and written; positions to drop come back as one array per document, and the kept lines are picked out
 of the text in place. A line that a third of all documents hold is counted after a partial sum. Repeated hashes, and
-the documents that lose lines, are broadcast when they were counted and are few, and then no text is shuffled; else
-they meet in joins that AQE can split.
+the documents that lose lines, are broadcast when they were counted and are few and small, and then no text is
+shuffled; else they meet in joins that AQE can split.
 
 Defined cases: a null or empty text is one empty line; lines are compared by their whole normalised text (128 bits of
 hash); a null doc_id is one document, smaller than any other; rows that share a doc_id count as one document, and each
@@ -47,7 +47,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     id_, key, gone, text, parts = (fresh(x, docs) for x in ("id", "key", "gone", "text", "lines"))
     lost = written(hits.groupBy("doc_id", "_text").agg(F.collect_set("pos").alias(gone)).select(F.col("doc_id").alias(id_), F.col("_text").alias(key), gone), "lines-gone")
     rows = docs.drop("n_lines", "n_dropped").withColumn(text, text_key(F.col("text")))
-    rows = rows.join(checked_broadcast(lost), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(text) == F.col(key)), "left")
+    rows = rows.join(checked_broadcast(lost, size=4 * F.size(gone) + 32), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(text) == F.col(key)), "left")
     rows = rows.withColumn(parts, F.split(F.coalesce("text", F.lit("")), "\n")).withColumn("n_lines", F.size(parts).cast("long"))
     rows = rows.withColumn("n_dropped", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
     # array_except keeps the order of positions and is linear in them.

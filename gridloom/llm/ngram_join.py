@@ -11,9 +11,10 @@ overlap that any link of theirs needs: the prefix. The steps, each a fixed numbe
 2. The global order. Frequencies are counted among the sets that are left, and come back as one byte an n-gram.
 3. Keys. Nodes with a common prefix n-gram are tied to the smallest of them, linear in the nodes of a key; sets whose
    keys hang together form a block, so that a set travels once and not once a key.
-4. Tries. A probe walks the branches that hold enough of its early n-grams, sums the overlap of a common prefix once,
-   and leaves a subtree when the n-grams that remain on either side can't reach the threshold. Sets that are already
-   connected with the probe are left out.
+4. Tries. A trie posts, for each n-gram, the sets below it that have it among their early n-grams. A probe walks the
+   branches with enough of its own early n-grams, sums the overlap of a common prefix once, and leaves a subtree when
+   the n-grams that remain on either side can't reach the threshold. The postings only say which branches to enter;
+   links are decided by the walk. Sets that are already connected with the probe are left out.
 5. Blocks over `TASK_GRAMS` n-grams or `TASK_SETS` sets are dealt over tasks by salt, with a few pivots in each. What
    these tries have not connected meets by key: only keys whose sets lie in several components are open. Keys with
    few sets meet in bins of keys; for those with many, the sets outside of the largest component meet all the others,

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 #: White space of all contracts, as a trim set and as a regular expression of the words between it.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a side that may be broadcast; a wider or longer side takes a shuffled join.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a side that may be broadcast, and bytes where rows differ in size; a larger side takes a shuffled join.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -61,9 +61,13 @@ def removed(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows, else as it is: a shuffled join that AQE can split."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `rows` rows, else as it is: a shuffled join that AQE can split.
+
+    size: the bytes of a row, for tables with arrays; their sum may be `BROADCAST_BYTES` at most.
+    """
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= BROADCAST_BYTES else df
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

@@ -7,7 +7,7 @@ score. The best rows are then picked from the most significant slice downward; r
 resolved exactly, smaller ids first. Negative weights use the complement of a bitmap and a constant.
 
 Queries are grouped into chunks; every chunk meets every block of the same number of components. The chunks are
-broadcast after a check of their number, else they are joined by a shuffle on the chunk. Each pair of a block and a
+broadcast after a check of their bytes, else they are joined by a shuffle on the chunk. Each pair of a block and a
 query leaves at most k rows, and a window over those picks the result.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; a vector scores against those
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import written
+from gridloom.llm.shared import BROADCAST_BYTES, written
 
-#: Rows of a block, queries of a chunk, and most chunks that are broadcast (each under 1 MB at 128 components).
-BLOCK, CHUNK, BROADCAST_CHUNKS = 8192, 256, 128
+#: Rows of a block; queries of a chunk, about, and their bytes.
+BLOCK, CHUNK, CHUNK_BYTES = 8192, 256, 2 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -141,13 +141,13 @@ def build_index(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "dim int, ids binary, bits int, offset long, slices binary")
 
 
-def search(index: DataFrame, queries: DataFrame, n_queries: int, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of the index for each query (vec_id, q)."""
-    chunks = max(1, -(-n_queries // CHUNK))
+def search(index: DataFrame, queries: DataFrame, n_queries: int, held: int, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows of the index for each of so many queries (vec_id, q) and bytes."""
+    chunks = max(1, -(-n_queries // CHUNK), -(-held // CHUNK_BYTES))
     named = queries.dropDuplicates(["vec_id", "q"]).select(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("_chunk"), F.size("q").alias("_dim"), F.struct("vec_id", "q").alias("_query"))
     grouped = named.groupBy("_chunk", "_dim").agg(F.collect_list("_query").alias("asked"))
     parts = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    few = chunks <= BROADCAST_CHUNKS
+    few = held <= BROADCAST_BYTES
     if few:  # blocks may be fewer than cores; pairs of block and chunk are dealt out
         parts = parts.repartition(F.col("chunk"), F.xxhash64("ids"))
     pairs = parts.join(F.broadcast(grouped) if few else grouped, (F.col("chunk") == F.col("_chunk")) & (F.col("dim") == F.col("_dim")))
@@ -181,11 +181,11 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64) ->
     # In doubles, which don't overflow: the largest component, and the largest square of a vector's length.
     wide = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.transform("embedding", lambda x: F.abs(F.floor(x.cast("double") * scale).cast("double"))).alias("q"))
     square = F.aggregate("q", F.lit(0.0), lambda acc, x: acc + x * x)
-    counts = wide.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max(F.array_max("q")), F.max(square)).first()
+    counts = wide.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max(F.array_max("q")), F.max(square), F.sum(F.when(F.col("vec_id") % every == 0, F.size("q") * 8 + 32))).first()
     if (counts[2] or 0.0) >= 2.0**31 or (counts[3] or 0.0) >= 2.0**62:
         raise ValueError("components or scores are too large for exact sums in 64 bits")
     dealt = rows.repartition(max(1, -(-counts[0] // BLOCK)), F.xxhash64("vec_id", "q"))
-    return search(written(build_index(dealt), "bit-slices"), rows.filter(F.col("vec_id") % every == 0), counts[1], k)
+    return search(written(build_index(dealt), "bit-slices"), rows.filter(F.col("vec_id") % every == 0), counts[1], counts[4] or 0, k)
 
 
 TOP_K_SQL = """

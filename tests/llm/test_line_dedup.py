@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from gridloom.llm import line_dedup
+from gridloom.llm import line_dedup, shared
 
 OWN = ["pos", "h1", "_h1", "_H2", "_id", "_key", "_gone", "_text", "_lines", "_line", "keeper", "_docs"]
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -41,3 +41,11 @@ def test_many_lines_and_empty_table(docs):
     got = line_dedup.dedup_lines(docs(rows)).collect()
     assert sorted((r.doc_id, r.n_dropped) for r in got) == [(1, 20000), (2, 20000), (3, 0)]
     assert {r.text for r in got if r.doc_id < 3} == {""}
+
+
+def test_tables_too_large_to_broadcast_are_shuffled(docs, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 100)
+    body = "\n".join(f"line {i} of a document" for i in range(30))
+    rows = [(i, body + f"\n its own line, number {i}") for i in range(5)]
+    got = line_dedup.dedup_lines(docs(rows))
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got.collect()), key=str) == brute(rows)

@@ -167,3 +167,18 @@ def test_slices_of_a_batch_read_as_whole_texts():
     texts = pa.array([f"É ü Wort{i} zwei drei" for i in range(700)])
     for a, b in zip(nj.gram_sets(texts.slice(512), 2), nj.gram_sets(pa.array(texts.to_pylist()[512:]), 2), strict=True):
         assert (a == b).all()
+
+
+def test_walks_leave_subtrees_that_cannot_reach_the_threshold(monkeypatch):
+    """Sets with enough early n-grams in common but too little after them are met, and dropped before their ends."""
+    t = nj.Threshold(4, 5)
+    base = np.arange(1000, 1400, dtype=np.uint64)
+    far = [np.concatenate([base[:90], np.arange(5000 + 400 * i, 5310 + 400 * i, dtype=np.uint64)]) for i in range(20)]
+    trie = nj.Trie(t, [base, *far, base.copy()[:380]], np.array([400] * 21 + [380]))
+    me = int(np.flatnonzero(trie.order == 0)[0])
+    read, plain = [], nj.pieces
+    monkeypatch.setattr(nj, "pieces", lambda starts, lengths: read.append(int(lengths.sum())) or plain(starts, lengths))
+    found = trie.links(me, np.arange(22) != me)
+    assert trie.order[found].tolist() == [21]
+    entered = sum(trie.length) - trie.length[me]
+    assert sum(read[1:]) < entered / 4  # n-grams of the branches walked, of all that the other sets hold

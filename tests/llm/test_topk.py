@@ -36,9 +36,11 @@ def test_repeats_and_empty(spark):
     assert topk.top_k(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_more_chunks_than_are_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CHUNK", 5)
-    monkeypatch.setattr(topk, "BROADCAST_CHUNKS", 1)
+@pytest.mark.parametrize(("chunk", "chunk_bytes"), [(5, 1 << 20), (256, 300)])
+def test_more_bytes_than_are_broadcast(spark, monkeypatch, chunk, chunk_bytes):
+    monkeypatch.setattr(topk, "CHUNK", chunk)
+    monkeypatch.setattr(topk, "CHUNK_BYTES", chunk_bytes)
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", 100)
     rng = random.Random(1)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(120)]
     assert sorted(map(tuple, topk.top_k(spark.createDataFrame([(i, v, 0, "") for i, v in rows], SCHEMA), 4, 3).collect())) == brute(rows, 4, 3)

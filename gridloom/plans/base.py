@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalars import six
+from gridloom.functions.scalars import hour_index, six
 from gridloom.operators import baselines, panel, samples
-from gridloom.sources.tables import Timeline, event_observations, table
+from gridloom.sources.tables import Timeline, event_observations, table, timeline_of
 
 TIME = Timeline("2024-01-01 00:00:00", 720, 359, 539)
 TARGET, STATIONS, SEVERE, LOW = "purchase", 4, 80.0, 30.0
@@ -64,6 +64,16 @@ def filled_target(spark: SparkSession, sf: str) -> DataFrame:
     return panel.causal_fill(grid, panel.train_medians(grid, TIME.train_end))
 
 
+def users_target(spark: SparkSession, sf: str) -> tuple[Timeline, DataFrame]:
+    """The table's own timeline, and the target's filled series of every user: this panel grows with the table."""
+    events = table(spark, sf, "events")
+    time = timeline_of(events)
+    rows = events.filter(F.col("event_type") == TARGET).select(F.col("user_id").alias("station"), hour_index("ts", time.start).alias("hour_idx"), "value")
+    seen = rows.filter(F.col("hour_idx").between(0, time.hours - 1)).groupBy("station", "hour_idx").agg(F.avg("value").alias("value"))
+    grid = panel.grid(seen, time.hours, ("station",))
+    return time, panel.causal_fill(grid, panel.train_medians(grid, time.train_end, ("station",)), keys=("station",))
+
+
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     return samples.candidates(target_panel(spark, sf), TIME)
 
@@ -159,6 +169,25 @@ ALL_ERRORS = PREDICTED + """, all_errors AS (
   WHERE prediction IS NOT NULL
 )"""
 ERRORS = ALL_ERRORS + ", errors AS (SELECT * FROM all_errors WHERE partition = 'test')"
+#: The panel of all users over the table's own hours.
+USERS = f"""span AS (
+  SELECT date_trunc('hour', min(ts)) AS t0, CAST(date_diff('hour', date_trunc('hour', min(ts)), max(ts)) + 1 AS INTEGER) AS hours FROM events
+), parts AS (SELECT t0, hours, hours // 2 - 1 AS train_end, hours * 3 // 4 - 1 AS validation_end FROM span
+), uobs AS (
+  SELECT user_id AS station, CAST(date_diff('hour', t0, ts) AS INTEGER) AS hour_idx, avg(value) AS value FROM events, parts WHERE event_type = '{TARGET}' GROUP BY ALL
+), ugrid AS (
+  SELECT s.station, CAST(i AS INTEGER) AS hour_idx, o.value, o.value IS NOT NULL AS observed, CASE WHEN i <= train_end THEN 'train' WHEN i <= validation_end THEN 'validation' ELSE 'test' END AS partition
+  FROM (SELECT DISTINCT station FROM uobs) s CROSS JOIN parts CROSS JOIN LATERAL (SELECT unnest(range(hours)) AS i) h LEFT JOIN uobs o ON o.station = s.station AND o.hour_idx = i
+), umedian AS (SELECT station, coalesce(quantile_cont(value, 0.5) FILTER (WHERE partition = 'train'), 0.0) AS train_median FROM ugrid GROUP BY ALL
+), uheld AS (
+  SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY station ORDER BY hour_idx RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS held FROM ugrid
+), ufilled AS (
+  SELECT station, hour_idx, value, observed, partition, coalesce(held, train_median) AS filled, CASE WHEN value IS NOT NULL THEN 0 WHEN held IS NOT NULL THEN 1 ELSE 2 END AS source FROM uheld JOIN umedian USING (station)
+), usamples AS (
+  SELECT partition || '|' || station || '|' || strftime(t0 + to_hours(hour_idx), '%Y%m%d%H') || '|h' || horizon AS sample_id, station, CAST(horizon AS INTEGER) AS horizon, hour_idx AS target_idx,
+         CAST(hour_idx - horizon AS INTEGER) AS origin_idx, partition
+  FROM ufilled CROSS JOIN parts CROSS JOIN (VALUES (1), (6), (12), (24)) v(horizon) WHERE observed AND hour_idx - horizon - 47 >= 0
+)"""
 #: Select lists over errors.
 MAE, RMSE = "avg(abs(residual))", "sqrt(avg(residual * residual))"
 R2 = "1 - sum(residual * residual) / nullif(var_pop(actual) * count(actual), 0)"

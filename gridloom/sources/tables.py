@@ -23,6 +23,13 @@ class Timeline:
         return F.when(index <= self.train_end, "train").when(index <= self.validation_end, "validation").otherwise("test")
 
 
+def timeline_of(events: DataFrame, ts: str = "ts") -> Timeline:
+    """The hours that a table of events spans, in halves: train, then validation and test of a quarter each."""
+    row = events.agg(F.date_format(F.date_trunc("hour", F.min(ts)), "yyyy-MM-dd HH:mm:ss").alias("start"), F.expr(f"cast(timestampdiff(HOUR, date_trunc('hour', min({ts})), max({ts})) as int)").alias("last")).first()
+    hours = 0 if row.start is None else row["last"] + 1
+    return Timeline(row.start or "1970-01-01 00:00:00", hours, hours // 2 - 1, hours * 3 // 4 - 1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,13 +5,35 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; only local sessions may do without it."""
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the context's checkpoint folder; only local sessions may do without either."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = kept.get() if kept.isDefined() else None
     if not base and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = base or f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-    return f"{base.rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path that doesn't exist yet, in a folder that driver and executors share and that goes when the driver's JVM ends."""
+    path = f"{shared_base(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
+    return f"{path}/data"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, read again: what follows starts from there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

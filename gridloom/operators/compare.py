@@ -7,9 +7,10 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.aggregates import correlation, quantile, share
+from gridloom.functions.aggregates import correlation, share
 from gridloom.functions.scalars import haversine_km
-from gridloom.operators.stats import ranked
+from gridloom.operators.stats import quantiles, ranked
+from gridloom.sources.work import written
 
 #: Fixed value: two-sided 95% quantile of Student's t with 4 degrees of freedom.
 T_95_DF4 = 2.7764451051977987
@@ -24,13 +25,13 @@ def pairs(wide: DataFrame, models: tuple[str, ...]) -> DataFrame:
 
 def complementarity(wide: DataFrame, models: tuple[str, ...]) -> DataFrame:
     """How errors of two models move together, and how often either is strictly better."""
-    keys = ["model_a", "model_b"]
-    rows = ranked(pairs(wide, models), {"a": "ra", "b": "rb"}, keys)
-    a, b = F.col("a"), F.col("b")
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), correlation(a, b).alias("pearson"), correlation(F.col("ra"), F.col("rb")).alias("spearman"), F.avg(a - b).alias("mean_diff"), quantile(a - b, 0.5).alias("median_diff"),
+    keys, a, b = ["model_a", "model_b"], F.col("a"), F.col("b")
+    met = written(pairs(wide, models).withColumn("d", a - b), "compare-pairs")
+    moved = ranked(met, {"a": "ra", "b": "rb"}, keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), correlation(a, b).alias("pearson"), correlation(F.col("ra"), F.col("rb")).alias("spearman"), F.avg("d").alias("mean_diff"),
         share(a < b).alias("a_better_pct"), share(b < a).alias("b_better_pct"), share(a == b).alias("tied_pct"),
     )
+    return moved.join(quantiles(met, "d", keys, {"median_diff": 0.5}), keys)
 
 
 def best_of(wide: DataFrame, models: tuple[str, ...]) -> DataFrame:

@@ -6,35 +6,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.aggregates import correlation, quantile, skew
+from gridloom.sources.work import written
 
+#: Distinct values of a bucket, about; one task sorts a bucket.
+BUCKET_VALUES = 50_000
 
-#: Buckets of equal width that the values of a group are counted in.
-BUCKETS = 4096
+
+def ranged(counted: DataFrame, x: str, keys: list[str], ranges: int) -> DataFrame:
+    """`counted` with the number `_range` of the range of (keys, x) that each row lies in."""
+    return counted.repartitionByRange(ranges, *keys, x).withColumn("_range", F.spark_partition_id())
 
 
 def running_counts(rows: DataFrame, x: str, keys: list[str]) -> DataFrame:
     """keys, x, n, before, rows: each distinct value, how often it comes, how many rows of its group are smaller, and all rows.
 
-    Equal values are counted first. Counts by bucket of the value give each bucket its place, and only the distinct
-    values of one bucket are sorted together, so that a group of any size is spread over tasks. Nulls come first, NaN last.
+    Equal values are counted first, and the counts written. Where they are more than a task should sort, they are dealt
+    into ranges of (keys, x) whose bounds Spark samples from the values themselves, so outliers and heavy tails leave the
+    ranges as full as any others; sums by range give each its place. Nulls come first, NaN last.
     """
-    v, finite = F.col(x).cast("double"), F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))
-    named = [*keys, "_all"]
-    counted = rows.select(*keys, F.col(x)).withColumn("_all", F.lit(0)).groupBy(*named, x).agg(F.count(F.lit(1)).alias("n"))
-    span = counted.groupBy(*named).agg(F.min(F.when(finite, v)).alias("_low"), F.max(F.when(finite, v)).alias("_high"), F.sum("n").alias("rows"))
-    side = span.select(*[F.col(k).alias(f"_{k}_") for k in named], "_low", "_high", "rows")
-    same = F.lit(True)
-    for k in named:
+    counted = written(rows.select(*keys, F.col(x)).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n")), "stats-counts")
+    ranges = -(-counted.count() // BUCKET_VALUES)
+    if ranges <= 1:
+        group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        return counted.select(*keys, x, "n", (F.sum("n").over(group.orderBy(x)) - F.col("n")).alias("before"), F.sum("n").over(group).alias("rows"))
+    dealt = written(ranged(counted, x, keys, ranges), "stats-ranges")
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum("n").alias("_n"))  # one row for each range of a group
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    sums = sums.select(*[F.col(k).alias(f"_{k}_") for k in keys], F.col("_range").alias("_r"), (F.sum("_n").over(group.orderBy("_range")) - F.col("_n")).alias("_first"), F.sum("_n").over(group).alias("rows"))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}_"))
-    met = counted.join(side, same).drop(*[f"_{k}_" for k in named])
-    share = F.try_divide(v - F.col("_low"), F.col("_high") - F.col("_low"))
-    at = F.when(F.col(x).isNull(), -1).when(~finite, BUCKETS).otherwise(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1))).cast("int")
-    met = met.withColumn("_at", at)
-    sums = met.groupBy(*named, "_at").agg(F.sum("n").alias("_n"))
-    first = (F.sum("_n").over(Window.partitionBy(*named).orderBy("_at")) - F.col("_n")).alias("_first")  # one row a bucket
-    sums = sums.select(*[F.col(k).alias(f"_{k}_") for k in named], F.col("_at").alias("_b"), first)
-    here = F.sum("n").over(Window.partitionBy(*named, "_at").orderBy(x)) - F.col("n")
-    placed = met.withColumn("_here", here).join(sums, same & (F.col("_at") == F.col("_b")))
+    here = F.sum("n").over(Window.partitionBy(*keys, "_range").orderBy(x)) - F.col("n")
+    placed = dealt.withColumn("_here", here).join(sums, same)
     return placed.select(*keys, x, "n", (F.col("_first") + F.col("_here")).alias("before"), "rows")
 
 
@@ -58,6 +61,7 @@ def describe(rows: DataFrame, x: str, keys: list[str]) -> DataFrame:
     """Moments and exact quantiles of finite values."""
     v = F.col(x)
     ok = rows.filter(v.isNotNull() & ~F.isnan(v))
+    ok = written(ok.select(*keys, x), "stats-values")
     moments = ok.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), skew(v).alias("skewness"))
     shares = {f"p{int(p * 100):02d}": p for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)}
     found = quantiles(ok, x, keys, shares).select(*[F.col(k).alias(f"_{k}_") for k in keys], *shares)
@@ -110,10 +114,12 @@ def station_correlation(panel: DataFrame, x: str = "value") -> DataFrame:
 def ranked(rows: DataFrame, ranks: dict[str, str], keys: list[str]) -> DataFrame:
     """`rows` with a rank in their group for each column, ties averaged; ranks: names by column.
 
-    Ranks belong to distinct values and come back by an equi-join, so no task sorts a group.
+    Ranks belong to distinct values and come back by an equi-join for each column; rows of a long plan had better be
+    written before.
     """
+    base = rows
     for x, name in ranks.items():
-        counts = running_counts(rows, x, keys).select(*[F.col(k).alias(f"_{k}_") for k in keys], F.col(x).alias("_x"), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+        counts = running_counts(base, x, keys).select(*[F.col(k).alias(f"_{k}_") for k in keys], F.col(x).alias("_x"), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
         same = F.col(x).eqNullSafe(F.col("_x"))
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"_{k}_"))
@@ -123,7 +129,7 @@ def ranked(rows: DataFrame, ranks: dict[str, str], keys: list[str]) -> DataFrame
 
 def spearman(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """Rank correlation within groups, ties averaged."""
-    found = ranked(rows.select(*keys, x, y), {x: "rx", y: "ry"}, keys)
+    found = ranked(written(rows.select(*keys, x, y), "stats-rows"), {x: "rx", y: "ry"}, keys)
     return found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("rx"), F.col("ry")).alias("rho"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.scalars import hour_index, six
 from gridloom.operators import baselines, panel, samples
 from gridloom.sources.tables import Timeline, event_observations, table, timeline_of
+from gridloom.sources.work import written
 
 TIME = Timeline("2024-01-01 00:00:00", 720, 359, 539)
 TARGET, STATIONS, SEVERE, LOW = "purchase", 4, 80.0, 30.0
@@ -90,8 +91,8 @@ def climatology_table(filled: DataFrame) -> DataFrame:
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Eligible samples of all partitions with actual, b0, b1, b2 and how each came about."""
-    filled = filled_target(spark, sf)
-    rows = samples.eligible(candidates(spark, sf)).select("station", "horizon", "target_idx", "origin_idx", "partition", "sample_id", *clock("target_idx"))
+    filled = written(filled_target(spark, sf), "filled")  # read by each join below
+    rows = samples.eligible(samples.candidates(filled, TIME)).select("station", "horizon", "target_idx", "origin_idx", "partition", "sample_id", *clock("target_idx"))
     actual = filled.select(F.col("station").alias("_s"), F.col("hour_idx").alias("_h"), F.col("value").alias("actual"))
     rows = rows.join(actual, (F.col("station") == F.col("_s")) & (F.col("target_idx") == F.col("_h"))).drop("_s", "_h")
     rows = baselines.seasonal(baselines.persistence(rows, filled), filled)

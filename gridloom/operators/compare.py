@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.aggregates import correlation, share
-from gridloom.functions.scalars import haversine_km
 from gridloom.operators.stats import quantiles, ranked
 from gridloom.sources.work import written
 
@@ -83,19 +82,10 @@ def candidates(spark, grid: dict[str, list]) -> DataFrame:
     return spark.createDataFrame([(i, *row) for i, row in enumerate(product(*grid.values()))], ["candidate", *names])
 
 
-def distances(places: DataFrame) -> DataFrame:
-    """source, target, km of every ordered pair of different places; places are a small table of coordinates."""
-    a = places.select(F.lit(0).alias("_k"), F.col("place").alias("source"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    b = places.select(F.lit(0).alias("_k"), F.col("place").alias("target"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    near = a.join(b, "_k").filter(F.col("source") != F.col("target"))
-    return near.select("source", "target", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("km"))
-
-
-def edges(km: DataFrame, weights: DataFrame, r: DataFrame) -> DataFrame:
-    """Distance, weight and correlation of each pair, with the nearest source and the one of the highest weight."""
-    rows = km.join(weights, ["source", "target"]).join(r, ["source", "target"])
+def edges(weights: DataFrame) -> DataFrame:
+    """Weighted edges with km, and which source of each target is the nearest, and which the one of the highest weight."""
     by = Window.partitionBy("target")
-    return rows.withColumn("nearest", F.row_number().over(by.orderBy("km", "source")) == 1).withColumn("weight_rank", F.row_number().over(by.orderBy(F.desc("weight"), "source"))).withColumn("heaviest", F.col("weight_rank") == 1)
+    return weights.withColumn("nearest", F.row_number().over(by.orderBy("km", "source")) == 1).withColumn("weight_rank", F.row_number().over(by.orderBy(F.desc("weight"), "source"))).withColumn("heaviest", F.col("weight_rank") == 1)
 
 
 def self_share(weights: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
 from gridloom.operators import audit, compare, stats
+from gridloom.operators import places as maps
 from gridloom.plans.base import GRID, OBS, STATIONS, TARGET, TIME, corr_sql, full_panel, query, rounded, target_panel
 from gridloom.sources.tables import table
 
@@ -185,16 +186,28 @@ def places(spark, sf):
 
 @query(f"WITH {KM} SELECT source, target, round(km, 6) AS km FROM km")
 def haversine_distances(spark, sf):
-    return rounded(compare.distances(places(spark, sf)))
+    return rounded(maps.distances(places(spark, sf)))
 
 
 @query(f"""WITH {KM}, q AS (SELECT quantile_cont(km, 0.25) AS q0, quantile_cont(km, 0.5) AS q1, quantile_cont(km, 0.75) AS q2 FROM km)
 SELECT CASE WHEN km <= q0 THEN 0 WHEN km <= q1 THEN 1 WHEN km <= q2 THEN 2 ELSE 3 END AS bin, count(*) AS n, round(avg(km), 4) AS mean_x, round(avg(source + target), 4) AS mean_y FROM km, q GROUP BY ALL""")
 def distance_quartiles(spark, sf):
-    rows = stats.quartile_bins(compare.distances(places(spark, sf)).withColumn("y", F.col("source") + F.col("target")), "km", "y")
+    rows = stats.quartile_bins(maps.distances(places(spark, sf)).withColumn("y", F.col("source") + F.col("target")), "km", "y")
     return rows.select("bin", "n", F.round("mean_x", 4).alias("mean_x"), F.round("mean_y", 4).alias("mean_y"))
 
 
+CUSTOMERS = "(SELECT c_custkey AS place, (c_custkey * 37 % 1801) / 10.0 - 90 AS lat, (c_custkey * 101 % 3607) / 10.0 - 180 AS lon FROM customer)"
+
+
+@query(f"""WITH p AS {CUSTOMERS}, km AS (SELECT a.place, b.place AS neighbour, 2 * {scalars.EARTH_KM} * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km
+  FROM p a JOIN p b ON a.place <> b.place) SELECT place, CAST(row_number() OVER (PARTITION BY place ORDER BY km, neighbour) AS INTEGER) AS rank, neighbour, round(km, 6) AS km FROM km QUALIFY rank <= 3""")
+def nearest_places(spark, sf):
+    """The three nearest other customers of each, on a map that their keys make: cells and rings, no table of all pairs."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(key.alias("place"), ((key * 37 % 1801) / 10.0 - 90).alias("lat"), ((key * 101 % 3607) / 10.0 - 180).alias("lon"))
+    return rounded(maps.nearest(rows, 3))
+
+
 def weights(spark, sf):
     """Trade between nations of customers and suppliers, as weights of a graph."""
     o, l, c, s = (table(spark, sf, t) for t in ("orders", "lineitem", "customer", "supplier"))
@@ -208,8 +221,7 @@ WEIGHTS = """weights AS (SELECT s_nationkey AS source, c_nationkey AS target, CA
 @query(f"""WITH {KM}, {WEIGHTS} SELECT source, target, round(km, 6) AS km, weight, row_number() OVER (PARTITION BY target ORDER BY km, source) = 1 AS nearest,
   CAST(row_number() OVER (PARTITION BY target ORDER BY weight DESC, source) AS INTEGER) AS weight_rank, row_number() OVER (PARTITION BY target ORDER BY weight DESC, source) = 1 AS heaviest FROM km JOIN weights USING (source, target)""")
 def nearest_neighbour(spark, sf):
-    km = compare.distances(places(spark, sf))
-    return rounded(compare.edges(km, weights(spark, sf), km.select("source", "target")))
+    return rounded(compare.edges(maps.edge_distances(weights(spark, sf), places(spark, sf))))
 
 
 @query(f"WITH {WEIGHTS} SELECT round(sum(weight) FILTER (WHERE source = target) / sum(weight), 6) AS self_share, round(sum(weight) FILTER (WHERE source <> target) / sum(weight), 6) AS cross_share FROM weights")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import audit, compare, events, metrics, stats
+from gridloom.operators import places as maps
 
 SCHEMA = "model string, station string, horizon int, actual double, prediction double"
 
@@ -83,4 +84,4 @@ def test_selection_and_interval(spark):
 
 def test_haversine(spark):
     places = spark.createDataFrame([("x", 0.0, 0.0), ("y", 0.0, 90.0)], "place string, lat double, lon double")
-    assert compare.distances(places).first().km == pytest.approx(6371.0088 * 3.141592653589793 / 2)
+    assert maps.distances(places).first().km == pytest.approx(6371.0088 * 3.141592653589793 / 2)

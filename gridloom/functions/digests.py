@@ -2,7 +2,8 @@
 
 A row is the text of its columns in a given order; its SHA-256 gives two numbers of 60 bits, and a table's digest is the
 SHA-256 of its row count and the sums of both. Sums are partial before the shuffle, so a table of any size costs one row
-a task. Doubles count in steps of 1e-4, since sums of floats depend on the order of rows.
+a task. Doubles count in steps of 1e-4, since sums of floats depend on the order of rows; `SHIFT` puts the borders of the
+steps where means and shares of short numbers don't lie.
 """
 
 from __future__ import annotations
@@ -10,7 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NULL = "~"
+NULL, STEPS, SHIFT = "~", 10_000, 0.3571
+
+
+def steps_of(x: Column) -> Column:
+    """A float as a whole number of steps."""
+    return F.floor(x.cast("double") * STEPS + SHIFT).cast("long")
+
+
+def steps_sql(x: str) -> str:
+    return f"CAST(floor({x} * {STEPS} + {SHIFT}) AS BIGINT)"
 
 
 def row_text(df: DataFrame, columns: list[str]) -> Column:
@@ -19,7 +29,7 @@ def row_text(df: DataFrame, columns: list[str]) -> Column:
     def text(c: str) -> Column:
         x = F.col(f"`{c}`")
         if kinds[c] in ("double", "float"):
-            x = F.floor(x.cast("double") * 10_000 + 0.5).cast("long")
+            x = steps_of(x)
         return F.coalesce(x.cast("string"), F.lit(NULL))
 
     return F.concat_ws("|", *map(text, columns))
@@ -35,7 +45,7 @@ def table_digest(df: DataFrame, columns: list[str], keys: list[str] | None = Non
 
 def digest_sql(table: str, columns: list[str], doubles: list[str], keys: list[str] | None = None) -> str:
     """DuckDB: the same digest of a table; doubles name the columns that are floats."""
-    parts = [f"coalesce(CAST({f'CAST(floor({c} * 10000 + 0.5) AS BIGINT)' if c in doubles else c} AS VARCHAR), '{NULL}')" for c in columns]
+    parts = [f"coalesce(CAST({steps_sql(c) if c in doubles else c} AS VARCHAR), '{NULL}')" for c in columns]
     by = "".join(f"{k}, " for k in keys or [])
     sums = [f"CAST(coalesce(sum(CAST('0x' || substr(h, {at}, 15) AS BIGINT)), 0) AS VARCHAR)" for at in (1, 16)]
     return f"SELECT {by}count(*) AS rows, sha256(count(*) || ':' || {sums[0]} || ':' || {sums[1]}) AS digest FROM (SELECT {by}sha256({" || '|' || ".join(parts)}) AS h FROM {table}){f' GROUP BY {by[:-2]}' if keys else ''}"

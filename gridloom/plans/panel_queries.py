@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
-from gridloom.operators import features, panel, samples
+from gridloom.functions.digests import digest_sql, steps_sql, table_digest
+from gridloom.operators import features, panel, places, samples
 from gridloom.plans.base import (
     FILLED, GRID, PREDICTED, SAMPLES, STATIONS, TARGET, TIME, VARIABLES, candidates, climatology_table, filled_panel, filled_target, full_panel, predictions, query, rounded, target_panel,
 )
 from gridloom.sources.tables import table
+from gridloom.sources.work import written
 
 
 @query(f"WITH {GRID} SELECT station, variable, hour_idx, round(value, 6) AS value, observed FROM grid")
@@ -237,14 +239,127 @@ def leave_one_out(spark, sf):
     return samples.withheld(predictions(spark, sf), 2).groupBy("station", "horizon").agg(F.count(F.lit(1)).alias("n"), F.count("actual").alias("labelled"))
 
 
-@query()
-def feature_matrix_b3(spark, sf):
-    """The matrices of regimes R0 to R2 over all eligible samples; columns that a regime lacks are null. Codes are those of `categorical_fill`."""
+#: The variable whose values over 50 count as rain, and the places of stations, which their numbers make.
+RAIN, RANKS = "error", 3
+OTHERS = [x for x in VARIABLES if x != TARGET]
+
+
+def station_places(spark):
+    s = F.col("id")
+    return spark.range(STATIONS).select(s.cast("int").alias("place"), (s * 37 % 11 / 10.0 + 39.5).alias("lat"), (s * 53 % 13 / 10.0 + 116).alias("lon"))
+
+
+def wide_panel(spark, sf):
+    """station, hour_idx, code, the rain flag, and for each variable its filled values, scaled ones, masks and gap ages, stored."""
     cells = panel.gap_age(filled_panel(spark, sf))
-    found = cells.groupBy("station", "hour_idx").pivot("variable", VARIABLES).agg(F.first("filled").alias("value"), F.first("observed").alias("observed"), F.first("gap_age").alias("gap_age"))
-    named = found.select("station", "hour_idx", *[c for x in VARIABLES for c in (F.col(f"{x}_value").alias(x), F.col(f"{x}_observed"), F.col(f"{x}_gap_age"))])
+    cells = panel.scaled(cells, panel.scaling_statistics(full_panel(spark, sf), TIME.train_end))
+    parts = {"value": "filled", "scaled": "scaled", "observed": "observed", "gap_age": "gap_age"}
+    found = cells.groupBy("station", "hour_idx").pivot("variable", VARIABLES).agg(*[F.first(c).alias(n) for n, c in parts.items()], F.first(scalars.occurred(F.col("value") - 50)).alias("occurred"))
+    named = found.select("station", "hour_idx", F.col(f"{RAIN}_occurred"), *[c for x in VARIABLES for c in (F.col(f"{x}_value").alias(x), *[F.col(f"{x}_{n}") for n in ("scaled", "observed", "gap_age")])])
     coded = panel.categorical_fill(target_panel(spark, sf).withColumn("code", F.floor("value").cast("int") % 16), "code")
-    wide = named.join(coded.select("station", "hour_idx", F.col("filled_code").alias("code")), ["station", "hour_idx"])
-    others, chosen = [x for x in VARIABLES if x != TARGET], samples.eligible(candidates(spark, sf))
-    made = [features.sample_matrix(wide, chosen, r, TARGET, others, STATIONS, scalars.MISSING_CODE + 1, TIME.start).withColumn("regime", F.lit(r)) for r in ("R2", "R1", "R0")]
-    return rounded(made[0].unionByName(made[1], True).unionByName(made[2], True))
+    return written(named.join(coded.select("station", "hour_idx", F.col("filled_code").alias("code")), ["station", "hour_idx"]), "wide")
+
+
+WIDE = FILLED + f""", coded AS (SELECT station, hour_idx, CASE WHEN value IS NOT NULL THEN CAST(floor(value) AS INTEGER) % 16 END AS code FROM grid WHERE variable = '{TARGET}'
+), codes AS (SELECT station, hour_idx, coalesce(last_value(code IGNORE NULLS) OVER (PARTITION BY station ORDER BY hour_idx RANGE BETWEEN 6 PRECEDING AND CURRENT ROW), 16) AS code FROM coded
+), stats AS ({STATISTICS}), scaled AS (
+  SELECT f.*, (filled - median) / coalesce(nullif(iqr, 0), nullif(std, 0)) AS scaled FROM filled f JOIN stats s ON s.variable = f.variable AND s.station IS NULL
+), wide AS (SELECT s.station, s.hour_idx, any_value(code) AS code, CAST(coalesce(max(value) FILTER (WHERE variable = '{RAIN}') - 50 > 0, false) AS INTEGER) AS {RAIN}_occurred,
+  {", ".join(f"max(filled) FILTER (WHERE variable = '{x}') AS {x}, max(scaled) FILTER (WHERE variable = '{x}') AS {x}_scaled, CAST(bool_or(observed) FILTER (WHERE variable = '{x}') AS INTEGER) AS {x}_observed, CAST(max(gap_age) FILTER (WHERE variable = '{x}') AS INTEGER) AS {x}_gap_age" for x in VARIABLES)}
+  FROM scaled s JOIN codes c ON c.station = s.station AND c.hour_idx = s.hour_idx GROUP BY ALL
+)"""
+NEAR = f"""places AS (SELECT CAST(i AS INTEGER) AS place, i * 37 % 11 / 10.0 + 39.5 AS lat, i * 53 % 13 / 10.0 + 116 AS lon FROM range({STATIONS}) t(i)
+), near AS (SELECT a.place AS station, b.place AS neighbour, row_number() OVER (PARTITION BY a.place ORDER BY pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), b.place) AS rank
+  FROM places a JOIN places b ON a.place <> b.place QUALIFY rank <= {RANKS})"""
+
+
+def stamp_sql(at):
+    """The six cycles of an hour index, in the order of `features.CYCLES`."""
+    ts = f"(TIMESTAMP '2024-01-01' + to_hours({at}_idx))"
+    angles = {"hour": f"hour({ts}) * (2 * pi()) / 24", "doy": f"(dayofyear({ts}) - 1) * (2 * pi()) / dayofyear(make_date(year({ts}), 12, 31))", "month": f"(month({ts}) - 1) * (2 * pi()) / 12"}
+    return {f"{at}_{c}_{f}": f"{f}({a})" for c, a in angles.items() for f in ("sin", "cos")}
+
+
+def matrix_sql():
+    """DuckDB: the relation matrix, regimes R0 to R3 under the columns of R3, nulls where a regime lacks a column."""
+    full = lambda n, x: f"CASE WHEN count(*) OVER w{n} = {n} THEN {x} OVER w{n} END"
+    own = {}
+    for x in [TARGET, *OTHERS]:
+        own |= {f"{x}_lag{k}": f"lag({x}, {k}) OVER w" for k in features.LAGS}
+        own |= {f"{x}_{s}{n}": full(n, f"{f}({x})") for n in features.SPANS for s, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))}
+        own |= {f"{x}_observed_lag0": f"{x}_observed", f"{x}_gap_age": f"{x}_gap_age"} | {f"{x}_observed_share{n}": full(n, f"avg({x}_observed)") for n in features.MASK_SPANS}
+    base = {f"{RAIN}_occurred_lag0": f"{RAIN}_occurred"} | {f"{RAIN}_occurred_mean{n}": full(n, f"avg({RAIN}_occurred)") for n in features.SPANS} | {f"code_{k}": f"CAST(code = {k} AS INTEGER)" for k in range(17)}
+    windows = ", ".join(["w AS (PARTITION BY station ORDER BY hour_idx)", *[f"w{n} AS (PARTITION BY station ORDER BY hour_idx ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in sorted({*features.SPANS, *features.MASK_SPANS})]])
+    near = {f"near{r}_{n}": f"max({n}) FILTER (WHERE rank = {r})" for r in range(1, RANKS + 1) for n in (*[f"{TARGET}_lag{k}" for k in features.LAGS], f"{TARGET}_observed_lag0", f"{TARGET}_gap_age")}
+    near = {k.replace(f"{TARGET}_observed", "observed").replace(f"{TARGET}_gap", "gap"): v for k, v in near.items()}
+    at_sample = {f"station_{s}": f"CAST(s.station = {s} AS INTEGER)" for s in range(STATIONS)} | stamp_sql("origin") | stamp_sql("target")
+    listed = lambda columns: ", ".join(f"{v} AS {k}" for k, v in columns.items())
+    parts = []
+    for regime in features.REGIMES:
+        seen = set(features.sample_names(regime, TARGET, OTHERS, STATIONS, 17, RAIN, RANKS))
+        columns = [f"{c}" if c in seen else f"NULL AS {c}" for c in (*own, *base, *at_sample, *near)]
+        parts.append(f"SELECT '{regime}' AS regime, partition, station, CAST(horizon AS INTEGER) AS horizon, target_idx, CAST(origin_idx AS INTEGER) AS origin_idx, {', '.join(columns)} FROM joined")
+    return f"""{WIDE}, {NEAR}, {SAMPLES.removeprefix(FILLED)[2:]}, at_origin AS (SELECT station, hour_idx, {listed(own | base)} FROM wide WINDOW {windows}
+), nearby AS (SELECT n.station, o.hour_idx, {listed(near)} FROM near n JOIN at_origin o ON o.station = n.neighbour GROUP BY ALL
+), joined AS (SELECT s.partition, s.horizon, s.target_idx, s.origin_idx, {listed(at_sample)}, o.*, n.* EXCLUDE (station, hour_idx)
+  FROM candidates s JOIN at_origin o ON o.station = s.station AND o.hour_idx = s.origin_idx JOIN nearby n ON n.station = s.station AND n.hour_idx = s.origin_idx WHERE reason = 'eligible'
+), matrix AS ({" UNION ALL ".join(parts)})"""
+
+
+NAMES = features.sample_names("R3", TARGET, OTHERS, STATIONS, 17, RAIN, RANKS)
+DOUBLES = [c for c in NAMES if not any(x in c for x in ("observed_lag0", "gap_age", "occurred_lag0", "code_", "station_"))]
+MATRIX = matrix_sql()
+
+
+def sample_matrices(spark, sf):
+    """partition, regime and the columns of R3 over all eligible samples, from one stored panel."""
+    wide = wide_panel(spark, sf)
+    chosen = samples.eligible(candidates(spark, sf))
+    near = places.nearest(station_places(spark), RANKS)
+    made = [features.sample_matrix(wide, chosen, r, TARGET, OTHERS, STATIONS, scalars.MISSING_CODE + 1, TIME.start, RAIN, near, RANKS).withColumn("regime", F.lit(r)) for r in ("R3", "R2", "R1", "R0")]
+    whole = made[0].unionByName(made[1], True).unionByName(made[2], True).unionByName(made[3], True)
+    return whole.withColumn("partition", TIME.partition(F.col("target_idx")))
+
+
+@query(f"WITH {MATRIX} SELECT regime, station, horizon, target_idx, origin_idx, {', '.join(f'round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}' if c in DOUBLES else c for c in NAMES)} FROM matrix")
+def feature_matrix_b3(spark, sf):
+    """The matrices of regimes R0 to R3 over all eligible samples; columns that a regime lacks are null. Codes are those of `categorical_fill`."""
+    rows = rounded(sample_matrices(spark, sf).drop("partition"))
+    return rows.select(*[(F.col(c) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in rows.dtypes])  # no negative zeros
+
+
+@query(f"WITH {MATRIX} {digest_sql('matrix', ['station', 'target_idx', *NAMES], DOUBLES, ['regime', 'partition', 'horizon'])}")
+def feature_digests(spark, sf):
+    """A digest of the feature matrix for each regime, partition and horizon, whatever the order of its rows."""
+    return table_digest(sample_matrices(spark, sf), ["station", "target_idx", *NAMES], ["regime", "partition", "horizon"])
+
+
+#: Channels of the sequences of each regime: all values, and those with gap ages.
+SEQUENCES = {"R0": (["click", "error"], []), "R1": ([TARGET, "click", "error"], [TARGET]), "R2": ([TARGET, "signup", "view", "click", "error"], [TARGET, "signup", "view"])}
+
+
+def tensor_sql():
+    """DuckDB: sums of each sample's tensors by place, from its 48 hours and from its own columns."""
+    step = lambda x: steps_sql(f"CAST(CAST({x} AS FLOAT) AS DOUBLE)")
+    fixed = [*[f"CAST(station = {s} AS INTEGER)" for s in range(STATIONS)], *[f"CAST(horizon = {h} AS INTEGER)" for h in samples.HORIZONS], *stamp_sql("origin").values(), *stamp_sql("target").values()]
+    static = " + ".join(f"{i} * {step(x)}" for i, x in enumerate(fixed, 1))
+    parts = []
+    for regime, (numeric, aged) in SEQUENCES.items():
+        own = [*[f"{x}_scaled" for x in numeric], *[f"{x}_observed" for x in numeric], *[f"{x}_gap_age / 168.0" for x in aged], f"{RAIN}_occurred", *[f"CAST(code = {k} AS INTEGER)" for k in range(17)]]
+        total = " + ".join(f"((w.hour_idx - s.origin_idx + 47) * {len(own)} + {i}) * {step(x)}" for i, x in enumerate(own, 1))
+        parts.append(f"SELECT '{regime}' AS regime, sample_id, {len(own)} AS channels, CAST(sum({total}) AS BIGINT) AS dynamic_sum, any_value(static_sum) AS static_sum FROM s JOIN wide w ON w.station = s.station AND w.hour_idx BETWEEN s.origin_idx - 47 AND s.origin_idx GROUP BY ALL")
+    ident = "partition || '|' || station || '|' || strftime(TIMESTAMP '2024-01-01' + to_hours(target_idx), '%Y%m%d%H') || '|h' || horizon"
+    return f"WITH {WIDE}, {SAMPLES.removeprefix(FILLED)[2:]}, s AS (SELECT {ident} AS sample_id, station, origin_idx, {static} AS static_sum FROM candidates WHERE reason = 'eligible') {' UNION ALL '.join(parts)}"
+
+
+@query(tensor_sql())
+def sample_tensors(spark, sf):
+    """Sequences of 48 hours and static channels of all samples by regime, told apart by sums over their places."""
+    wide = wide_panel(spark, sf)
+    chosen = samples.eligible(candidates(spark, sf)).select("sample_id", "station", "horizon", "target_idx", "origin_idx")
+    static = features.static_vector(list(range(STATIONS)), samples.HORIZONS, TIME.start)
+    made = []
+    for regime, (numeric, aged) in SEQUENCES.items():
+        rows = features.tensors(wide, chosen, features.dynamic_vector(numeric, aged, RAIN, 17), static)
+        made.append(rows.select(F.lit(regime).alias("regime"), "sample_id", F.get("shape", F.lit(1)).alias("channels"), features.checksum(F.col("dynamic")).alias("dynamic_sum"), features.checksum(F.col("static")).alias("static_sum")))
+    return made[0].unionByName(made[1]).unionByName(made[2])

@@ -93,8 +93,8 @@ def test_trees_and_matrix_take_every_eligible_sample(spark):
     want = {(r.horizon, r.partition): r["count"] for r in chosen.groupBy("horizon", "partition").count().collect()}
     assert {(r.horizon, r.partition): r.n for r in QUERIES["gbt_fit"](spark, SF).collect()} == want and {h for h, _ in want} == {1, 6, 12, 24}
     made = QUERIES["feature_matrix_b3"](spark, SF).cache()
-    assert {r.regime: r["count"] for r in made.groupBy("regime").count().collect()} == dict.fromkeys(("R0", "R1", "R2"), sum(want.values()))
-    row = made.filter("regime = 'R2' and station = 1 and horizon = 6").orderBy("target_idx").first()
+    assert {r.regime: r["count"] for r in made.groupBy("regime").count().collect()} == dict.fromkeys(("R0", "R1", "R2", "R3"), sum(want.values()))
+    row = made.filter("regime = 'R3' and station = 1 and horizon = 6").orderBy("target_idx").first()
     grid = {r.hour_idx: r for r in base.filled_panel(spark, SF).filter("station = 1 and variable = 'view'").collect()}
     assert row.view_lag3 == pytest.approx(grid[row.origin_idx - 3].filled, abs=1e-6) and row.view_observed_lag0 == grid[row.origin_idx].observed
     assert row.view_observed_share6 == pytest.approx(sum(grid[row.origin_idx - k].observed for k in range(6)) / 6, abs=1e-6)

@@ -53,6 +53,12 @@ def schema_matches(frames: dict[str, DataFrame], expected: list[str]) -> dict[st
     return {name: df.columns == expected for name, df in frames.items()}
 
 
+def json_matches(rows: DataFrame, column: str, expected: list[str], by: list[str]) -> DataFrame:
+    """by, rows, matching, broken: texts that are objects with exactly the expected keys in their order, and texts that are none."""
+    keys = F.json_object_keys(F.col(column))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(keys == F.array(*map(F.lit, expected))).alias("matching"), F.count_if(keys.isNull()).alias("broken"))
+
+
 def runs(panel: DataFrame, flag: Column, keys: tuple[str, ...]) -> DataFrame:
     """Maximal stretches of hours where the flag holds: keys, start, end, length."""
     flagged = panel.filter(flag)

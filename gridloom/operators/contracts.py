@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import rate
 from gridloom.sources.tables import Timeline
+from gridloom.sources.work import written
 
 
 def file_rollup(rows: DataFrame, file: str, kind: str, bad: Column, example: Column, examples: int = 5) -> DataFrame:
@@ -95,14 +96,17 @@ def split_check(parts: DataFrame, whole: DataFrame, key: str, part: str = "part"
 
 
 def numbered(rows: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
-    """`rows` with `position` from 0 in the order of groups and then `order`, without a sort in one task.
+    """`rows` with `position` from 0 in the order of groups and then `order`.
 
-    Groups are counted; their counts give each its first position, and rows are sorted within their group.
+    Rows are dealt into ranges of that order, whose bounds Spark samples, and written; counts of the ranges give each its
+    first position, and a task sorts one range. Rows of equal order take any of their positions.
     """
-    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    first = sizes.withColumn("_first", F.sum("_n").over(Window.orderBy(*groups)) - F.col("_n"))  # one row a group
-    here = F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1
-    return rows.withColumn("_here", here).join(first.drop("_n"), groups).withColumn("position", (F.col("_first") + F.col("_here")).cast("long")).drop("_here", "_first")
+    keys = [*groups, *order]
+    dealt = written(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    first = sizes.select("_r", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_r")) - F.col("_n")).alias("_first"))  # one row a range
+    here = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1
+    return dealt.withColumn("_here", here).join(first, F.col("_range") == F.col("_r")).withColumn("position", (F.col("_first") + F.col("_here")).cast("long")).drop("_here", "_first", "_range", "_r")
 
 
 def groups_with(rows: DataFrame, keys: list[str], hit: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
 from gridloom.functions.digests import steps_of
+from gridloom.operators.panel import few_stations
 
 LAGS, SPANS, MASK_SPANS = (0, 1, 2, 3, 6, 12, 24, 47), (3, 6, 12, 24, 48), (6, 24, 48)
 
@@ -48,7 +49,8 @@ def context(columns: list[str], hours: int = 48, keys: tuple[str, ...] = ("stati
 
 
 def neighbour_context(panel: DataFrame, columns: list[str], hours: int = 48) -> DataFrame:
-    """station, hour_idx, neighbours: contexts of all other stations at the same hour, by station."""
+    """station, hour_idx, neighbours: contexts of all other stations at the same hour, by station; stations are counted first."""
+    few_stations(panel)
     own = panel.select("station", "hour_idx", context(columns, hours).alias("steps"))
     other = own.select(F.col("station").alias("_station"), F.col("hour_idx").alias("_hour"), F.col("steps").alias("_steps")).filter(F.col("_steps").isNotNull())
     pairs = own.join(other, (F.col("hour_idx") == F.col("_hour")) & (F.col("station") != F.col("_station")))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.aggregates import error_summary, mae, percent_of, quantile, r2, rmse, share
+from gridloom.functions.aggregates import error_summary, mae, percent_of, r2, rmse, share
 from gridloom.functions.scalars import season
+from gridloom.operators.stats import quantiles
+from gridloom.sources.work import written
 
 
 def cells(errors: DataFrame, keys: tuple[str, ...] = ("model", "station", "horizon")) -> DataFrame:
@@ -46,11 +48,11 @@ def severe_tail(wide: DataFrame, threshold: float, models: tuple[str, ...], base
     paired = F.abs(F.col("actual") - F.col(baseline))
     rows = wide.filter(F.col("actual") > threshold).withColumn("_base", paired).unpivot(["horizon", "actual", "_base"], list(models), "model", "prediction")
     rows = rows.withColumn("r", F.col("actual") - F.col("prediction")).withColumn("e", F.abs("r"))
-    r, e = F.col("r"), F.col("e")
-    return rows.groupBy("model", "horizon").agg(
-        F.count(r).alias("severe_n"), F.avg(e).alias("mae"), rmse(r).alias("rmse"), F.avg(r).alias("mean_residual"), quantile(r, 0.5).alias("median_residual"), share(r > 0).alias("underprediction_pct"),
-        quantile(e, 0.5).alias("median_abs_error"), quantile(e, 0.9).alias("p90_abs_error"), quantile(e, 0.95).alias("p95_abs_error"), F.avg(e - F.col("_base")).alias("mean_diff_vs_baseline"),
-    )
+    r, e, keys = F.col("r"), F.col("e"), ["model", "horizon"]
+    rows = written(rows.select(*keys, "r", "e", "_base"), "severe-rows")
+    moments = rows.groupBy(*keys).agg(F.count(r).alias("severe_n"), F.avg(e).alias("mae"), rmse(r).alias("rmse"), F.avg(r).alias("mean_residual"), share(r > 0).alias("underprediction_pct"), F.avg(e - F.col("_base")).alias("mean_diff_vs_baseline"))
+    ranks = quantiles(rows, "r", keys, {"median_residual": 0.5}).join(quantiles(rows, "e", keys, {"median_abs_error": 0.5, "p90_abs_error": 0.9, "p95_abs_error": 0.95}), keys)
+    return moments.join(ranks, keys)
 
 
 def detection(errors: DataFrame, threshold: float) -> DataFrame:
@@ -66,8 +68,10 @@ def detection(errors: DataFrame, threshold: float) -> DataFrame:
 def strata(errors: DataFrame, low: float, high: float) -> DataFrame:
     """Errors by level of the actual: LOW up to `low`, ELEVATED up to `high`, SEVERE above."""
     label = F.when(F.col("actual") <= low, "LOW").when(F.col("actual") <= high, "ELEVATED").otherwise("SEVERE")
-    r = F.col("residual")
-    return errors.groupBy("model", label.alias("stratum")).agg(F.count(r).alias("n"), mae(r).alias("mae"), rmse(r).alias("rmse"), F.avg(r).alias("mean_residual"), share(r > 0).alias("underprediction_pct"), quantile(F.abs(r), 0.5).alias("median_abs_error"), quantile(F.abs(r), 0.9).alias("p90_abs_error"))
+    r, keys = F.col("residual"), ["model", "stratum"]
+    rows = written(errors.select("model", label.alias("stratum"), r, F.abs(r).alias("e")), "strata-rows")
+    moments = rows.groupBy(*keys).agg(F.count(r).alias("n"), mae(r).alias("mae"), rmse(r).alias("rmse"), F.avg(r).alias("mean_residual"), share(r > 0).alias("underprediction_pct"))
+    return moments.join(quantiles(rows, "e", keys, {"median_abs_error": 0.5, "p90_abs_error": 0.9}), keys)
 
 
 def negative_scopes(errors: DataFrame, bound: float = 0.0) -> DataFrame:

@@ -9,6 +9,8 @@ from gridloom.functions.aggregates import quantile
 from gridloom.functions.scalars import MISSING_CODE, robust_scale, scale_method
 
 SERIES = ("station", "variable")
+#: Stations whose pairs an operator may make.
+MOST_STATIONS = 2_000
 
 
 def grid(observations: DataFrame, hours: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
@@ -18,6 +20,12 @@ def grid(observations: DataFrame, hours: int, keys: tuple[str, ...] = SERIES) ->
     return dense.join(observations, [*keys, "hour_idx"], "left").withColumn("observed", F.col("value").isNotNull())
 
 
+def few_stations(panel: DataFrame, most: int = MOST_STATIONS) -> None:
+    """An error where pairs of all stations would be more than a job should make."""
+    if panel.select("station").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"pairs of all stations are for {most} stations at most")
+
+
 def train_medians(panel: DataFrame, train_end: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """Median of observed training values of each series, 0 where there is none."""
     value = F.when(F.col("hour_idx") <= train_end, F.col("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.aggregates import correlation, quantile, skew
+from gridloom.operators.panel import few_stations
 from gridloom.sources.work import written
 
 #: Distinct values of a bucket, about; one task sorts a bucket.
@@ -105,7 +106,8 @@ def spread(rows: DataFrame, x: str, keys: list[str]) -> DataFrame:
 
 
 def station_correlation(panel: DataFrame, x: str = "value") -> DataFrame:
-    """r of every ordered pair of stations over hours that both have; pairs meet by hour."""
+    """r of every ordered pair of stations over hours that both have; pairs meet by hour, and stations are counted first."""
+    few_stations(panel)
     a = panel.filter(F.col(x).isNotNull()).select("hour_idx", F.col("station").alias("a"), F.col(x).alias("x"))
     b = a.select("hour_idx", F.col("a").alias("b"), F.col("x").alias("y"))
     return a.join(b, "hour_idx").groupBy("a", "b").agg(F.count(F.lit(1)).alias("pairs"), correlation(F.col("x"), F.col("y")).alias("r"))

@@ -51,11 +51,13 @@ def grid_gaps(spark, sf):
     return audit.grid_gaps(observed, grid.filter(F.col("hour_idx") >= 24).select("station", "hour_idx"), ["station", "hour_idx"])
 
 
-@query("SELECT 'events' AS \"table\", true AS matches UNION ALL SELECT 'orders', false")
+@query("""SELECT event_type, count(*) AS rows, count(*) FILTER (WHERE json_keys(props) = ['k']) AS matching, count(*) FILTER (WHERE NOT coalesce(json_valid(props), false)) AS broken FROM events GROUP BY ALL""")
 def schema_check(spark, sf):
-    expected = ["event_id", "ts", "user_id", "event_type", "value", "props"]
-    found = audit.schema_matches({t: table(spark, sf, t) for t in ("events", "orders")}, expected)
-    return spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(t).alias("table"), F.lit(ok).alias("matches")) for t, ok in found.items()])).alias("r")).select("r.*")
+    """Whether the properties of every event have the expected keys; a table's own columns must be those expected as well."""
+    events = table(spark, sf, "events")
+    if not audit.schema_matches({"events": events}, ["event_id", "ts", "user_id", "event_type", "value", "props"])["events"]:
+        raise ValueError("events has other columns than expected")
+    return audit.json_matches(events, "props", ["k"], ["event_type"])
 
 
 RUNS = """, flagged AS (SELECT station, variable, hour_idx, hour_idx - row_number() OVER (PARTITION BY station, variable ORDER BY hour_idx) AS island FROM grid WHERE NOT observed)
@@ -245,13 +247,17 @@ def sample_ids(spark, sf):
 
 
 @query("""WITH grid AS (
-  SELECT row_number() OVER (ORDER BY leaves, least, rate) - 1 AS candidate, CAST(leaves AS BIGINT) AS leaves, CAST(least AS BIGINT) AS least, CAST(rate AS DOUBLE) AS rate
-  FROM (VALUES (15), (31)) a(leaves) CROSS JOIN (VALUES (20), (60)) b(least) CROSS JOIN (VALUES (0.05), (0.1)) c(rate)
-) SELECT *, CAST(1 AS DOUBLE) AS mae, CAST(2 AS DOUBLE) AS rmse FROM grid ORDER BY leaves, least DESC, candidate LIMIT 1""")
+  SELECT row_number() OVER (ORDER BY s, p) - 1 AS candidate, status, priority
+  FROM (SELECT * FROM (VALUES (1, 'O'), (2, 'F'), (3, 'P')) a(s, status) CROSS JOIN (VALUES (1, '1-URGENT'), (2, '3-MEDIUM'), (3, '5-LOW')) b(p, priority))
+), scores AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, avg(round(o_totalprice * 100)) AS mae, max(round(o_totalprice * 100)) AS rmse FROM orders GROUP BY ALL)
+SELECT candidate, status, priority, n, round(mae, 6) AS mae, rmse, row_number() OVER (ORDER BY mae, rmse, candidate) = 1 AS best, row_number() OVER (ORDER BY mae DESC, rmse DESC, candidate) = 1 AS worst FROM grid JOIN scores USING (status, priority)""")
 def best_and_worst_candidates(spark, sf):
-    """A grid of model parameters, scored by a formula, and the one that selection takes."""
-    grid = compare.candidates(spark, {"leaves": [15, 31], "least": [20, 60], "rate": [0.05, 0.1]})
-    scored = grid.withColumn("mae", F.col("leaves") * 0.0 + 1.0).withColumn("rmse", F.lit(2.0)).withColumn("all", F.lit(1))
-    return compare.selected(scored, ["all"], [F.col("leaves").asc(), F.col("least").desc(), F.col("candidate").asc()]).drop("all")
-
-
+    """A grid of statuses and priorities in the order of nesting, scored by the orders that it meets, in whole cents."""
+    grid = compare.candidates(spark, {"status": ["O", "F", "P"], "priority": ["1-URGENT", "3-MEDIUM", "5-LOW"]})
+    cents = F.round(F.col("o_totalprice") * 100)
+    scores = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.avg(cents).alias("mae"), F.max(cents).alias("rmse"))
+    rows = grid.join(scores, ["status", "priority"]).withColumn("all", F.lit(1))
+    best = compare.selected(rows, ["all"], [F.col("candidate")]).select("candidate", F.lit(True).alias("best"))
+    worst = compare.selected(rows.select("all", "candidate", *[(-F.col(c)).alias(c) for c in ("mae", "rmse")]), ["all"], [F.col("candidate")]).select("candidate", F.lit(True).alias("worst"))
+    told = rows.join(best, "candidate", "left").join(worst, "candidate", "left")
+    return rounded(told.select("candidate", "status", "priority", "n", "mae", "rmse", F.coalesce("best", F.lit(False)).alias("best"), F.coalesce("worst", F.lit(False)).alias("worst")))

@@ -81,7 +81,9 @@ def core_tuning_split(spark, sf):
     return rows.groupBy("part", "horizon").agg(F.count(F.lit(1)).alias("n"), F.min("target_idx").alias("first"), F.max("target_idx").alias("last"))
 
 
-@query(f"WITH {SAMPLES} SELECT CAST(1 AS BIGINT) AS most_parts, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS missing, count(*) FILTER (WHERE partition <> 'train') AS \"foreign\" FROM candidates WHERE reason = 'eligible'")
+@query(f"""WITH {SAMPLES}, e AS (SELECT {ID} AS sample_id, partition, CASE WHEN target_idx <= 287 THEN 'core' ELSE 'tuning' END AS part FROM candidates WHERE reason = 'eligible')
+, own AS (SELECT sample_id, count(DISTINCT part) AS parts FROM e GROUP BY ALL), whole AS (SELECT DISTINCT sample_id FROM e WHERE partition = 'train')
+SELECT max(parts) AS most_parts, count(*) FILTER (WHERE parts > 1) AS twice, count(*) FILTER (WHERE o.sample_id IS NULL) AS missing, count(*) FILTER (WHERE w.sample_id IS NULL) AS "foreign" FROM own o FULL JOIN whole w ON o.sample_id = w.sample_id""")
 def split_check(spark, sf):
     """The split of the training samples covers them without overlap; samples of other partitions are foreign to it."""
     rows = chosen(spark, sf)

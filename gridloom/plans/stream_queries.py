@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import features, models, samples
 from gridloom.plans.base import STATIONS, TARGET, TIME, filled_target, predictions, query, rounded, target_panel
-from gridloom.sources.work import shared_folder
+from gridloom.sources.work import shared_folder, written
 from gridloom.streaming import panel as streaming
 
 
@@ -58,7 +58,9 @@ def gbt_fit(spark, sf):
 
 @query()
 def batch_inference(spark, sf):
-    """A linear stand-in for a sequence model, run over 48-hour contexts in Arrow batches."""
-    rows = filled_target(spark, sf).select("station", "hour_idx", features.context(["filled"], 48).alias("steps")).filter(F.col("steps").isNotNull())
-    flat = rows.select("station", "hour_idx", F.transform("steps", lambda s: s["filled"]).alias("steps"))
-    return models.infer(flat, models.trailing_mean)
+    """A linear sequence model, fitted to all training contexts by summed products, run over all contexts of 48 hours in Arrow batches."""
+    filled = filled_target(spark, sf).select("station", "hour_idx", "filled")
+    rows = filled.select("station", "hour_idx", features.context(["filled"], 48).alias("steps"), F.lead("filled").over(features.series()).alias("ahead")).filter(F.col("steps").isNotNull())
+    flat = written(rows.select("station", "hour_idx", F.transform("steps", lambda s: s["filled"]).alias("steps"), "ahead"), "contexts")
+    weights = models.linear_fit(flat.filter((F.col("hour_idx") < TIME.train_end) & F.col("ahead").isNotNull()), "ahead")
+    return rounded(models.infer(flat, models.linear(weights)))

@@ -49,3 +49,44 @@ def test_odd_values_have_their_places(spark, monkeypatch, most):
     assert got == {"None": (2, 0, 9), "-inf": (1, 2, 9), "1.0": (2, 3, 9), "2.0": (1, 5, 9), "inf": (1, 6, 9), "nan": (2, 7, 9)}
     assert stats.running_counts(df.limit(0), "x", []).count() == 0
     assert stats.running_counts(df.withColumn("k", F.lit(None).cast("int")), "x", ["k"]).agg(F.sum("n")).first()[0] == 9
+
+
+def test_positions_in_order(spark):
+    from gridloom.operators import contracts
+
+    rows = spark.createDataFrame([(g, i * 7 % 101, "x") for g in ("b", None, "a") for i in range(101)], "g string, i int, _here string").repartition(5)
+    got = contracts.numbered(rows.drop("_here"), ["g"], ["i"]).collect()
+    assert [(r.g, r.i) for r in sorted(got, key=lambda r: r.position)] == [(g, i) for g in (None, "a", "b") for i in range(101)] and {r.position for r in got} == set(range(303))
+    assert contracts.numbered(rows.limit(0), ["g"], ["i"]).count() == 0
+
+
+def test_pairs_of_stations_are_bounded(spark, monkeypatch):
+    from gridloom.operators import features, panel
+
+    rows = spark.range(40).select((F.col("id") % 4).cast("int").alias("station"), F.floor(F.col("id") / 4).cast("int").alias("hour_idx"), F.col("id").cast("double").alias("value"))
+    assert stats.station_correlation(rows).count() == 16 and features.neighbour_context(rows, ["value"], 3).count() == 32
+    with pytest.raises(ValueError, match="pairs of all stations"):
+        panel.few_stations(rows, 3)
+
+
+def test_linear_models_learn_from_all_rows(spark):
+    import numpy as np
+
+    from gridloom.operators import models
+
+    rng = np.random.default_rng(2)
+    steps, true = rng.normal(size=(300, 5)), np.array([1.0, -2.0, 0.5, 0.0, 3.0, 7.0])
+    made = spark.createDataFrame([(1, i, row.tolist(), float(row @ true[:-1] + true[-1])) for i, row in enumerate(steps)], "station int, hour_idx int, steps array<double>, ahead double").repartition(4)
+    weights = models.linear_fit(made, "ahead", ridge=1e-9)
+    assert weights == pytest.approx(true, abs=1e-6)
+    got = {r.hour_idx: r.prediction for r in models.infer(made, models.linear(weights)).collect()}
+    assert all(got[r.hour_idx] == pytest.approx(r.ahead, abs=1e-5) for r in made.collect())
+    with pytest.raises(ValueError, match="no rows"):
+        models.linear_fit(made.limit(0), "ahead")
+
+
+def test_keys_of_json(spark):
+    from gridloom.operators import audit
+
+    rows = spark.createDataFrame([("a", '{"k": 1}'), ("a", '{"k": 1, "l": 2}'), ("a", "{"), ("a", None), ("b", "[1]")], "kind string, props string")
+    assert sorted(map(tuple, audit.json_matches(rows, "props", ["k"], ["kind"]).collect())) == [("a", 4, 1, 2), ("b", 1, 0, 1)]

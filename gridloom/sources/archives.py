@@ -70,9 +70,9 @@ def archive_members(files: DataFrame, depth: int = 1) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                found = pd.DataFrame(list(members(content, depth)), columns=["member", "bytes", "sha256", "status"])
-                yield found.assign(archive=path, bytes=found["bytes"].astype("Int64"))[["archive", "member", "bytes", "sha256", "status"]]
+            found = [(path, *row) for path, content in zip(frame["path"], frame["content"], strict=True) for row in members(content, depth)]
+            out = pd.DataFrame(found, columns=["archive", "member", "bytes", "sha256", "status"])
+            yield out.assign(bytes=out["bytes"].astype("Int64"))
 
     return files.select("path", "content").mapInPandas(run, MEMBERS)
 
@@ -93,16 +93,17 @@ def packed(rows: DataFrame, archive: str, member: str, content: str, inner: str
     """path, content: an archive for each value of a column, with one inner archive of its members. Made from rows of few
     members an archive, as samples for a scan."""
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        def zipped(parts: list[tuple[str, bytes]]) -> bytes:
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as made:
-                for name, data in parts:
-                    made.writestr(zipfile.ZipInfo(name), data)
-            return out.getvalue()
+    def zipped(parts: list[tuple[str, bytes]]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as made:
+            for name, data in parts:
+                made.writestr(zipfile.ZipInfo(name), data)
+        return out.getvalue()
 
-        parts = [(m, c.encode()) for m, c in sorted(zip(frame["member"], frame["content"], strict=True))]
-        return pd.DataFrame({"path": [key[0]], "content": [zipped([("README.txt", b"orders by status\n"), (inner, zipped(parts))])]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            files = [[(m["member"], m["content"].encode()) for m in parts] for parts in frame["parts"]]
+            yield pd.DataFrame({"path": frame["archive"], "content": [zipped([("README.txt", b"orders by status\n"), (inner, zipped(parts))]) for parts in files]})
 
-    named = rows.select(F.col(archive).cast("string").alias("archive"), F.col(member).alias("member"), F.col(content).alias("content"))
-    return named.groupBy("archive").applyInPandas(run, "path string, content binary")
+    named = rows.select(F.col(archive).cast("string").alias("archive"), F.struct(F.col(member).alias("member"), F.col(content).alias("content")).alias("part"))
+    return named.groupBy("archive").agg(F.sort_array(F.collect_list("part")).alias("parts")).mapInPandas(run, "path string, content binary")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
 from gridloom.functions.digests import steps_of
-from gridloom.operators.panel import few_stations
+from gridloom.operators.stats import few_stations
 
 LAGS, SPANS, MASK_SPANS = (0, 1, 2, 3, 6, 12, 24, 47), (3, 6, 12, 24, 48), (6, 24, 48)
 
@@ -131,6 +131,22 @@ def sample_matrix(wide: DataFrame, samples: DataFrame, regime: str, target: str,
     return rows.select("station", "horizon", "target_idx", "origin_idx", *sample_names(regime, target, others, stations, codes, rain, ranks))
 
 
+def by_regime(matrix: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """`regime` and the columns of `matrix`, once for each regime of `names`, which maps it to its columns of the matrix.
+
+    Regimes come in order, each with the columns of those before it; columns that a regime lacks are null, columns in
+    no regime are kept. One matrix of the widest regime serves all of them, so windows and joins run once.
+    """
+    order = list(names)
+    for before, after in zip(order, order[1:], strict=False):
+        if not set(names[before]) <= set(names[after]):
+            raise ValueError(f"{after} lacks columns of {before}")
+    lowest = {c: i for i in reversed(range(len(order))) for c in names[order[i]]}
+    rows = matrix.select("*", F.posexplode(F.array(*map(F.lit, order))).alias("_level", "regime"))
+    kept = [F.when(F.col("_level") >= lowest[c], F.col(f"`{c}`")).alias(c) if lowest.get(c) else F.col(f"`{c}`") for c in matrix.columns]
+    return rows.select("regime", *kept)
+
+
 def dynamic_names(numeric: list[str], pollutants: list[str], rain: str, codes: list[str]) -> list[str]:
     """Channels of a sequence, in order: values, masks, gap ages of pollutants, the occurrence flag, one-hots of codes."""
     return [f"value:{x}" for x in numeric] + [f"mask:{x}" for x in numeric] + [f"gap_age_scaled:{x}" for x in pollutants] + [f"{rain}_occurred"] + [f"wd_is_{c}" for c in codes]

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.aggregates import quantile
 from gridloom.functions.scalars import MISSING_CODE, robust_scale, scale_method
+from gridloom.operators.stats import quantiles
+from gridloom.sources.work import written
 
 SERIES = ("station", "variable")
-#: Stations whose pairs an operator may make.
-MOST_STATIONS = 2_000
 
 
 def grid(observations: DataFrame, hours: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
@@ -20,12 +20,6 @@ def grid(observations: DataFrame, hours: int, keys: tuple[str, ...] = SERIES) ->
     return dense.join(observations, [*keys, "hour_idx"], "left").withColumn("observed", F.col("value").isNotNull())
 
 
-def few_stations(panel: DataFrame, most: int = MOST_STATIONS) -> None:
-    """An error where pairs of all stations would be more than a job should make."""
-    if panel.select("station").distinct().limit(most + 1).count() > most:
-        raise ValueError(f"pairs of all stations are for {most} stations at most")
-
-
 def train_medians(panel: DataFrame, train_end: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """Median of observed training values of each series, 0 where there is none."""
     value = F.when(F.col("hour_idx") <= train_end, F.col("value"))
@@ -65,11 +59,19 @@ def fill_audit(filled: DataFrame, partition: Column) -> DataFrame:
 
 
 def scaling_statistics(panel: DataFrame, train_end: int) -> DataFrame:
-    """n, median, quartiles, IQR, mean and std of training values: pooled by variable, and by variable and station."""
-    train = panel.filter((F.col("hour_idx") <= train_end) & F.col("value").isNotNull())
-    v = F.col("value")
-    stats = [F.count(v).alias("n"), quantile(v, 0.5).alias("median"), quantile(v, 0.25).alias("p25"), quantile(v, 0.75).alias("p75"), (quantile(v, 0.75) - quantile(v, 0.25)).alias("iqr"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")]
-    return train.groupingSets([[F.col("variable")], [F.col("variable"), F.col("station")]], "variable", "station").agg(*stats)
+    """n, median, quartiles, IQR, mean and std of training values: pooled by variable, and by variable and station.
+
+    A series has a value an hour at most, so a task can hold it; pooled quantiles come by counting, so no task holds a
+    variable. Quantiles leave NaN out.
+    """
+    v, quarters = F.col("value"), {"median": 0.5, "p25": 0.25, "p75": 0.75}
+    train = written(panel.filter((F.col("hour_idx") <= train_end) & v.isNotNull()).select("variable", "station", v), "train-values")
+    number = F.when(~F.isnan(v.cast("double")), v)
+    moments = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")]
+    pooled = train.groupBy("variable").agg(*moments).join(quantiles(train, "value", ["variable"], quarters), "variable", "left")
+    each = train.groupBy("variable", "station").agg(*moments, *[quantile(number, p).alias(n) for n, p in quarters.items()])
+    both = each.unionByName(pooled.withColumn("station", F.lit(None).cast(train.schema["station"].dataType)))
+    return both.select("variable", "station", "n", *quarters, (F.col("p75") - F.col("p25")).alias("iqr"), "mean", "std")
 
 
 def scaled(filled: DataFrame, statistics: DataFrame) -> DataFrame:

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.aggregates import correlation, quantile, skew
-from gridloom.operators.panel import few_stations
+from gridloom.functions.aggregates import correlation, skew
 from gridloom.sources.work import written
 
 #: Distinct values of a bucket, about; one task sorts a bucket.
 BUCKET_VALUES = 50_000
+#: Stations whose pairs an operator may make.
+MOST_STATIONS = 2_000
+
+
+def few_stations(panel: DataFrame, most: int = MOST_STATIONS) -> None:
+    """An error where pairs of all stations would be more than a job should make."""
+    if panel.select("station").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"pairs of all stations are for {most} stations at most")
 
 
 def ranged(counted: DataFrame, x: str, keys: list[str], ranges: int) -> DataFrame:
@@ -99,10 +106,12 @@ def autocorrelation(panel: DataFrame, x: str, lags: tuple[int, ...], keys: tuple
 
 
 def spread(rows: DataFrame, x: str, keys: list[str]) -> DataFrame:
-    """mean, median, min, max, quartiles and IQR over the groups' members."""
+    """mean, median, min, max, quartiles and IQR over the groups' members, of any number: quantiles come by counting."""
     v = F.col(x)
-    q1, q3 = quantile(v, 0.25), quantile(v, 0.75)
-    return rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), quantile(v, 0.5).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), q1.alias("q25"), q3.alias("q75"), (q3 - q1).alias("iqr"))
+    kept = written(rows.select(*keys, v), "stats-spread")
+    moments = kept.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    found = quantiles(kept, x, keys, {"median": 0.5, "q25": 0.25, "q75": 0.75})
+    return moments.join(found, keys, "left").select(*keys, "n", "mean", "median", "min", "max", "q25", "q75", (F.col("q75") - F.col("q25")).alias("iqr"))
 
 
 def station_correlation(panel: DataFrame, x: str = "value") -> DataFrame:

@@ -9,6 +9,7 @@ from gridloom.operators import audit, compare, stats
 from gridloom.operators import places as maps
 from gridloom.plans.base import GRID, OBS, STATIONS, TARGET, TIME, corr_sql, full_panel, query, rounded, target_panel
 from gridloom.sources.tables import table
+from gridloom.sources.work import written
 
 KIND = """CASE WHEN raw IS NULL OR raw = '' OR raw = 'NA' THEN 'missing' WHEN regexp_matches(raw, '^[+-]?[0-9]+$') THEN 'int'
   WHEN TRY_CAST(raw AS DOUBLE) IS NOT NULL AND (isnan(TRY_CAST(raw AS DOUBLE)) OR isinf(TRY_CAST(raw AS DOUBLE))) THEN 'nonfinite' WHEN TRY_CAST(raw AS DOUBLE) IS NOT NULL THEN 'float' ELSE 'text' END"""
@@ -233,10 +234,11 @@ def attention_shares(spark, sf):
 
 @query(f"""WITH {GRID} SELECT variable, CAST(hour_idx % 24 AS INTEGER) AS hour, round(coalesce(quantile_cont(value, 0.5), 0.0), 6) AS median, round(coalesce(avg(value), 0.0), 8) AS mean FROM grid WHERE hour_idx <= 359 GROUP BY ALL""")
 def hourly_profile(spark, sf):
-    from gridloom.functions.aggregates import quantile
-
-    rows = full_panel(spark, sf).filter(F.col("hour_idx") <= TIME.train_end).groupBy("variable", (F.col("hour_idx") % 24).alias("hour"))
-    return rows.agg(F.round(F.coalesce(quantile(F.col("value"), 0.5), F.lit(0.0)), 6).alias("median"), F.round(F.coalesce(F.avg("value"), F.lit(0.0)), 8).alias("mean"))
+    keys = ["variable", "hour"]
+    rows = written(full_panel(spark, sf).filter(F.col("hour_idx") <= TIME.train_end).select("variable", (F.col("hour_idx") % 24).alias("hour"), "value"), "hours-values")
+    medians = stats.quantiles(rows, "value", keys, {"median": 0.5})
+    means = rows.groupBy(*keys).agg(F.round(F.coalesce(F.avg("value"), F.lit(0.0)), 8).alias("mean"))
+    return means.join(medians, keys, "left").select(*keys, F.round(F.coalesce("median", F.lit(0.0)), 6).alias("median"), "mean")
 
 
 @query("SELECT o_orderkey, 'train|' || (o_custkey % 12) || '|' || strftime(o_orderdate, '%Y%m%d%H') || '|h6' AS sample_id, date_trunc('hour', o_orderdate) = o_orderdate AS whole_hour, CAST(6 AS INTEGER) AS horizon FROM orders")

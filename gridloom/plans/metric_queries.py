@@ -98,11 +98,12 @@ def station_table(spark, sf):
 SELECT model, CASE WHEN m IN (12, 1, 2) THEN 'DJF' WHEN m IN (3, 4, 5) THEN 'MAM' WHEN m IN (6, 7, 8) THEN 'JJA' ELSE 'SON' END AS season, count(*) AS n, round(avg(abs(residual)), 4) AS mae, round(sqrt(avg(residual * residual)), 4) AS rmse FROM o GROUP BY ALL""")
 def seasonal_table(spark, sf):
     """Orders span all months; the prediction is the median price."""
-    from gridloom.functions.aggregates import mae, quantile, rmse
+    from gridloom.functions.aggregates import mae, rmse
+    from gridloom.operators.stats import quantiles
     from gridloom.sources.tables import table
 
     orders = table(spark, sf, "orders").select(F.month("o_orderdate").alias("month"), F.col("o_totalprice").alias("actual"), F.col("o_orderpriority").alias("model"))
-    rows = orders.join(F.broadcast(orders.agg(quantile(F.col("actual"), 0.5).alias("prediction")))).withColumn("residual", F.col("actual") - F.col("prediction"))  # one row is broadcast
+    rows = orders.join(F.broadcast(quantiles(orders, "actual", [], {"prediction": 0.5}))).withColumn("residual", F.col("actual") - F.col("prediction"))  # one row is broadcast
     r = F.col("residual")
     return rows.groupBy("model", season(F.col("month")).alias("season")).agg(F.count(F.lit(1)).alias("n"), F.round(mae(r), 4).alias("mae"), F.round(rmse(r), 4).alias("rmse"))
 

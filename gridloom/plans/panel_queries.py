@@ -312,12 +312,12 @@ MATRIX = matrix_sql()
 
 
 def sample_matrices(spark, sf):
-    """partition, regime and the columns of R3 over all eligible samples, from one stored panel."""
+    """partition, regime and the columns of R3 over all eligible samples, from one stored panel and one matrix."""
     wide = wide_panel(spark, sf)
     chosen = samples.eligible(candidates(spark, sf))
     near = places.nearest(station_places(spark), RANKS)
-    made = [features.sample_matrix(wide, chosen, r, TARGET, OTHERS, STATIONS, scalars.MISSING_CODE + 1, TIME.start, RAIN, near, RANKS).withColumn("regime", F.lit(r)) for r in ("R3", "R2", "R1", "R0")]
-    whole = made[0].unionByName(made[1], True).unionByName(made[2], True).unionByName(made[3], True)
+    matrix = features.sample_matrix(wide, chosen, "R3", TARGET, OTHERS, STATIONS, scalars.MISSING_CODE + 1, TIME.start, RAIN, near, RANKS)
+    whole = features.by_regime(matrix, {r: features.sample_names(r, TARGET, OTHERS, STATIONS, scalars.MISSING_CODE + 1, RAIN, RANKS) for r in features.REGIMES})
     return whole.withColumn("partition", TIME.partition(F.col("target_idx")))
 
 

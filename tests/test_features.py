@@ -68,3 +68,20 @@ def test_contexts_that_are_not_whole_go(spark):
     got = features.tensors(wide, asked, F.array(F.col("x").cast("float")), F.array(F.lit(1.0)), 3)
     assert sorted((r.origin_idx, r.dynamic) for r in got.collect()) == [(2, [0, 1, 2]), (3, [1, 2, 3]), (4, [2, 3, 4])]
     assert [r.c for r in got.select(features.checksum("dynamic").alias("c")).collect() if r.c] != []
+
+
+def test_regimes_from_one_matrix_equal_their_own(spark, wide):
+    near = places.nearest(panel_queries.station_places(spark), 3)
+    chosen = samples.eligible(base.candidates(spark, SF)).filter("horizon = 24")
+    fixed = (base.TARGET, panel_queries.OTHERS, base.STATIONS, 17, base.TIME.start, panel_queries.RAIN, near, 3)
+    names = {r: features.sample_names(r, base.TARGET, panel_queries.OTHERS, base.STATIONS, 17, panel_queries.RAIN, 3) for r in features.REGIMES}
+    every = features.by_regime(features.sample_matrix(wide, chosen, "R3", *fixed), names)
+    keys = ["station", "horizon", "target_idx", "origin_idx"]
+    for regime, columns in names.items():
+        mine = every.filter(F.col("regime") == regime)
+        own = features.sample_matrix(wide, chosen, regime, *fixed)
+        assert sorted(map(tuple, mine.select(*keys, *columns).collect()), key=lambda r: r[:4]) == sorted(map(tuple, own.select(*keys, *columns).collect()), key=lambda r: r[:4])
+        lacking = [c for c in names["R3"] if c not in columns]
+        assert not lacking or mine.filter(F.coalesce(*[F.col(c).cast("string") for c in lacking]).isNotNull()).isEmpty()
+    with pytest.raises(ValueError, match="lacks columns"):
+        features.by_regime(wide, {"one": ["a"], "two": ["b"]})

@@ -61,12 +61,12 @@ def test_positions_in_order(spark):
 
 
 def test_pairs_of_stations_are_bounded(spark, monkeypatch):
-    from gridloom.operators import features, panel
+    from gridloom.operators import features
 
     rows = spark.range(40).select((F.col("id") % 4).cast("int").alias("station"), F.floor(F.col("id") / 4).cast("int").alias("hour_idx"), F.col("id").cast("double").alias("value"))
     assert stats.station_correlation(rows).count() == 16 and features.neighbour_context(rows, ["value"], 3).count() == 32
     with pytest.raises(ValueError, match="pairs of all stations"):
-        panel.few_stations(rows, 3)
+        stats.few_stations(rows, 3)
 
 
 def test_linear_models_learn_from_all_rows(spark):
@@ -90,3 +90,29 @@ def test_keys_of_json(spark):
 
     rows = spark.createDataFrame([("a", '{"k": 1}'), ("a", '{"k": 1, "l": 2}'), ("a", "{"), ("a", None), ("b", "[1]")], "kind string, props string")
     assert sorted(map(tuple, audit.json_matches(rows, "props", ["k"], ["kind"]).collect())) == [("a", 4, 1, 2), ("b", 1, 0, 1)]
+
+
+def test_pooled_scaling_quantiles_match_pandas(spark, monkeypatch):
+    from gridloom.operators import panel
+
+    monkeypatch.setattr(stats, "BUCKET_VALUES", 40)  # so that a variable lies in several ranges
+    rng = random.Random(3)
+    rows = [(v, s, h, None if rng.random() < 0.2 else float("nan") if rng.random() < 0.05 else rng.paretovariate(0.5)) for v in "ab" for s in range(3) for h in range(60)]
+    rows += [("c", 0, h, None) for h in range(5)]  # never observed
+    grid = spark.createDataFrame(rows, "variable string, station int, hour_idx int, value double")
+    got = {(r.variable, r.station): r for r in panel.scaling_statistics(grid, 39).collect()}
+    assert set(got) == {(v, s) for v in "ab" for s in (None, 0, 1, 2)}
+    for (v, s), r in got.items():
+        seen = [x for w, t, h, x in rows if w == v and s in (None, t) and h <= 39 and x is not None]
+        real = pd.Series([x for x in seen if not math.isnan(x)])
+        assert r.n == len(seen)
+        assert (r.median, r.p25, r.p75, r.iqr) == pytest.approx((real.median(), real.quantile(0.25), real.quantile(0.75), real.quantile(0.75) - real.quantile(0.25)))
+    assert panel.scaling_statistics(grid.limit(0), 39).count() == 0
+
+
+def test_spread_of_groups(spark):
+    rows = [("a", float(x)) for x in (1, 2, 4, 8)] + [("b", 5.0), ("b", None), ("c", None)]
+    got = {r.k: r for r in stats.spread(spark.createDataFrame(rows, "k string, x double"), "x", ["k"]).collect()}
+    a, b, c = got["a"], got["b"], got["c"]
+    assert (a.n, a.mean, a.median, a.min, a.max, a.q25, a.q75, a.iqr) == (4, 3.75, 3.0, 1.0, 8.0, 1.75, 5.0, 3.25)
+    assert (b.n, b.median, b.iqr) == (1, 5.0, 0.0) and (c.n, c.median, c.mean) == (0, None, None)

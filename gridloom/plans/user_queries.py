@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalars import hour_timestamp
-from gridloom.operators import audit, baselines, compare, events, metrics, panel, samples
-from gridloom.plans.base import MAE, MODELS, RMSE, SEVERE, USERS, corr_sql, query, rounded, users_target
+from gridloom.functions.digests import digest_sql, table_digest
+from gridloom.functions.scalars import hour_index, hour_timestamp
+from gridloom.operators import audit, baselines, compare, events, features, metrics, panel, samples, stats
+from gridloom.plans import base
+from gridloom.plans.base import LOW, MAE, MODELS, RMSE, SEVERE, SQL, USERS, corr_sql, query, rounded, users_target
 from gridloom.plans.metric_queries import PAIRS
+from gridloom.plans.panel_queries import MASK_SQL, MASK_WINDOWS, TRAIL_SQL, TRAIL_WINDOWS
+from gridloom.sources.tables import table, timeline_of
 from gridloom.sources.work import written
 
 CLOCK = "month(t0 + to_hours({0})) AS month, hour(t0 + to_hours({0})) AS hour"
@@ -101,3 +105,89 @@ def user_fill_audit(spark, sf):
 def user_complementarity(spark, sf):
     made = compare.complementarity(user_predictions(spark, sf).filter(F.col("partition") == "test"), MODELS)
     return rounded(made.select("model_a", "model_b", "n", "pearson", "spearman", (F.col("median_diff") + 0.0).alias("median_diff"), "tied_pct"))
+
+
+def over_users(name: str) -> str:
+    """The SQL of a query over errors of the four stations, over the errors of all users."""
+    _, found, rest = SQL[name].partition(f"WITH {base.ERRORS}")
+    if not found:
+        raise ValueError(f"{name} doesn't start from errors")
+    return f"WITH {ERRORS}{rest}"
+
+
+@query(over_users("severe_metrics"))
+def user_severe_metrics(spark, sf):
+    return rounded(metrics.severe(user_errors(spark, sf), SEVERE))
+
+
+@query(over_users("severe_tail"))
+def user_severe_tail(spark, sf):
+    """Quantiles of severe errors come by counting, so no task holds a model's rows."""
+    wide = written(user_predictions(spark, sf).filter(F.col("partition") == "test").select("horizon", "actual", *MODELS), "users-wide")
+    return rounded(metrics.severe_tail(wide, SEVERE, MODELS, "b0"))
+
+
+@query(over_users("severe_detection"))
+def user_severe_detection(spark, sf):
+    return rounded(metrics.detection(user_errors(spark, sf), SEVERE))
+
+
+@query(over_users("concentration_strata"))
+def user_strata(spark, sf):
+    return rounded(metrics.strata(user_errors(spark, sf), LOW, SEVERE))
+
+
+@query(over_users("negative_scopes"))
+def user_negative_scopes(spark, sf):
+    """Event values are positive, so the bound is 20 here."""
+    return rounded(metrics.negative_scopes(user_errors(spark, sf), 20.0))
+
+
+@query(over_users("horizon_vs_baseline"))
+def user_horizon_vs_baseline(spark, sf):
+    return rounded(metrics.against_baseline(user_errors(spark, sf), "b0"))
+
+
+@query(over_users("leaderboard"))
+def user_leaderboard(spark, sf):
+    return rounded(metrics.leaderboard(user_errors(spark, sf)))
+
+
+@query(f"""WITH {ERRORS}, c AS (SELECT model, station, horizon, {MAE} AS mae FROM errors GROUP BY ALL)
+SELECT model, CAST(horizon AS INTEGER) AS horizon, count(mae) AS n, round(avg(mae), 6) AS mean, round(quantile_cont(mae, 0.5), 6) AS median, round(min(mae), 6) AS min, round(max(mae), 6) AS max,
+  round(quantile_cont(mae, 0.25), 6) AS q25, round(quantile_cont(mae, 0.75), 6) AS q75, round(quantile_cont(mae, 0.75) - quantile_cont(mae, 0.25), 6) AS iqr FROM c GROUP BY ALL""")
+def user_error_spread(spark, sf):
+    """How the users' errors spread, by model and horizon."""
+    return rounded(stats.spread(metrics.cells(user_errors(spark, sf)), "mae", ["model", "horizon"]))
+
+
+USER_STATISTICS = """SELECT variable, station, count(*) AS n, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75, avg(value) AS mean, stddev_pop(value) AS std
+  FROM seen WHERE hour_idx <= train_end GROUP BY GROUPING SETS ((variable), (variable, station))"""
+
+
+@query(f"""WITH {USERS}, seen AS (SELECT user_id AS station, event_type AS variable, CAST(date_diff('hour', t0, ts) AS INTEGER) AS hour_idx, any_value(train_end) AS train_end, avg(value) AS value FROM events, parts GROUP BY ALL), s AS ({USER_STATISTICS})
+SELECT variable, station, n, round(median, 6) AS median, round(p25, 6) AS p25, round(p75, 6) AS p75, round(p75 - p25, 6) AS iqr, round(mean, 6) AS mean, round(std, 6) AS std FROM s""")
+def user_scaling_stats(spark, sf):
+    """Scaling statistics of all variables, pooled and by user; what wasn't observed has no part in them, so no grid is made."""
+    events_ = table(spark, sf, "events")
+    time = timeline_of(events_)
+    seen = events_.select(F.col("user_id").alias("station"), F.col("event_type").alias("variable"), hour_index("ts", time.start).alias("hour_idx"), "value")
+    return rounded(panel.scaling_statistics(seen.groupBy("station", "variable", "hour_idx").agg(F.avg("value").alias("value")), time.train_end))
+
+
+LAGGED = [f"filled_lag{k}" for k in features.LAGS]
+TRAILED = [f"filled_{s}{n}" for n in features.SPANS for s in ("mean", "std", "min", "max")]
+SHARES = [f"observed_share{n}" for n in features.MASK_SPANS]
+
+
+@query(f"""WITH {USERS}, cents AS (SELECT station, hour_idx, observed, round(filled * 100) AS filled FROM ufilled
+), made AS (SELECT station, hour_idx, {", ".join(f"lag(filled, {k}) OVER w AS filled_lag{k}" for k in features.LAGS)}, {TRAIL_SQL}, {MASK_SQL}
+  FROM cents WINDOW w AS (PARTITION BY station ORDER BY hour_idx), {TRAIL_WINDOWS}, {MASK_WINDOWS}
+) {digest_sql("made", ["hour_idx", *LAGGED, *TRAILED, *SHARES], [*LAGGED, *TRAILED, *SHARES], ["station"])}""")
+def user_feature_digests(spark, sf):
+    """A digest of each user's lags, trailing statistics and mask shares at every hour, from one window pass over whole cents."""
+    _, filled = users_target(spark, sf)
+    cents = filled.select("station", "hour_idx", "observed", F.round(F.col("filled") * 100).alias("filled"))
+    made = cents.select("station", "hour_idx", *features.lags("filled"), *features.trailing("filled"), *features.mask_fractions("observed"))
+    rows = made.select("station", "hour_idx", *LAGGED, *[F.round(c, 3 if "_std" in c else 6).alias(c) for c in (*TRAILED, *SHARES)])
+    return table_digest(rows, ["hour_idx", *LAGGED, *TRAILED, *SHARES], ["station"])

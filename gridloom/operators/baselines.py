@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.aggregates import quantile
+from gridloom.operators import samples as made
+from gridloom.sources.tables import Timeline
 
 
 def at_hour(history: DataFrame, value: str, name: str) -> DataFrame:
@@ -48,6 +50,26 @@ def climatological(samples: DataFrame, table: DataFrame) -> DataFrame:
     return rows.withColumn("b2", F.coalesce(*found)).withColumn("b2_level", level).drop("_median0", "_median1", "_median2")
 
 
+def of_observations(seen: DataFrame, timeline: Timeline, clock: list[Column], horizons: tuple[int, ...] = made.HORIZONS, reach: int = 6, period: int = 24) -> DataFrame:
+    """Eligible samples with actual, b0, b1 and b2, as `persistence`, `seasonal` and `climatological` give over the filled panel.
+
+    seen: station, hour_idx, value; clock: month and hour of `hour_idx`. Observations alone tell all of it: a target is one
+    of them, what the panel carries to an origin is the latest at most `reach` hours before, and a target's climatology is
+    that of its own month and hour. So observations are exchanged once, by station, no hour without one is made, and
+    nothing is joined.
+    """
+    value, train = F.col("value"), F.when(F.col("hour_idx") <= timeline.train_end, F.col("value"))
+    series, order = Window.partitionBy("station"), Window.partitionBy("station").orderBy("hour_idx")
+    rows = seen.filter(F.col("station").isNotNull() & value.isNotNull()).select("station", "hour_idx", value, F.lit(True).alias("observed"), *clock, quantile(train, 0.5).over(series).alias("_whole"),
+        F.last("value").over(order.rangeBetween(-period, -period)).alias("_seasonal"), *[F.last("value").over(order.rangeBetween(-h - reach, -h)).alias(f"_held{h}") for h in horizons])
+    medians = [quantile(train, 0.5).over(Window.partitionBy("station", *keys)) for keys in (("month", "hour"), ("hour",))]
+    rows = rows.withColumn("b2", F.coalesce(*medians, "_whole"))
+    held = [F.when(F.col("horizon") == h, F.coalesce(f"_held{h}", "_whole", F.lit(0.0))) for h in horizons]
+    chosen = made.eligible(made.candidates(rows, timeline, horizons, keep=("value", "b2", "_whole", "_seasonal", *[f"_held{h}" for h in horizons])))
+    chosen = chosen.withColumn("b0", F.coalesce(*held)).withColumn("b1", F.coalesce(F.when(F.col("horizon") <= period, F.col("_seasonal")), "b0"))
+    return chosen.select("sample_id", "partition", "station", "horizon", "target_idx", "origin_idx", F.col("value").alias("actual"), "b0", "b1", "b2")
+
+
 def as_long(rows: DataFrame, models: tuple[str, ...] = ("b0", "b1", "b2")) -> DataFrame:
     """One row per sample and model, with actual, prediction and residual (positive: predicted too low)."""
     keep = [c for c in rows.columns if c not in models]

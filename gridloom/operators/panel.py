@@ -11,6 +11,8 @@ from gridloom.operators.stats import quantiles
 from gridloom.sources.work import written
 
 SERIES = ("station", "variable")
+#: Rows of a dense panel that a task makes, about.
+TASK_ROWS = 2_000_000
 
 
 def grid(observations: DataFrame, hours: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
@@ -38,6 +40,32 @@ def causal_fill(panel: DataFrame, medians: DataFrame, reach: int = 6, keys: tupl
     return held.withColumn("filled", F.coalesce("_held", "train_median")).withColumn("source", source).drop("_held", "train_median")
 
 
+def tasks_of(observations: DataFrame, hours: int, keys: tuple[str, ...] = SERIES) -> int:
+    """Tasks for the dense panel of the observed series: counted, because a few observations become many hours."""
+    return max(observations.sparkSession.sparkContext.defaultParallelism, -(-observations.select(*keys).distinct().count() * hours // TASK_ROWS))
+
+
+def filled_series(observations: DataFrame, hours: int, train_end: int, tasks: int, reach: int = 6, keys: tuple[str, ...] = SERIES) -> DataFrame:
+    """What `grid` and `causal_fill` by `train_medians` give, made in the tasks that hold the observations of a series.
+
+    Each observation makes the hours up to the next one, the first also those before it. So observations are exchanged,
+    once and by series, and dense rows are neither exchanged nor joined. Series with a null key have no rows, as in those joins.
+    """
+    by, h = Window.partitionBy(*keys), F.col("hour_idx")
+    order = by.orderBy("hour_idx")
+    median = F.coalesce(quantile(F.when(h <= train_end, F.col("value")), 0.5).over(by), F.lit(0.0))
+    held = F.last(F.when(F.col("value").isNotNull(), F.struct(h.alias("at"), "value")), ignorenulls=True).over(order)
+    made = F.sequence(F.when(F.row_number().over(order) == 1, 0).otherwise(h), F.coalesce(F.lead(h).over(order) - 1, F.lit(hours - 1)))
+    rows = observations.dropna(subset=list(keys)).repartition(tasks, *keys).select(*keys, median.alias("_median"), held.alias("_held"), made.alias("_made"))
+    rows = rows.select(*keys, F.explode("_made").alias("hour_idx"), "_median", "_held")
+    age = h - F.col("_held.at")
+    carried_ = F.when(age.between(0, reach), F.col("_held.value"))
+    return rows.select(
+        *keys, "hour_idx", F.when(age == 0, F.col("_held.value")).alias("value"), F.coalesce(age == 0, F.lit(False)).alias("observed"),
+        F.coalesce(carried_, "_median").alias("filled"), F.when(age == 0, 0).when(carried_.isNotNull(), 1).otherwise(2).alias("source"),
+    )
+
+
 def categorical_fill(panel: DataFrame, code: str, reach: int = 6, keys: tuple[str, ...] = ("station",), missing: int = MISSING_CODE) -> DataFrame:
     """Adds `filled_code` and `source`; a code that can't be carried is the missing one."""
     held = carried(F.col(code), keys, reach)

@@ -11,15 +11,15 @@ from gridloom.sources.tables import Timeline
 HORIZONS, CONTEXT = (1, 6, 12, 24), 48
 
 
-def candidates(target: DataFrame, timeline: Timeline, horizons: tuple[int, ...] = HORIZONS, context: int = CONTEXT) -> DataFrame:
-    """Every hour of a target series for every horizon, with origin, context, partition, reason and id.
+def candidates(target: DataFrame, timeline: Timeline, horizons: tuple[int, ...] = HORIZONS, context: int = CONTEXT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every hour of a target series for every horizon, with origin, context, partition, reason and id, and kept columns.
 
     reason: insufficient_history is tested first, then target_missing; else eligible.
     """
-    rows = target.select("station", F.col("hour_idx").alias("target_idx"), "observed").withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
+    rows = target.select("station", F.col("hour_idx").alias("target_idx"), "observed", *keep).withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
     first, origin = window_bounds(F.col("target_idx"), F.col("horizon"), context)
     reason = F.when(first < 0, "insufficient_history").when(~F.col("observed"), "target_missing").otherwise("eligible")
-    rows = rows.select("station", "horizon", "target_idx", origin.alias("origin_idx"), first.alias("context_start"), reason.alias("reason"), timeline.partition(F.col("target_idx")).alias("partition"))
+    rows = rows.select("station", "horizon", "target_idx", origin.alias("origin_idx"), first.alias("context_start"), reason.alias("reason"), timeline.partition(F.col("target_idx")).alias("partition"), *keep)
     return rows.withColumn("sample_id", sample_id(F.col("partition"), F.col("station"), hour_timestamp("target_idx", timeline.start), F.col("horizon")))
 
 

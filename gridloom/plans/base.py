@@ -65,14 +65,18 @@ def filled_target(spark: SparkSession, sf: str) -> DataFrame:
     return panel.causal_fill(grid, panel.train_medians(grid, TIME.train_end))
 
 
-def users_target(spark: SparkSession, sf: str) -> tuple[Timeline, DataFrame]:
-    """The table's own timeline, and the target's filled series of every user: this panel grows with the table."""
+def users_seen(spark: SparkSession, sf: str) -> tuple[Timeline, DataFrame]:
+    """The table's own timeline, and the target's observed hours of every user, stored once; events without a user are in no series."""
     events = table(spark, sf, "events")
     time = timeline_of(events)
-    rows = events.filter(F.col("event_type") == TARGET).select(F.col("user_id").alias("station"), hour_index("ts", time.start).alias("hour_idx"), "value")
-    seen = rows.filter(F.col("hour_idx").between(0, time.hours - 1)).groupBy("station", "hour_idx").agg(F.avg("value").alias("value"))
-    grid = panel.grid(seen, time.hours, ("station",))
-    return time, panel.causal_fill(grid, panel.train_medians(grid, time.train_end, ("station",)), keys=("station",))
+    rows = events.filter((F.col("event_type") == TARGET) & F.col("user_id").isNotNull()).select(F.col("user_id").alias("station"), hour_index("ts", time.start).alias("hour_idx"), "value")
+    return time, written(rows.filter(F.col("hour_idx").between(0, time.hours - 1)).groupBy("station", "hour_idx").agg(F.avg("value").alias("value")), "users-seen")
+
+
+def users_target(spark: SparkSession, sf: str) -> tuple[Timeline, DataFrame]:
+    """The table's own timeline, and the target's filled series of every user: this panel grows with the table."""
+    time, seen = users_seen(spark, sf)
+    return time, panel.filled_series(seen, time.hours, time.train_end, panel.tasks_of(seen, time.hours, ("station",)), keys=("station",))
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:

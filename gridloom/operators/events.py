@@ -25,11 +25,12 @@ def event_metrics(events: DataFrame, errors: DataFrame, threshold: float) -> Dat
     """Errors of each model and horizon within each event.
 
     Both meet by station and block of `BLOCK` hours: an event is in each block that it touches, an error in one, so a
-    pair meets once, and errors are not held against the events of other times.
+    pair meets once, and errors are not held against the events of other times. Files of stored errors are far smaller
+    than their rows, so no side is broadcast by its size.
     """
     blocks = F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK)))
     e = events.select(F.col("station").alias("_s"), "event", "start", "end", "peak_hour", blocks.alias("_block"))
-    rows = errors.join(e, (F.col("station") == F.col("_s")) & (F.floor(F.col("target_idx") / BLOCK) == F.col("_block")) & F.col("target_idx").between(F.col("start"), F.col("end"))).drop("_s", "_block")
+    rows = errors.join(e.hint("merge"), (F.col("station") == F.col("_s")) & (F.floor(F.col("target_idx") / BLOCK) == F.col("_block")) & F.col("target_idx").between(F.col("start"), F.col("end"))).drop("_s", "_block")
     at_peak, at_start = F.col("target_idx") == F.col("peak_hour"), F.col("target_idx") == F.col("start")
     return rows.groupBy("station", "event", "model", "horizon").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs("residual")).alias("mae"), F.avg("residual").alias("mean_residual"),

@@ -56,3 +56,8 @@ def test_user_baselines_broadcast_and_join_nothing(spark, sf):
 def test_user_events_make_no_dense_hours(spark, sf):
     plan = plan_of(user_queries.user_events(spark, sf))
     assert "Broadcast" not in plan and "Join" not in plan and "Generate" not in plan
+
+
+def test_user_event_metrics_broadcast_nothing(spark, sf):
+    plan = plan_of(user_queries.user_event_metrics(spark, sf))
+    assert "Broadcast" not in plan and plan.count("Join") == 1

@@ -1,7 +1,8 @@
 """Zip archives as tables: every member of every archive, archives within archives too, with sizes and digests.
 
 Archives come as rows (path, content), as Spark's `binaryFile` source reads them. A row is opened where it lies; members
-are read in blocks, so no member is held whole, except for an archive within an archive, which must be. Defined cases:
+are read in blocks, so no member is held whole, except for an archive within an archive, which must be. A task has one
+archive of a batch in Python at a time, and hands on `ROWS` rows. Defined cases:
 null or broken content gives one row with status `corrupt`; a member whose name is absolute or climbs out of its folder
 has status `unsafe` and isn't read; folders are left out; equal names within an archive give a row each.
 """
@@ -14,13 +15,16 @@ import posixpath
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 20
+BLOCK, ROWS = 1 << 20, 256
 MEMBERS = "archive string, member string, bytes long, sha256 string, status string"
+MEMBER_TYPES = pa.schema([("archive", pa.string()), ("member", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string()), ("status", pa.string())])
+PACKED_TYPES = pa.schema([("path", pa.string()), ("content", pa.binary())])
 
 
 def archive_files(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
@@ -65,16 +69,26 @@ def members(content: bytes | None, depth: int, within: str = "") -> Iterator[tup
             yield from members(b"".join(held), depth - 1, name)
 
 
+def scalars(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, each made when it is asked for."""
+    for row in zip(*batch.columns, strict=True):
+        yield tuple(x.as_py() for x in row)
+
+
+def in_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of `ROWS`."""
+    while held := list(islice(rows, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+
 def archive_members(files: DataFrame, depth: int = 1) -> DataFrame:
     """archive, member, bytes, sha256, status of rows (path, content); `depth` levels of inner archives are opened."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [(path, *row) for path, content in zip(frame["path"], frame["content"], strict=True) for row in members(content, depth)]
-            out = pd.DataFrame(found, columns=["archive", "member", "bytes", "sha256", "status"])
-            yield out.assign(bytes=out["bytes"].astype("Int64"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from in_batches(((path, *row) for path, content in scalars(batch) for row in members(content, depth)), MEMBER_TYPES)
 
-    return files.select("path", "content").mapInPandas(run, MEMBERS)
+    return files.select("path", "content").mapInArrow(run, MEMBERS)
 
 
 def checked_members(found: DataFrame) -> DataFrame:
@@ -100,10 +114,10 @@ def packed(rows: DataFrame, archive: str, member: str, content: str, inner: str
                 made.writestr(zipfile.ZipInfo(name), data)
         return out.getvalue()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            files = [[(m["member"], m["content"].encode()) for m in parts] for parts in frame["parts"]]
-            yield pd.DataFrame({"path": frame["archive"], "content": [zipped([("README.txt", b"orders by status\n"), (inner, zipped(parts))]) for parts in files]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = ((path, [(m["member"], m["content"].encode()) for m in parts]) for path, parts in scalars(batch))
+            yield from in_batches(((path, zipped([("README.txt", b"orders by status\n"), (inner, zipped(parts))])) for path, parts in files), PACKED_TYPES)
 
     named = rows.select(F.col(archive).cast("string").alias("archive"), F.struct(F.col(member).alias("member"), F.col(content).alias("content")).alias("part"))
-    return named.groupBy("archive").agg(F.sort_array(F.collect_list("part")).alias("parts")).mapInPandas(run, "path string, content binary")
+    return named.groupBy("archive").agg(F.sort_array(F.collect_list("part")).alias("parts")).mapInArrow(run, "path string, content binary")

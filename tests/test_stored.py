@@ -149,3 +149,14 @@ def test_archives(spark, tmp_path):
     assert archives.checked_members(rows.filter("archive like '%good.zip' and status <> 'unsafe'")).count() == 4
     nothing = spark.createDataFrame([(None, None), ("x", None)], "path string, content binary")
     assert [r.status for r in archives.archive_members(nothing).collect()] == ["corrupt"] * 2
+
+
+def test_archives_pass_in_short_batches():
+    import pyarrow as pa
+
+    taken = []
+    rows = ((taken.append(i) or str(i), None) for i in range(archives.ROWS * 2 + 1))
+    made = archives.in_batches(rows, archives.PACKED_TYPES)
+    first = next(made)
+    assert (first.num_rows, len(taken)) == (archives.ROWS, archives.ROWS) and [b.num_rows for b in made] == [archives.ROWS, 1]
+    assert list(archives.scalars(pa.RecordBatch.from_pydict({"path": ["a", None], "content": [b"x", None]}))) == [("a", b"x"), (None, None)]

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalars import hour_index, six
+from gridloom.functions.scalars import hour_index, hour_timestamp, six
 from gridloom.operators import baselines, panel, samples
 from gridloom.sources.tables import Timeline, event_observations, table, timeline_of
 from gridloom.sources.work import written
@@ -73,10 +73,20 @@ def users_seen(spark: SparkSession, sf: str) -> tuple[Timeline, DataFrame]:
     return time, written(rows.filter(F.col("hour_idx").between(0, time.hours - 1)).groupBy("station", "hour_idx").agg(F.avg("value").alias("value")), "users-seen")
 
 
+def users_series(time: Timeline, seen: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The filled series of every user at every hour."""
+    return panel.filled_series(seen, time.hours, time.train_end, tasks or panel.tasks_of(seen, time.hours, ("station",)), keys=("station",))
+
+
+def user_clock(time: Timeline) -> list[Column]:
+    """month and hour of an hour of the table's own timeline."""
+    return [f(hour_timestamp("hour_idx", time.start)).alias(n) for n, f in (("month", F.month), ("hour", F.hour))]
+
+
 def users_target(spark: SparkSession, sf: str) -> tuple[Timeline, DataFrame]:
     """The table's own timeline, and the target's filled series of every user: this panel grows with the table."""
     time, seen = users_seen(spark, sf)
-    return time, panel.filled_series(seen, time.hours, time.train_end, panel.tasks_of(seen, time.hours, ("station",)), keys=("station",))
+    return time, users_series(time, seen)
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:

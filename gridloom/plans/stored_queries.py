@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.digests import digest_sql, table_digest
 from gridloom.operators import baselines, panel, samples
-from gridloom.plans.base import GRID, TIME, USERS, full_panel, query, rounded, users_target
+from gridloom.plans.base import GRID, TIME, USERS, full_panel, query, rounded, user_clock, users_seen, users_series
 from gridloom.plans.panel_queries import STATISTICS
 from gridloom.sources import archives, stored
 from gridloom.sources.tables import table, write_table
@@ -17,17 +17,17 @@ COLUMNS = ["station", "hour_idx", "value", "observed", "filled", "source"]
 
 
 def stored_users(spark, sf):
-    """The timeline, and the path of the users' panel, stored by partition."""
-    time, filled = users_target(spark, sf)
+    """The timeline, the path of the users' panel, stored by partition, and their observed hours."""
+    time, seen = users_seen(spark, sf)
     path = shared_folder(spark, "users")
-    stored.store_panel(filled.select(*COLUMNS), path, time)
-    return time, path
+    stored.store_panel(users_series(time, seen).select(*COLUMNS), path, time)
+    return time, path, seen
 
 
 @query(f"WITH {USERS} SELECT station, count(*) AS hours, count(value) AS observed, round(coalesce(sum(value), 0), 4) AS total, count(*) FILTER (WHERE source = 1) AS carried FROM ufilled WHERE partition = 'train' GROUP BY ALL")
 def partition_values(spark, sf):
     """Values of the training partition; the others are not opened."""
-    _, path = stored_users(spark, sf)
+    _, path, _ = stored_users(spark, sf)
     rows = stored.open_partition(spark, path, "train")
     return rows.groupBy("station").agg(F.count(F.lit(1)).alias("hours"), F.count("value").alias("observed"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("total"), F.count_if(F.col("source") == 1).alias("carried"))
 
@@ -35,24 +35,23 @@ def partition_values(spark, sf):
 @query(f"WITH {USERS} SELECT station, count(*) AS hours, count(*) FILTER (WHERE observed) AS observed, min(hour_idx) AS first_hour, max(hour_idx) AS last_hour FROM ufilled WHERE partition = 'test' GROUP BY ALL")
 def partition_presence(spark, sf):
     """What the test partition may tell before it is scored: which hours were observed, and no value."""
-    _, path = stored_users(spark, sf)
+    _, path, _ = stored_users(spark, sf)
     rows = stored.open_partition(spark, path, "test", "presence")
     return rows.groupBy("station").agg(F.count(F.lit(1)).alias("hours"), F.count_if("observed").alias("observed"), F.min("hour_idx").alias("first_hour"), F.max("hour_idx").alias("last_hour"))
 
 
-def persistence(spark, sf, time, filled, partition: str) -> DataFrame:
+def persistence(time, seen, partition: str) -> DataFrame:
     """sample_id, station, horizon, target_idx, prediction: the value at the origin for the eligible samples of a partition."""
-    rows = samples.eligible(samples.candidates(filled, time)).filter(F.col("partition") == partition)
-    return baselines.persistence(rows, filled).select("sample_id", "station", "horizon", "target_idx", F.col("b0").alias("prediction"))
+    rows = baselines.of_observations(seen, time, user_clock(time)).filter(F.col("partition") == partition)
+    return rows.select("sample_id", "station", "horizon", "target_idx", F.col("b0").alias("prediction"))
 
 
 @query(f"""WITH {USERS} SELECT s.horizon, count(*) AS n, round(avg(abs(a.value - o.filled)), 6) AS mae FROM usamples s
 JOIN ufilled o ON o.station = s.station AND o.hour_idx = s.origin_idx JOIN ufilled a ON a.station = s.station AND a.hour_idx = s.target_idx WHERE s.partition = 'validation' GROUP BY ALL""")
 def oracle_scores(spark, sf):
     """Persistence against the actuals of the validation partition, which alone is read."""
-    time, path = stored_users(spark, sf)
-    _, filled = users_target(spark, sf)
-    scored = stored.actuals(spark, path, "validation", persistence(spark, sf, time, filled, "validation"))
+    time, path, seen = stored_users(spark, sf)
+    scored = stored.actuals(spark, path, "validation", persistence(time, seen, "validation"))
     return rounded(scored.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("actual") - F.col("prediction"))).alias("mae")))
 
 
@@ -66,10 +65,13 @@ def windowed(series: DataFrame, context: int = samples.CONTEXT) -> DataFrame:
 
 
 def stored_layers(spark, sf, buckets: int = 16):
-    """Names of the series and of the sample index of all users, in buckets by station."""
-    time, filled = users_target(spark, sf)
-    index = samples.eligible(samples.candidates(filled, time)).select("sample_id", "partition", "station", "horizon", "target_idx", "origin_idx", "context_start")
-    return stored.store_buckets(filled.select(*COLUMNS), shared_folder(spark, "series"), buckets), stored.store_buckets(index, shared_folder(spark, "index"), buckets, order="origin_idx")
+    """Names of the series and of the sample index of all users, in buckets by station: more than `buckets` for large panels."""
+    time, seen = users_seen(spark, sf)
+    buckets = max(buckets, panel.tasks_of(seen, time.hours, ("station",)))
+    observed = seen.filter(F.col("value").isNotNull()).withColumn("observed", F.lit(True))
+    index = samples.eligible(samples.candidates(observed, time)).select("sample_id", "partition", "station", "horizon", "target_idx", "origin_idx", "context_start")
+    series = users_series(time, seen, buckets).select(*COLUMNS)
+    return stored.store_buckets(series, shared_folder(spark, "series"), buckets, dealt=True), stored.store_buckets(index, shared_folder(spark, "index"), buckets, order="origin_idx")
 
 
 @query(f"""WITH {USERS}, w AS (SELECT station, hour_idx, count(*) FILTER (WHERE observed) OVER v AS seen, sum(round(filled * 100)) OVER v AS cents, first_value(filled) OVER v AS oldest, max(round(filled * 100)) OVER v AS most
@@ -80,7 +82,7 @@ def stored_windows(spark, sf):
     series, index = stored_layers(spark, sf)
     held = windowed(stored.stored(spark, series, ["station", "hour_idx", "observed", "filled"])).withColumnsRenamed({"station": "_s", "hour_idx": "_h"})
     rows = stored.stored(spark, index, ["sample_id", "station", "horizon", "origin_idx"])
-    rows = rows.join(held, (F.col("station") == F.col("_s")) & (F.col("origin_idx") == F.col("_h")))
+    rows = rows.join(held.hint("merge"), (F.col("station") == F.col("_s")) & (F.col("origin_idx") == F.col("_h")))
     return rounded(rows.select("sample_id", "horizon", "seen", "cents", "oldest", "most"))
 
 
@@ -109,10 +111,9 @@ def stored_scaling(spark, sf):
 SELECT horizon, n, mae, digest FROM (SELECT horizon, count(*) AS n, round(avg(abs(actual - prediction)), 6) AS mae FROM p GROUP BY ALL), d""")
 def locked_scores(spark, sf):
     """Predictions of the test partition are locked, then scored against actuals that are opened after that; the scores are locked too."""
-    time, path = stored_users(spark, sf)
-    _, filled = users_target(spark, sf)
+    time, path, seen = stored_users(spark, sf)
     folder = shared_folder(spark, "locks")
-    stored.sealed(persistence(spark, sf, time, filled, "test"), f"{folder}/predictions", model="b0")
+    stored.sealed(persistence(time, seen, "test"), f"{folder}/predictions", model="b0")
     scores = stored.score_locked(spark, f"{folder}/predictions", path, "test", ["horizon"])
     stored.lock_results(rounded(scores), f"{folder}/results", f"{folder}/predictions")
     digest = stored.lock_of(spark, f"{folder}/predictions")["digest"]
@@ -122,7 +123,7 @@ def locked_scores(spark, sf):
 @query(f"WITH {USERS}, k AS (SELECT partition, station, hour_idx, filled, source FROM ufilled) {digest_sql('k', ['station', 'hour_idx', 'filled', 'source'], ['filled'], ['partition'])}")
 def partition_digests(spark, sf):
     """A digest of each stored partition, the same in any order of rows."""
-    _, path = stored_users(spark, sf)
+    _, path, _ = stored_users(spark, sf)
     return table_digest(spark.read.parquet(path), ["station", "hour_idx", "filled", "source"], ["partition"])
 
 

@@ -46,21 +46,23 @@ def open_partition(spark: SparkSession, path: str, partition: str, mode: str = "
 def actuals(spark: SparkSession, path: str, partition: str, predictions: DataFrame) -> DataFrame:
     """`predictions` (station, target_idx, ...) with `actual` from one stored partition, opened for scoring.
 
-    The query fails where a target lies outside of the partition. Null predictions are refused as well.
+    The query fails where a target lies outside of the partition. Null predictions are refused as well. Files of a stored
+    panel are far smaller than its rows, so they are not broadcast by their size.
     """
     if partition not in PARTITIONS:
         raise Refused(f"no partition {partition!r}")
     truth = spark.read.parquet(path).filter(F.col("partition") == partition).select(F.col("station").alias("_s"), F.col("hour_idx").alias("_h"), F.col("value").alias("actual"))
-    rows = predictions.join(truth, F.col("station").eqNullSafe(F.col("_s")) & (F.col("target_idx") == F.col("_h")), "left")
+    rows = predictions.join(truth.hint("merge"), F.col("station").eqNullSafe(F.col("_s")) & (F.col("target_idx") == F.col("_h")), "left")
     fits = F.assert_true(F.col("_h").isNotNull(), F.lit(f"a target outside of the partition {partition}")).isNull()
     made = F.assert_true(F.col("prediction").isNotNull(), F.lit("a target without a prediction")).isNull()
     return rows.filter(fits & made).drop("_s", "_h")
 
 
-def store_buckets(df: DataFrame, path: str, buckets: int, key: str = "station", order: str = "hour_idx") -> str:
-    """Writes a table in buckets by key, one file a bucket, sorted by key and order; returns its name in the catalog."""
+def store_buckets(df: DataFrame, path: str, buckets: int, key: str = "station", order: str = "hour_idx", dealt: bool = False) -> str:
+    """Writes a table in buckets by key, one file a bucket, sorted by key and order; returns its name in the catalog.
+    `dealt` says that rows lie in as many partitions by key already."""
     name = f"gridloom_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.mode("errorifexists").bucketBy(buckets, key).sortBy(key, order).option("path", path).format("parquet").saveAsTable(name)
+    (df if dealt else df.repartition(buckets, key)).write.mode("errorifexists").bucketBy(buckets, key).sortBy(key, order).option("path", path).format("parquet").saveAsTable(name)
     return name
 
 

@@ -61,3 +61,13 @@ def test_user_events_make_no_dense_hours(spark, sf):
 def test_user_event_metrics_broadcast_nothing(spark, sf):
     plan = plan_of(user_queries.user_event_metrics(spark, sf))
     assert "Broadcast" not in plan and plan.count("Join") == 1
+
+
+def test_actuals_are_not_broadcast_by_the_size_of_their_files(spark, seen, tmp_path):
+    from gridloom.sources import stored
+
+    stored.store_panel(panel.filled_series(seen, TIME.hours, TIME.train_end, 2, keys=("station",)), str(tmp_path / "p"), TIME)
+    made = baselines.of_observations(seen, TIME, [F.lit(1).alias("month"), F.lit(0).alias("hour")]).filter("partition = 'test'").withColumn("prediction", F.col("b0")).drop("actual", "partition")
+    scored = stored.actuals(spark, str(tmp_path / "p"), "test", made)
+    assert "Broadcast" not in plan_of(scored)
+    assert scored.filter("actual is null").count() == 0 and scored.count() == made.count() > 0

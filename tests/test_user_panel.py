@@ -71,3 +71,10 @@ def test_actuals_are_not_broadcast_by_the_size_of_their_files(spark, seen, tmp_p
     scored = stored.actuals(spark, str(tmp_path / "p"), "test", made)
     assert "Broadcast" not in plan_of(scored)
     assert scored.filter("actual is null").count() == 0 and scored.count() == made.count() > 0
+
+
+def test_locked_predictions_join_nothing(spark, seen):
+    from gridloom.plans import stored_queries
+
+    plan = plan_of(stored_queries.persistence(TIME, seen, "test"))
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange") == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,12 +58,15 @@ def oracle_scores(spark, sf):
 
 
 def windowed(series: DataFrame, context: int = samples.CONTEXT) -> DataFrame:
-    """station, hour_idx, and sums over the context that ends there, in whole cents; the context must be full."""
+    """station, hour_idx, and sums over the context that ends there, in whole cents; the context must be full. `origin` tells
+    whether an observed hour follows after one of the horizons, so that a sample starts there."""
     last = Window.partitionBy("station").orderBy("hour_idx").rowsBetween(-(context - 1), 0)
     cents = F.round(F.col("filled") * 100)
     full = F.count(F.lit(1)).over(last) == context
     made = [F.count_if("observed").over(last).alias("seen"), F.sum(cents).over(last).alias("cents"), F.first("filled").over(last).alias("oldest"), F.max(cents).over(last).alias("most")]
-    return series.select("station", "hour_idx", *[F.when(full, c).alias(n) for c, n in zip(made, ("seen", "cents", "oldest", "most"), strict=True)])
+    order = Window.partitionBy("station").orderBy("hour_idx")
+    origin = reduce(lambda a, b: a | b, [F.coalesce(F.lead("observed", h).over(order), F.lit(False)) for h in samples.HORIZONS])
+    return series.select("station", "hour_idx", origin.alias("origin"), *[F.when(full, c).alias(n) for c, n in zip(made, ("seen", "cents", "oldest", "most"), strict=True)])
 
 
 def stored_layers(spark, sf, buckets: int = 16):
@@ -80,7 +85,7 @@ SELECT sample_id, horizon, seen, cents, round(oldest, 6) AS oldest, most FROM us
 def stored_windows(spark, sf):
     """Contexts of all samples, from the stored series and the stored index: windows need no exchange, four columns are read."""
     series, index = stored_layers(spark, sf)
-    held = windowed(stored.stored(spark, series, ["station", "hour_idx", "observed", "filled"])).withColumnsRenamed({"station": "_s", "hour_idx": "_h"})
+    held = windowed(stored.stored(spark, series, ["station", "hour_idx", "observed", "filled"])).filter("origin").withColumnsRenamed({"station": "_s", "hour_idx": "_h"})
     rows = stored.stored(spark, index, ["sample_id", "station", "horizon", "origin_idx"])
     rows = rows.join(held.hint("merge"), (F.col("station") == F.col("_s")) & (F.col("origin_idx") == F.col("_h")))
     return rounded(rows.select("sample_id", "horizon", "seen", "cents", "oldest", "most"))

@@ -78,3 +78,13 @@ def test_locked_predictions_join_nothing(spark, seen):
 
     plan = plan_of(stored_queries.persistence(TIME, seen, "test"))
     assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange") == 1
+
+
+def test_windows_know_the_hours_that_samples_start_from(spark, seen):
+    from gridloom.plans import stored_queries
+
+    filled = panel.filled_series(seen, TIME.hours, TIME.train_end, 2, keys=("station",))
+    index = samples.eligible(samples.candidates(filled, TIME))
+    made = stored_queries.windowed(filled).filter("origin").select("station", F.col("hour_idx").alias("origin_idx"))
+    starts = {tuple(r) for r in index.select("station", "origin_idx").collect()}
+    assert starts <= {tuple(r) for r in made.collect()} and made.count() < filled.count()

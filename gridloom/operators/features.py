@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -41,6 +45,33 @@ def mask_fractions(observed: str, spans: tuple[int, ...] = MASK_SPANS, keys: tup
     return out
 
 
+def rolled(rows: DataFrame, x: str, observed: str, spans: tuple[int, ...] = SPANS, keys: tuple[str, ...] = ("station",)) -> DataFrame:
+    """`rows` with the columns of `trailing` of `x` and of `mask_fractions` of `observed`, which has no nulls, for each span.
+
+    A span is a multiple of the one before it, and its statistics come from a few of that one's, one after the other. So
+    an hour costs the same whatever the spans are, where a window's frame visits each hour of each span. Squares are of
+    differences between sums, so nothing cancels out.
+    """
+    held, w = {"sum": x, "min": x, "max": x, "seen": observed}, 1
+    own = kept = rows.columns
+    for n in spans:
+        k, rest = divmod(n, w)
+        if rest or k < 2:
+            raise ValueError(f"span {n} is no multiple of {w}")
+        parts = {c: [c, *[f"_{c}_back{i}" for i in range(1, k)]] for c in dict.fromkeys(held.values())}
+        rows = rows.select("*", *[F.lag(c, i * w).over(series(keys)).alias(p) for c, ps in parts.items() for i, p in enumerate(ps) if i])
+        at = {name: [F.col(p) for p in parts[c]] for name, c in held.items()}
+        at |= {"sum": [c.cast("double") for c in at["sum"]], "seen": [c.cast("int").cast("double") for c in at["seen"]]}
+        total, between = reduce(add, at["sum"]), reduce(add, [(a - b) * (a - b) for a, b in combinations(at["sum"], 2)])
+        made = {"sum": total, "m2": reduce(add, at.get("m2", []), between / float(n)), "min": F.when(total.isNotNull(), F.least(*at["min"])), "max": F.when(total.isNotNull(), F.greatest(*at["max"])), "seen": reduce(add, at["seen"])}
+        held, w = {name: f"_{name}{n}" for name in made}, n
+        rows = rows.select(*kept, *[c.alias(held[name]) for name, c in made.items()])
+        kept = rows.columns
+    out = [c for n in spans for c in ((F.col(f"_sum{n}") / n).alias(f"{x}_mean{n}"), F.sqrt(F.col(f"_m2{n}") / n).alias(f"{x}_std{n}"), F.col(f"_min{n}").alias(f"{x}_min{n}"), F.col(f"_max{n}").alias(f"{x}_max{n}"))]
+    shares = [(F.col(f"_seen{n}") / n).alias(f"{observed}_share{n}") for n in spans]
+    return rows.select(*own, *out, *shares)
+
+
 def context(columns: list[str], hours: int = 48, keys: tuple[str, ...] = ("station",)) -> Column:
     """The last hours as an array of structs, oldest first; null until it is complete."""
     window = series(keys).rowsBetween(-(hours - 1), 0)

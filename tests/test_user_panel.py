@@ -1,9 +1,12 @@
 """The panel of all users and its baselines from observations alone, against the joined operators over dense rows."""
 
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import baselines, panel, samples
+from gridloom.operators import baselines, features, panel, samples
 from gridloom.plans import user_queries
 from gridloom.sources.tables import Timeline
 
@@ -88,3 +91,22 @@ def test_windows_know_the_hours_that_samples_start_from(spark, seen):
     made = stored_queries.windowed(filled).filter("origin").select("station", F.col("hour_idx").alias("origin_idx"))
     starts = {tuple(r) for r in index.select("station", "origin_idx").collect()}
     assert starts <= {tuple(r) for r in made.collect()} and made.count() < filled.count()
+
+
+def test_rolled_is_trailing_and_mask_fractions(spark, seen):
+    rows = dense(seen).withColumn("filled", F.when(~((F.col("station") == 1) & F.col("hour_idx").isin(90, 91)), F.col("filled") * 100 + 1e9))
+    spans = features.SPANS
+    want = rows.select("station", "hour_idx", *features.trailing("filled"), *features.mask_fractions("observed", spans))
+    made = features.rolled(rows.select("station", "hour_idx", "filled", "observed"), "filled", "observed").select(*want.columns)
+    got, expected = ([list(r) for r in df.orderBy("station", "hour_idx").collect()] for df in (made, want))
+    far = [(g, e) for g, e in zip(sum(got, []), sum(expected, []), strict=True) if g != e and (None in (g, e) or not math.isclose(g, e, rel_tol=1e-6))]
+    assert len(got) == 5 * 240 and not far
+    assert made.filter("filled_max48 is null").count() == 5 * 47 + 49  # a null takes the spans that hold it, and no other
+    with pytest.raises(ValueError, match="no multiple"):
+        features.rolled(rows, "filled", "observed", (3, 4))
+
+
+def test_user_feature_digests_visit_no_hour_twice(spark, sf):
+    plan = plan_of(user_queries.user_feature_digests(spark, sf))
+    assert "stddev_pop" not in plan and "avg(" not in plan and "lag(" in plan
+    assert all(first == last for first, last in re.findall(r"RowFrame, (-\d+), (\S+?)\)", plan))
